@@ -72,7 +72,7 @@ def _(t):
 
 @query("normalize_json_path", f"""
 SELECT page_id, array_to_string(list_filter(string_split_regex(regexp_replace(lower({clean_sql("url || '[12].user_name[*]'")}),
-    '\\[(?:[0-9]+|\\*)\\]', '.', 'g'), '[^a-z0-9]+'), p -> p <> '' AND NOT regexp_matches(p, '^[0-9]+$')), '.') AS path
+    '\\[(?:[0-9]+|\\*)\\]', '.', 'g'), '[^a-z0-9]+'), lambda p: p <> '' AND NOT regexp_matches(p, '^[0-9]+$')), '.') AS path
 FROM [pages]""")
 def _(t):
     return t.pages.select("page_id", X.normalize_json_path(F.concat("url", F.lit("[12].user_name[*]"))).alias("path"))

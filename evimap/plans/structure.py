@@ -61,7 +61,7 @@ def _(t):
 
 
 @query("complexity_limits", NODES + """, sizes AS (
-    SELECT incident_id, count(*) AS documents, sum(coalesce(strlen(CAST(json(doc) AS STRING)), 0)) + count(*) + 1 AS bytes,
+    SELECT incident_id, count(*) AS documents, sum(coalesce(strlen(regexp_replace(CAST(json(doc) AS STRING), '([0-9])\\.0([,}}])', '\\1\\2', 'g')), 0)) + count(*) + 1 AS bytes,
       bool_or(doc IS NULL) AS broken FROM parsed GROUP BY incident_id),
 shape AS (SELECT incident_id, count(*) AS nodes, max(depth) AS depth FROM nodes GROUP BY incident_id)
 SELECT s.incident_id, documents, CAST(bytes AS BIGINT) AS bytes, coalesce(nodes, 0) AS nodes, coalesce(depth, 0) AS depth,
