@@ -10,12 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evimap import constants as K
-from evimap.functions.times import event_micros, in_event_range
+from evimap.functions.times import event_micros, event_number, in_event_range
 
 
 def eligible_ip(text: Column, strict: bool = False) -> Column:
     del strict  # both rules agree
-    return text.rlike(K.IP_ANY)
+    # an address starts with a digit or a hexadecimal group: most text ends here
+    return text.rlike("^[0-9A-Fa-f:]{1,4}[.:]") & text.rlike(K.IP_ANY)
 
 
 def eligible_url(text: Column, strict: bool = False) -> Column:
@@ -23,7 +24,7 @@ def eligible_url(text: Column, strict: bool = False) -> Column:
 
 
 def eligible_timestamp(vtype: Column, text: Column, number: Column, strict: bool = False) -> Column:
-    return in_event_range(event_micros(vtype, text, number, strict))
+    return in_event_range(event_micros(vtype, text, event_number(vtype, text, number, strict)))
 
 
 def eligible_text(vtype: Column) -> Column:
@@ -34,16 +35,15 @@ def eligible_identifier(vtype: Column) -> Column:
     return vtype.isin("string", "number")
 
 
-def reasons(vtype: Column, text: Column, number: Column, raw: Column | None = None, strict: bool = False) -> Column:
+def reasons(vtype: Column, text: Column, micros: Column, strict: bool = False) -> Column:
     """Struct of one reason per value type, '' where the leaf is eligible.
 
-    ``raw`` is the untrimmed text, which the strict time rule reads.
+    ``micros`` is the leaf's event time or NULL, see ``event_micros``.
     """
-    moment = raw if strict and raw is not None else text
     tests = {
         "ip": (eligible_ip(text, strict), "invalid_ip"),
         "url": (eligible_url(text, strict), "invalid_url"),
-        "timestamp": (eligible_timestamp(vtype, moment, number, strict), "invalid_event_time"),
+        "timestamp": (in_event_range(micros), "invalid_event_time"),
         "text": (eligible_text(vtype), "requires_text"),
         "identifier": (eligible_identifier(vtype), "requires_text_or_number"),
     }

@@ -117,10 +117,10 @@ def walk(
     )
     steps = f"sequence(0, least({max_depth}, length({raw}) - length(translate({raw}, '{{[', ''))))"
     return F.expr(
-        f"aggregate({steps}, named_struct('open', array({root}), 'done', cast(array() as {kind})), "
+        f"if({value} is null, null, aggregate({steps}, named_struct('open', array({root}), 'done', cast(array() as {kind})), "
         f"(acc, step) -> named_struct("
         f"'open', flatten(transform(filter(acc.open, n -> {is_open}), n -> coalesce("
         f"transform({fields}, (c, i) -> {field}), transform({items}, (x, i) -> {item})))), "
         f"'done', concat(acc.done, transform(acc.open, n -> {slim}))), "
-        f"acc -> acc.done)"
+        f"acc -> acc.done))"
     )

@@ -9,15 +9,10 @@ from evimap import constants as K
 
 
 def epoch_micros(number: Column) -> Column:
-    """Unit from magnitude: ns, us, ms, else seconds."""
+    """Unit from magnitude: ns, us, ms, else seconds. Saturates far outside the calendar."""
     size = F.abs(number)
-    scaled = (
-        F.when(size >= 1e17, number / 1e3)
-        .when(size >= 1e14, number)
-        .when(size >= 1e11, number * 1e3)
-        .otherwise(number * 1e6)
-    )
-    return F.when(F.abs(scaled) < 9e18, F.floor(scaled).cast("bigint"))
+    factor = F.when(size >= 1e17, F.lit(1e-3)).when(size >= 1e14, F.lit(1.0)).when(size >= 1e11, F.lit(1e3)).otherwise(F.lit(1e6))
+    return F.floor(number * factor)
 
 
 def iso_micros(text: Column) -> Column:
@@ -26,36 +21,39 @@ def iso_micros(text: Column) -> Column:
     No zone means UTC; hour 24, second 60 and days outside the calendar are
     refused; digits beyond microseconds are cut.
     """
-    def group(n: int) -> Column:
-        return F.regexp_extract(text, K.ISO_TIMESTAMP, n)
-
-    day = F.unix_date(group(1).try_cast("date"))
-    hour, minute, second = (group(n).try_cast("int") for n in (2, 3, 4))
-    fraction = F.rpad(F.substring(group(5), 1, 6), 6, "0").try_cast("int")
-    zone = group(6)
-    zone_hour = F.substring(zone, 2, 2).try_cast("int")
-    zone_minute = F.substring(zone, 5, 2).try_cast("int")
+    rest = F.substring(text, 20, 40)
+    offset = F.substring(text, -6, 6)
+    day = F.unix_date(F.substring(text, 1, 10).try_cast("date"))
+    hour, minute, second = (F.substring(text, at, 2).try_cast("int") for at in (12, 15, 18))
+    fraction = F.rpad(F.substring(F.regexp_extract(rest, r"^\.(\d+)", 1), 1, 6), 6, "0").try_cast("int")
+    zone_hour, zone_minute = F.substring(offset, 2, 2).try_cast("int"), F.substring(offset, 5, 2).try_cast("int")
+    zoned = offset.rlike("^[+-]") & (F.length(rest) > 0)
     shift = (
-        F.when((zone == "") | (zone == "Z"), F.lit(0))
+        F.when(~zoned, F.lit(0))
         .when((zone_hour < 24) & (zone_minute < 60),
-              (zone_hour * 60 + zone_minute) * F.when(F.startswith(zone, F.lit("-")), F.lit(-1)).otherwise(F.lit(1)))
+              (zone_hour * 60 + zone_minute) * F.when(F.startswith(offset, F.lit("-")), F.lit(-1)).otherwise(F.lit(1)))
     )
     seconds = day.cast("bigint") * 86400 + hour * 3600 + minute * 60 + second - shift * 60
-    valid = (hour < 24) & (minute < 60) & (second < 60)
+    valid = text.rlike(K.ISO_TIMESTAMP) & (hour < 24) & (minute < 60) & (second < 60)
     return F.when(valid, seconds * 1000000 + fraction)
 
 
-def event_micros(vtype: Column, text: Column, number: Column, strict: bool = False) -> Column:
-    """Time of a typed leaf value.
+def event_number(vtype: Column, text: Column, number: Column, strict: bool = False) -> Column:
+    """The number an epoch time may be read from.
 
-    The mapper also takes numeric strings and trims; ``strict`` is the
-    curation rule, which does neither.
+    The mapper also takes numeric strings; ``strict`` is the curation rule,
+    which does not.
     """
     numeric = F.when(vtype == "number", number)
-    if not strict:
-        numeric = F.coalesce(numeric, F.when((vtype == "string") & text.rlike(K.NUMERIC_TEXT), text.try_cast("double")))
-    return F.coalesce(epoch_micros(numeric), F.when(vtype == "string", iso_micros(text)))
+    if strict:
+        return numeric
+    return F.coalesce(numeric, F.when((vtype == "string") & text.rlike(K.NUMERIC_TEXT), text.try_cast("double")))
+
+
+def event_micros(vtype: Column, text: Column, numeric: Column) -> Column:
+    """Time of a typed leaf value, from ``event_number`` or its ISO text."""
+    return F.when(numeric.isNotNull(), epoch_micros(numeric)).when(vtype == "string", iso_micros(text))
 
 
 def in_event_range(micros: Column) -> Column:
-    return F.coalesce((micros >= K.EARLIEST_MICROS) & (micros < K.LATEST_MICROS), F.lit(False))
+    return F.coalesce(micros.between(K.EARLIEST_MICROS, K.LATEST_MICROS - 1), F.lit(False))

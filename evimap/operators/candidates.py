@@ -15,6 +15,7 @@ from evimap import constants as K
 from evimap.functions import eligibility as E
 from evimap.functions.jsoncols import identity_text
 from evimap.functions.text import name_tokens, value_tokens
+from evimap.functions.times import event_micros, event_number
 from evimap.operators.flatten import trimmed_text
 
 
@@ -46,11 +47,19 @@ def target_array(targets: Sequence[str] = K.TARGET_NAMES) -> Column:
 
 
 def with_reasons(leaf_rows: DataFrame, strict: bool = False) -> DataFrame:
-    """Adds ``reason`` (one entry per value type) and ``identity``."""
-    text = trimmed_text(F.col("vtype"), F.col("value_text"))
-    return leaf_rows.withColumn(
-        "reason", E.reasons(F.col("vtype"), text, F.col("value_num"), F.col("value_text"), strict)
-    ).withColumn("identity", identity_text(F.col("vtype"), F.col("value_text")))
+    """Adds ``reason`` (one entry per value type) and ``identity``.
+
+    Text and time are columns of their own, so that each is worked out once.
+    """
+    moment = F.col("value_text") if strict else F.col("_text")
+    return (
+        leaf_rows.withColumn("_text", trimmed_text(F.col("vtype"), F.col("value_text")))
+        .withColumn("_numeric", event_number(F.col("vtype"), moment, F.col("value_num"), strict))
+        .withColumn("_micros", event_micros(F.col("vtype"), moment, F.col("_numeric")))
+        .withColumn("reason", E.reasons(F.col("vtype"), F.col("_text"), F.col("_micros"), strict))
+        .withColumn("identity", identity_text(F.col("vtype"), F.col("value_text")))
+        .drop("_text", "_numeric", "_micros")
+    )
 
 
 def reject_reasons(leaf_rows: DataFrame, targets: Sequence[str] = K.TARGET_NAMES) -> DataFrame:
@@ -75,6 +84,10 @@ def windows_of(tokens: Column, size: int = K.WINDOW_TOKENS, overlap: int = K.WIN
     ))
 
 
+def window_count(total: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil((total - K.WINDOW_OVERLAP) / F.lit(K.WINDOW_TOKENS - K.WINDOW_OVERLAP)).cast("int"))
+
+
 def value_windows(rows: DataFrame, text: str = "value_text", tokenizer: Callable[[Column], Column] = value_tokens) -> DataFrame:
     """One row per window with the words it holds, for scorers that need rows."""
     return (
@@ -87,17 +100,14 @@ def value_windows(rows: DataFrame, text: str = "value_text", tokenizer: Callable
 
 
 # --- the built-in scorer --------------------------------------------------------
-def label_tokens(key: Column, ancestry: Column, context: Column | None = None) -> Column:
+def label_tokens(key: Column, ancestry: Column, role: Column | None = None) -> Column:
     """Words that name a leaf: its parent's name and its own key.
 
     The ``value`` of a key/value record is named by the sibling ``key``.
     """
-    own = key
-    if context is not None:
-        role = F.element_at(F.filter(context, lambda s: (s["key"] == "key") & (s["vtype"] == "string")), 1)["value"]
-        own = F.when(key == "value", F.coalesce(role, key)).otherwise(key)
+    own = key if role is None else F.coalesce(role, key)
     named = F.filter(F.slice(ancestry, 3, 100), lambda a: ~a.rlike("^[0-9]+$"))
-    parent = F.when(F.size(named) > 0, F.element_at(named, -1)).otherwise(F.lit(""))
+    parent = F.coalesce(F.try_element_at(named, F.lit(-1)), F.lit(""))
     return name_tokens(F.concat_ws(" ", parent, own))
 
 
@@ -106,43 +116,70 @@ def name_score(label: Column, tokens: Column) -> Column:
     return F.size(F.array_intersect(label, tokens)) / F.size(F.array_union(label, tokens))
 
 
-def window_score(label: Column, words: Column, tokens: Column, description: Column) -> Column:
+def window_score(name: Column, words: Column, description: Column) -> Column:
     """Mostly the name; a little for words of the target's description in the value."""
     lowered = F.array_distinct(F.transform(words, lambda w: F.lower(w)))
     told = F.size(F.array_intersect(lowered, description)) / F.greatest(F.lit(1), F.size(lowered))
-    return F.round(0.9 * name_score(label, tokens) + 0.1 * told, 6)
+    return F.round(0.9 * name + 0.1 * told, 6)
 
 
-def score_lexical(leaf_rows: DataFrame, targets: Sequence[str] = K.TARGET_NAMES) -> DataFrame:
+def score_lexical(leaf_rows: DataFrame, targets: Sequence[str] = K.TARGET_NAMES, threshold: float = 0.0) -> DataFrame:
     """Eligible pairs with the best window of the built-in scorer, all in the row.
 
     No windows are unfolded: the earliest best one is the maximum of an array.
+    A threshold above 0.1 needs a shared name word, so other pairs are not
+    even formed; the result is the same as filtering by score afterwards.
     """
-    context = F.col("context") if "context" in leaf_rows.columns else None
+    role = F.col("role") if "role" in leaf_rows.columns else None
     prepared = (
         with_reasons(leaf_rows)
-        .withColumn("label", label_tokens(F.col("key"), F.col("ancestry"), context))
+        .withColumn("label", label_tokens(F.col("key"), F.col("ancestry"), role))
         .withColumn("words", value_tokens(F.coalesce("value_text", F.lit(""))))
     )
-    pairs = reject_reasons(prepared, targets).where("rejection = ''")
+
+    def wanted(t: Column) -> Column:
+        fits = E.reason_of(F.col("reason"), t["value_type"]) == ""
+        return fits & F.arrays_overlap(t["tokens"], F.col("label")) if threshold > 0.1 else fits
+
+    pairs = prepared.withColumn("t", F.explode(F.filter(target_array(targets), wanted)))
 
     def scored(window: Column) -> Column:
         words = F.slice(F.col("words"), window["start_token"] + 1, F.greatest(F.lit(1), window["end_token"] - window["start_token"]))
         return F.struct(
-            window_score(F.col("label"), words, F.col("t.tokens"), F.col("t.description")).alias("score"),
-            (-window["start_token"]).alias("early"), window["start_token"].alias("start_token"),
-            window["end_token"].alias("end_token"),
+            window_score(F.col("name"), words, F.col("t.description")).alias("score"),
+            (-window["start_token"]).alias("early"), window["end_token"].alias("end_token"),
         )
 
     every = F.transform(windows_of(F.col("words")), scored)
+    # the one-element array keeps the filter on the score from being worked out twice
+    best = pairs.withColumn("name", name_score(F.col("label"), F.col("t.tokens"))).withColumn(
+        "best", F.explode(F.filter(F.array(F.array_max(every)), lambda b: b["score"] >= threshold))
+    )
     return (
-        pairs.withColumn("best", F.array_max(every))
-        .withColumn("windows", F.greatest(F.lit(1), F.ceil((F.size("words") - K.WINDOW_OVERLAP) / F.lit(K.WINDOW_TOKENS - K.WINDOW_OVERLAP))).cast("int"))
-        .select("*", F.col("best.score").alias("score"), "best.start_token", "best.end_token")
-        .drop("best", "t", "words", "label", "rejection")
+        best.withColumn("target", F.col("t.target")).withColumn("windows", window_count(F.size("words")))
+        .select("*", F.col("best.score").alias("score"), (-F.col("best.early")).alias("start_token"), "best.end_token")
+        .drop("best", "t", "words", "label", "name", "reason")
     )
 
 
+def strong_hits(targets: Sequence[str], threshold: float) -> Column:
+    """Array of this leaf's targets that reach the threshold, best first when sorted."""
+    def wanted(t: Column) -> Column:
+        fits = E.reason_of(F.col("reason"), t["value_type"]) == ""
+        return fits & F.arrays_overlap(t["tokens"], F.col("label")) if threshold > 0.1 else fits
+
+    def scored(t: Column) -> Column:
+        name = name_score(F.col("label"), t["tokens"])
+        pieces = F.transform(windows_of(F.col("words")), lambda w: window_score(name, F.slice(
+            F.col("words"), w["start_token"] + 1, F.greatest(F.lit(1), w["end_token"] - w["start_token"])), t["description"]))
+        return F.struct(
+            (-F.array_max(pieces)).alias("down"), F.col("pointer").alias("pointer"),
+            F.col("identity").alias("identity"), t["target"].alias("target"),
+        )
+
+    return F.filter(F.transform(F.filter(target_array(targets), wanted), scored), lambda h: h["down"] <= -threshold)
+
+
 def score_with(pairs: DataFrame, scorer: Callable, batch_rows: int | None = None) -> DataFrame:
     """Score windows by a user function over pandas batches.
 
@@ -179,29 +216,42 @@ def coverage(leaf_rows: DataFrame, targets: Sequence[str] = K.TARGET_NAMES) -> D
     incident for the five types and only then unfolded to the targets.
     """
     tested = leaf_rows if "reason" in leaf_rows.columns else with_reasons(leaf_rows)
-    size = F.size(value_tokens(F.coalesce("value_text", F.lit(""))))
-    windows = F.greatest(F.lit(1), F.ceil((size - K.WINDOW_OVERLAP) / F.lit(K.WINDOW_TOKENS - K.WINDOW_OVERLAP))).cast("bigint")
-    tested = tested.withColumn("_windows", windows).withColumn("_mark", F.xxhash64("identity"))
-    folded = [F.count(F.lit(1)).alias("total_fields")]
+    totals = with_marks(tested).groupBy("incident_id").agg(*coverage_sums())
+    return per_target(totals, targets)
+
+
+def with_marks(tested: DataFrame) -> DataFrame:
+    words = F.size(value_tokens(F.coalesce("value_text", F.lit(""))))
+    return tested.withColumn("_windows", window_count(words)).withColumn("_mark", F.xxhash64("identity"))
+
+
+def coverage_sums() -> list[Column]:
+    """Aggregates per incident, three for each value type."""
+    sums = [F.count(F.lit(1)).alias("total_fields")]
     for kind in VALUE_TYPES:
         fits = F.col(f"reason.{kind}") == ""
-        folded += [
+        sums += [
             F.count_if(fits).alias(f"eligible_{kind}"),
             F.size(F.collect_set(F.when(fits, F.col("_mark")))).alias(f"distinct_{kind}"),
             F.coalesce(F.sum(F.when(fits, F.col("_windows"))), F.lit(0)).alias(f"windows_{kind}"),
         ]
-    totals = tested.groupBy("incident_id").agg(*folded)
+    return sums
+
 
+def per_target(totals: DataFrame, targets: Sequence[str], *extra: Column) -> DataFrame:
+    """Unfold sums per value type to one row per target."""
     def by_kind(name: str) -> Column:
         chosen = F.lit(None).cast("bigint")
         for kind in VALUE_TYPES:
             chosen = F.when(F.col("t.value_type") == kind, F.col(f"{name}_{kind}").cast("bigint")).otherwise(chosen)
         return chosen
 
-    return totals.withColumn("t", F.explode(target_array(targets))).select(
+    names = F.transform(target_array(targets), lambda t: F.struct(t["target"].alias("target"), t["value_type"].alias("value_type")))
+    return totals.withColumn("t", F.explode(names)).select(
         "incident_id", F.col("t.target").alias("target"), "total_fields",
         by_kind("eligible").alias("eligible"), by_kind("distinct").alias("distinct_values"),
         (F.col("total_fields") - by_kind("eligible")).alias("rejected"), by_kind("windows").alias("windows_evaluated"),
+        *extra,
     )
 
 

@@ -21,20 +21,48 @@ def unparseable(docs: DataFrame) -> DataFrame:
     )
 
 
-def nodes(docs: DataFrame, keep_partitions: bool = False) -> DataFrame:
+def _parsed(docs: DataFrame) -> DataFrame:
+    """Documents with their parsed value; broken ones stay, with NULL.
+
+    They are not filtered here: the filter would sink below the projection and
+    parse every text a second time. The walk of NULL has no rows.
+    """
+    return spread(docs).select("incident_id", "doc_index", "raw", F.try_parse_json("raw").alias("doc"))
+
+
+def nodes(docs: DataFrame) -> DataFrame:
     """Every container and scalar of every document; narrow, no shuffle."""
-    source = docs if keep_partitions else spread(docs)
-    parsed = source.select("incident_id", "doc_index", "raw", F.try_parse_json("raw").alias("doc")).where("doc is not null")
+    parsed = _parsed(docs)
     rows = parsed.select("incident_id", "doc_index", F.inline(J.walk("raw", "doc", "doc_index")))
     return rows.withColumn("depth", F.size("ancestry") - 1)
 
 
-def leaves(docs: DataFrame, keep_partitions: bool = False) -> DataFrame:
+def leaves(docs: DataFrame) -> DataFrame:
     """One row per scalar, JSON null included."""
-    scalar = nodes(docs, keep_partitions=keep_partitions).where("container is null")
-    return _typed(scalar).select(
+    return _leaf_columns(_typed(nodes(docs).where("container is null")))
+
+
+def leaves_with_role(docs: DataFrame) -> DataFrame:
+    """Leaves with ``role``: the text of the sibling ``key`` of a ``value`` leaf.
+
+    The sibling lies in the same document, so it is looked up inside the row.
+    """
+    parsed = _parsed(docs)
+    walked = parsed.select("incident_id", "doc_index", J.walk("raw", "doc", "doc_index").alias("all"))
+    scalars = walked.select("incident_id", "doc_index", F.filter("all", lambda n: n["container"].isNull()).alias("all"))
+    named = F.transform(F.filter("all", lambda n: n["key"] == "key"), lambda n: F.struct(
+        n["pointer"].alias("pointer"), F.when(F.schema_of_variant(n["value"]) == "STRING", F.try_variant_get(n["value"], "$", "string")).alias("role")))
+    rows = scalars.select("incident_id", "doc_index", F.map_from_entries(named).alias("roles"), F.inline("all"))
+    beside = F.concat(F.expr("substring_index(pointer, '/', size(ancestry) + 1)"), F.lit("/key"))
+    role = F.when(F.col("key") == "value", F.try_element_at("roles", beside))
+    typed = _typed(rows.withColumn("role", role).drop("roles").withColumn("depth", F.size("ancestry") - 1))
+    return _leaf_columns(typed, "role")
+
+
+def _leaf_columns(typed: DataFrame, *extra: str) -> DataFrame:
+    return typed.select(
         "incident_id", "doc_index", J.leaf_id(F.col("pointer")).alias("leaf_id"), "pointer", "ancestry", "key", "position",
-        "depth", "vtype", "value_text", "value_num",
+        "depth", "vtype", "value_text", "value_num", *extra,
     )
 
 
@@ -68,7 +96,7 @@ def resolve_pointers(requests: DataFrame, docs: DataFrame) -> DataFrame:
 def document_sizes(docs: DataFrame) -> DataFrame:
     """Per document: bytes of the compact text, node count, greatest depth."""
     walked = J.walk("raw", "doc", "doc_index")
-    parsed = spread(docs).select("incident_id", "doc_index", "raw", F.try_parse_json("raw").alias("doc"))
+    parsed = _parsed(docs)
     return parsed.select(
         "incident_id", "doc_index", F.col("doc").isNull().alias("broken"),
         F.coalesce(F.octet_length(F.to_json("doc")), F.lit(0)).alias("bytes"),
@@ -141,7 +169,7 @@ def sibling_context(leaf_rows: DataFrame) -> DataFrame:
 
 def sanitize_json(docs: DataFrame, replacement: str = K.REDACTED) -> DataFrame:
     """Dotted paths of a document with every value replaced; one row per path."""
-    parsed = spread(docs).select("incident_id", "doc_index", "raw", F.try_parse_json("raw").alias("doc")).where("doc is not null")
+    parsed = _parsed(docs)
     ends = F.filter(J.walk("raw", "doc", "doc_index", paths=True), lambda n: F.coalesce(n["children"], F.lit(0)) == 0)
     kept = F.filter(ends, lambda n: n["container"].isNull() | (n["shown"] != ""))
     paths = F.array_distinct(F.transform(kept, lambda n: F.when(n["shown"] == "", F.lit("$")).otherwise(n["shown"])))
@@ -163,7 +191,7 @@ def json_pairs(docs: DataFrame, max_depth: int = 10, max_nodes: int = 5000, max_
     The four limits belong to the rule: what lies beyond them is not evidence.
     They are applied inside the row of one document.
     """
-    parsed = spread(docs).select("incident_id", "doc_index", "raw", F.try_parse_json("raw").alias("doc")).where("doc is not null")
+    parsed = _parsed(docs)
     walked = J.walk("raw", "doc", "doc_index", paths=True, max_depth=max_depth, max_items=max_items, max_keys=max_keys)
     in_order = F.array_sort("all", lambda a, b: F.when(a["ordinal"] < b["ordinal"], -1).when(a["ordinal"] > b["ordinal"], 1).otherwise(0))
     visited = F.when(F.size("all") > max_nodes, F.slice(in_order, 1, max_nodes)).otherwise(F.col("all"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evimap import constants as K
-from evimap.functions import eligibility as E
 from evimap.functions import jsoncols as J
 from evimap.functions import text as X
 from evimap.functions import times as T
 from evimap.functions import urls as U
 from evimap.operators import flatten
+from evimap.operators.candidates import with_reasons
 from evimap.plans.registry import query
 from evimap.plans.structure import NODES
 
@@ -235,9 +235,7 @@ TESTED = NODES + f""", texts AS (SELECT *, {TEXT_SQL} AS txt FROM leaves), teste
 
 
 def _tested(t):
-    rows = flatten.leaves(t.alert_docs)
-    text = flatten.trimmed_text(F.col("vtype"), F.col("value_text"))
-    return rows.withColumn("reason", E.reasons(F.col("vtype"), text, F.col("value_num")))
+    return with_reasons(flatten.leaves(t.alert_docs))
 
 
 @query("eligible_ip", TESTED + " SELECT pointer, r_ip AS reason, count(*) AS n, max(value_text) AS sample FROM tested GROUP BY ALL")

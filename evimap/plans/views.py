@@ -74,7 +74,7 @@ MACROS = {
     "duckdb": {"micros": "epoch_us({0})"},
 }
 
-_NAME = re.compile(r"\[([a-z_0-9]+)\]")
+_NAME = re.compile(r"\[(" + "|".join((*BASE_TABLES, *VIEWS)) + r")\]")
 _MACRO = re.compile(r"<([a-z_]+)\(([^()<>]*)\)>")
 
 
