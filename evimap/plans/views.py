@@ -69,6 +69,34 @@ VIEWS = {
         FROM [events] WHERE event_id % 4 = 0""",
 }
 
+# evaluation: one case per event, its expected pointer, and four runs of answers
+VIEWS["expected"] = """
+    SELECT event_id AS case_id, 'family' || CAST(user_id % 12 AS STRING) AS family,
+      CASE WHEN user_id % 3 = 0 THEN 'evaluation' ELSE 'development' END AS split,
+      CASE event_type WHEN 'click' THEN 'sourceIp' WHEN 'view' THEN 'clientIp' WHEN 'error' THEN 'customerName' WHEN 'signup' THEN 'occurred' ELSE 'clientHostname' END AS target,
+      CASE WHEN event_id % 6 = 0 THEN 'absent' WHEN event_id % 31 = 4 THEN 'unlabelled' ELSE 'mapped' END AS state,
+      CASE WHEN event_id % 6 <> 0 AND event_id % 31 <> 4 THEN '/documents/0/a' END AS preferred,
+      CASE WHEN event_id % 6 <> 0 AND event_id % 31 <> 4 AND event_id % 2 = 1 THEN '/documents/0/b' END AS alternative,
+      'v' || CAST(user_id AS STRING) AS expected_value
+    FROM [events]"""
+
+
+def _run(experiment: str, run: int, shift: int) -> str:
+    kind = f"(event_id * 7 + user_id * 3 + {shift}) % 9"
+    return f"""SELECT event_id AS case_id, '{experiment}' AS experiment, {run} AS run, CASE WHEN event_id = 0 THEN 'cold' ELSE 'warm' END AS runtime_state,
+      CASE event_type WHEN 'click' THEN 'sourceIp' WHEN 'view' THEN 'clientIp' WHEN 'error' THEN 'customerName' WHEN 'signup' THEN 'occurred' ELSE 'clientHostname' END AS target,
+      CASE WHEN {kind} < 4 THEN '/documents/0/a' WHEN {kind} < 6 THEN '/documents/0/b' WHEN {kind} = 6 THEN '/documents/0/c' END AS actual,
+      CASE WHEN {kind} > 6 THEN 'no_supported_match' WHEN {kind} IN (3, 5) THEN 'tentative' ELSE 'selected' END AS status,
+      CASE WHEN {kind} < 6 THEN 'v' || CAST(user_id AS STRING) WHEN {kind} = 6 THEN 'other' END AS value,
+      {kind} IN (3, 5) AS disagreement, CASE WHEN {kind} > 6 THEN 'none' WHEN {kind} = 5 THEN 'disagreed' ELSE 'agreed' END AS value_agreement,
+      event_id % 211 <> 17 AS complete, CAST(100 + event_id % 50 + {shift} AS BIGINT) AS total_ms, CAST(1000000 + user_id * 1000 AS BIGINT) AS peak_bytes,
+      CAST(user_id % 9 AS BIGINT) AS eligible, CAST(user_id % 9 AS BIGINT) - CASE WHEN event_id % 97 = 3 THEN 1 ELSE 0 END AS assessed FROM [events]"""
+
+
+VIEWS["runs"] = "\n UNION ALL ".join(
+    _run(experiment, run, shift) for experiment, run, shift in (("baseline", 1, 0), ("baseline", 2, 0), ("grouped", 1, 2), ("grouped", 2, 2))
+)
+
 MACROS = {
     "spark": {"micros": "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {0})"},
     "duckdb": {"micros": "epoch_us({0})"},
