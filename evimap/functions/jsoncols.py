@@ -82,10 +82,15 @@ def _node(pointer: str, ancestry: str, key: str, position: str, shown: str, orde
     )
 
 
-def walk(
+def walk(raw: str, value: str, index: str, **limits) -> Column:
+    """:func:`walk_text` as a Column."""
+    return F.expr(walk_text(raw, value, index, **limits))
+
+
+def walk_text(
     raw: str, value: str, index: str, paths: bool = False,
     max_depth: int = K.MAX_DEPTH + 1, max_items: int | None = None, max_keys: int | None = None,
-) -> Column:
+) -> str:
     """All nodes of one document as an array of structs, level by level.
 
     One expression evaluated inside the row: each step replaces the open
@@ -116,7 +121,7 @@ def walk(
         "children:int,container:string,value:variant>>"
     )
     steps = f"sequence(0, least({max_depth}, length({raw}) - length(translate({raw}, '{{[', ''))))"
-    return F.expr(
+    return (
         f"if({value} is null, null, aggregate({steps}, named_struct('open', array({root}), 'done', cast(array() as {kind})), "
         f"(acc, step) -> named_struct("
         f"'open', flatten(transform(filter(acc.open, n -> {is_open}), n -> coalesce("

@@ -116,3 +116,16 @@ def joined_or_missing(left: DataFrame, right: DataFrame, key: list[str]) -> tupl
 
 def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def split_intersections(df: DataFrame, group: str, split: str = "split", pairs: Sequence[tuple[str, str]] = (
+        ("train", "development"), ("train", "frozen-test"), ("development", "frozen-test"))) -> DataFrame:
+    """(pair, group) for every two splits that share a group.
+
+    Read from the set of splits per group, so the data is shuffled once.
+    """
+    folded = df.groupBy(group).agg(F.collect_set(split).alias("splits"))
+    shared = F.array_compact(F.array(*(
+        F.when(F.array_contains("splits", a) & F.array_contains("splits", b), F.lit(f"{a}/{b}")) for a, b in pairs
+    )))
+    return folded.select(F.explode(shared).alias("pair"), group)

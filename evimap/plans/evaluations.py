@@ -64,9 +64,9 @@ def _(t):
 
 
 @query("case_target_hash", """
-WITH c AS (SELECT experiment, case_id, sha256('{"id":"' || case_id || '","targets":["' || string_agg(DISTINCT target, '","' ORDER BY target) || '"]}') AS h FROM [runs] GROUP BY ALL),
-b AS (SELECT experiment, substring(h, 1, 4) AS bucket, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM c GROUP BY ALL)
-SELECT experiment, CAST(sum(n) AS BIGINT) AS cases, sha256(string_agg(h, '' ORDER BY bucket)) AS digest FROM b GROUP BY experiment""")
+WITH c AS (SELECT experiment, case_id, sha256('{"id":"' || case_id || '","targets":["' || string_agg(DISTINCT target, '","' ORDER BY target) || '"]}') AS h FROM [runs] GROUP BY experiment, case_id),
+b AS (SELECT experiment, substring(h, 1, 4) AS bucket, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS folded FROM c GROUP BY experiment, substring(h, 1, 4))
+SELECT experiment, CAST(sum(n) AS BIGINT) AS cases, sha256(string_agg(folded, '' ORDER BY bucket)) AS digest FROM b GROUP BY experiment""")
 def _(t):
     return V.case_target_hash(t.runs, ["experiment"])
 
@@ -95,13 +95,13 @@ def _(t):
     return V.compare_runs(base, candidate, ["case_id", "run", "target"]).select("case_id", "run", "target", "before_actual", "after_actual", "side")
 
 
-@query("compare_experiments", _COMPARED + """, both AS (SELECT b.case_id, b.run, b.target, b.actual AS before, c.actual AS after,
+@query("compare_experiments", _COMPARED + """, pairs AS (SELECT b.case_id, b.run, b.target, b.actual AS before, c.actual AS after,
     b.accepted_answer AS ba, c.accepted_answer AS ca, b.value_correct AS bv, c.value_correct AS cv
   FROM base b JOIN cand c ON b.case_id = c.case_id AND b.run = c.run AND b.target = c.target)
-SELECT case_id, run, target, before, after, 'pointer_gain' AS change FROM both WHERE NOT ba AND ca
-UNION ALL SELECT case_id, run, target, before, after, 'pointer_regression' FROM both WHERE ba AND NOT ca
-UNION ALL SELECT case_id, run, target, before, after, 'value_gain' FROM both WHERE NOT bv AND cv
-UNION ALL SELECT case_id, run, target, before, after, 'value_regression' FROM both WHERE bv AND NOT cv""")
+SELECT case_id, run, target, before, after, 'pointer_gain' AS change FROM pairs WHERE NOT ba AND ca
+UNION ALL SELECT case_id, run, target, before, after, 'pointer_regression' FROM pairs WHERE ba AND NOT ca
+UNION ALL SELECT case_id, run, target, before, after, 'value_gain' FROM pairs WHERE NOT bv AND cv
+UNION ALL SELECT case_id, run, target, before, after, 'value_regression' FROM pairs WHERE bv AND NOT cv""")
 def _(t):
     base, candidate = _sides(t)
     return V.changes(base, candidate, ["case_id", "run", "target"])

@@ -69,6 +69,41 @@ VIEWS = {
         FROM [events] WHERE event_id % 4 = 0""",
 }
 
+# curation: one draft per text, its source labels, and reviews from the quality labels
+VIEWS["drafts"] = """
+    SELECT 'r' || CAST(doc_id AS STRING) AS record_id, doc_id, 'fam.' || source AS family,
+      CASE WHEN doc_id % 313 = 7 THEN 'development' WHEN CAST(substring(source, 4, 9) AS INT) % 5 = 0 THEN 'frozen-test'
+           WHEN CAST(substring(source, 4, 9) AS INT) % 5 = 1 THEN 'development' ELSE 'train' END AS split,
+      CASE WHEN doc_id % 37 = 3 THEN 'local.entra.' || CAST(doc_id AS STRING) ELSE 'prov' || CAST(doc_id % 30 AS STRING) END AS provenance_id,
+      doc_id % 4 = 0 AS review_required, CASE WHEN doc_id % 8 = 0 THEN 'role is unclear' ELSE ' ' END AS note, 'kind' || CAST(doc_id % 3 AS STRING) AS variant_kind,
+      '{"client":{"ip":"' || CASE WHEN doc_id % 13 = 5 THEN 'not-an-ip' ELSE '203.0.113.' || CAST(doc_id % 250 AS STRING) END || '"},"dup":"192.0.2.' || CAST(doc_id % 200 AS STRING)
+        || '","host":"host-' || CAST(doc_id % 50 AS STRING) || '","ip":"192.0.2.' || CAST(doc_id % 200 AS STRING) || '","n":' || CAST(doc_id AS STRING) || ',"org":"Org ' || lang
+        || '","time":"2024-01-0' || CAST(1 + doc_id % 9 AS STRING) || 'T10:00:00Z","upn":"user' || CAST(doc_id AS STRING) || '@example.com"}' AS alert
+    FROM [documents]"""
+
+
+def _label(source: str, pointer: str, kind: str, status: str, alternatives: str = "''") -> str:
+    return (f"SELECT 'r' || CAST(doc_id AS STRING) AS record_id, '{source}' AS source_target, {pointer} AS pointer, '{kind}' AS original_type, "
+            f"{status} AS status, {alternatives} AS alternatives FROM [documents]")
+
+
+VIEWS["draft_labels"] = "\n UNION ALL ".join((
+    _label("occurredAt", "CASE WHEN doc_id % 11 = 3 THEN '/n' ELSE '/time' END", "string", "CASE WHEN doc_id % 11 = 3 THEN 'invalid-type' ELSE 'matched' END"),
+    _label("sourceIp", "'/ip'", "string", "'matched'", "CASE WHEN doc_id % 2 = 0 THEN '/dup|/ip' WHEN doc_id % 17 = 1 THEN '/host' ELSE '' END"),
+    _label("destinationIp", "NULL", "string", "'no-match'"),
+    _label("clientIp", "'/client/ip'", "string", "'matched'"),
+    _label("clientHostname", "CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 41 = 6 THEN '/gone' ELSE '/host' END", "string", "CASE WHEN doc_id % 7 = 0 THEN 'missing' ELSE 'matched' END"),
+    _label("customerOrOrganization", "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE '/org' END", "string", "CASE WHEN doc_id % 5 = 0 THEN 'ambiguous' ELSE 'matched' END"),
+    _label("accountUpn", "'/upn'", "string", "'matched'"),
+))
+
+VIEWS["reviews"] = """
+    SELECT 'r' || CAST(doc_id + CASE WHEN toxic = 1 AND doc_id % 2 = 0 THEN 100000000 ELSE 0 END AS STRING) AS record_id, doc_id,
+      CASE WHEN doc_id % 50 = 9 THEN 'someGate' WHEN doc_id % 3 = 0 THEN 'trainingOnly' ELSE 'releaseCandidate' END AS gate, 'approved' AS status,
+      'independent-model' AS reviewer_kind, CASE WHEN doc_id % 43 = 2 THEN 'other-1' ELSE 'GPT-6-x' END AS reviewer_model,
+      CASE WHEN doc_id % 47 = 5 THEN 'abc' ELSE repeat('0f', 32) END AS prompt_hash, doc_id % 3 <> 0 AS blind
+    FROM [labels] WHERE quality = 1"""
+
 # evaluation: one case per event, its expected pointer, and four runs of answers
 VIEWS["expected"] = """
     SELECT event_id AS case_id, 'family' || CAST(user_id % 12 AS STRING) AS family,

@@ -51,6 +51,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     A large input already has more splits than cores and is returned as it
     is; a few small files would otherwise leave most cores idle.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
