@@ -11,8 +11,8 @@ from evimap import constants as K
 def epoch_micros(number: Column) -> Column:
     """Unit from magnitude: ns, us, ms, else seconds. Saturates far outside the calendar."""
     size = F.abs(number)
-    factor = F.when(size >= 1e17, F.lit(1e-3)).when(size >= 1e14, F.lit(1.0)).when(size >= 1e11, F.lit(1e3)).otherwise(F.lit(1e6))
-    return F.floor(number * factor)
+    factor = F.when(size >= 1e14, F.lit(1.0)).when(size >= 1e11, F.lit(1e3)).otherwise(F.lit(1e6))
+    return F.when(size >= 1e17, F.floor(number / 1e3)).otherwise(F.floor(number * factor))
 
 
 def iso_micros(text: Column) -> Column:
