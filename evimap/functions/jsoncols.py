@@ -73,9 +73,9 @@ def pointer_part(key: str) -> str:
     return f"replace(replace({key}, '~', '~0'), '/', '~1')"
 
 
-def _node(pointer: str, ancestry: str, key: str, position: str, shown: str, order: str, value: str) -> str:
+def _node(pointer: str, ancestry: str, key: str, position: str, role: str, shown: str, order: str, value: str) -> str:
     return (
-        f"named_struct('pointer', {pointer}, 'ancestry', {ancestry}, 'key', {key}, 'position', {position}, "
+        f"named_struct('pointer', {pointer}, 'ancestry', {ancestry}, 'key', {key}, 'position', {position}, 'role', {role}, "
         f"'shown', {shown}, 'ordinal', {order}, 'value', {value}, "
         f"'fields', try_variant_get({value}, '$', 'map<string,variant>'), "
         f"'items', try_variant_get({value}, '$', 'array<variant>'))"
@@ -106,18 +106,24 @@ def walk_text(
     fields = "map_entries(n.fields)" if max_keys is None else f"slice(map_entries(n.fields), 1, {max_keys})"
     items = "n.items" if max_items is None else f"slice(n.items, 1, {max_items})"
     is_open = "n.fields is not null or n.items is not null"
-    root = _node(f"concat('/documents/', {index})", "array('documents')", f"cast({index} as string)", "-1", "''", "''", value)
+    # the text of the sibling ``key`` names a ``value``
+    no_role = "cast(null as string)"
+    role = (
+        "if(c.key = 'value' and schema_of_variant(try_element_at(n.fields, 'key')) = 'STRING', "
+        f"try_variant_get(try_element_at(n.fields, 'key'), '$', 'string'), {no_role})"
+    )
+    root = _node(f"concat('/documents/', {index})", "array('documents')", f"cast({index} as string)", "-1", no_role, "''", "''", value)
     below = "concat(n.ancestry, array(n.key))"
-    field = _node(f"concat(n.pointer, '/', {pointer_part('c.key')})", below, "c.key", "-1", shown_field, ordinal, "c.value")
-    item = _node("concat(n.pointer, '/', i)", below, "cast(i as string)", "i", shown_item, ordinal, "x")
+    field = _node(f"concat(n.pointer, '/', {pointer_part('c.key')})", below, "c.key", "-1", role, shown_field, ordinal, "c.value")
+    item = _node("concat(n.pointer, '/', i)", below, "cast(i as string)", "i", no_role, shown_item, ordinal, "x")
     slim = (
         "named_struct('pointer', n.pointer, 'ancestry', n.ancestry, 'key', n.key, 'position', n.position, "
-        "'shown', n.shown, 'ordinal', n.ordinal, 'children', coalesce(cardinality(n.fields), cardinality(n.items)), "
+        "'role', n.role, 'shown', n.shown, 'ordinal', n.ordinal, 'children', coalesce(cardinality(n.fields), cardinality(n.items)), "
         "'container', case when n.fields is not null then 'object' when n.items is not null then 'array' end, "
         "'value', if(n.fields is null and n.items is null, n.value, null))"
     )
     kind = (
-        "array<struct<pointer:string,ancestry:array<string>,key:string,position:int,shown:string,ordinal:string,"
+        "array<struct<pointer:string,ancestry:array<string>,key:string,position:int,role:string,shown:string,ordinal:string,"
         "children:int,container:string,value:variant>>"
     )
     steps = f"sequence(0, least({max_depth}, length({raw}) - length(translate({raw}, '{{[', ''))))"

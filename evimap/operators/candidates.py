@@ -19,6 +19,9 @@ from evimap.functions.times import event_micros, event_number
 from evimap.operators.flatten import trimmed_text
 
 
+VALUE_TYPES = ("ip", "url", "timestamp", "text", "identifier")
+
+
 def _words(text: str) -> list[str]:
     import re
 
@@ -46,6 +49,16 @@ def target_array(targets: Sequence[str] = K.TARGET_NAMES) -> Column:
     ))
 
 
+def fitting_targets(targets: Sequence[str] = K.TARGET_NAMES) -> Column:
+    """The catalogue rows whose value type the leaf satisfies: five tests, not one per target."""
+    groups = []
+    for kind in VALUE_TYPES:
+        names = [n for n in targets if K.TARGET_TYPE[n] == kind]
+        if names:
+            groups.append(F.when(F.col(f"reason.{kind}") == "", target_array(names)).otherwise(F.slice(target_array(names), 1, 0)))
+    return F.concat(*groups)
+
+
 def with_reasons(leaf_rows: DataFrame, strict: bool = False) -> DataFrame:
     """Adds ``reason`` (one entry per value type) and ``identity``.
 
@@ -111,73 +124,81 @@ def label_tokens(key: Column, ancestry: Column, role: Column | None = None) -> C
     return name_tokens(F.concat_ws(" ", parent, own))
 
 
-def name_score(label: Column, tokens: Column) -> Column:
-    """Shared words over all words."""
-    return F.size(F.array_intersect(label, tokens)) / F.size(F.array_union(label, tokens))
+def name_score(shared: Column, label: Column, tokens: Column) -> Column:
+    """Shared words over all words; both sides hold each word once."""
+    return shared / (F.size(label) + F.size(tokens) - shared)
+
+
+def seen_windows(words: Column) -> Column:
+    """Windows with their distinct lower-case words, worked out once per leaf."""
+    return F.transform(windows_of(words), lambda w: F.struct(
+        w["start_token"].alias("start_token"), w["end_token"].alias("end_token"),
+        F.array_distinct(F.transform(
+            F.slice(words, w["start_token"] + 1, F.greatest(F.lit(1), w["end_token"] - w["start_token"])), lambda x: F.lower(x))).alias("seen"),
+    ))
 
 
-def window_score(name: Column, words: Column, description: Column) -> Column:
+def window_score(name: Column, seen: Column, description: Column) -> Column:
     """Mostly the name; a little for words of the target's description in the value."""
-    lowered = F.array_distinct(F.transform(words, lambda w: F.lower(w)))
-    told = F.size(F.array_intersect(lowered, description)) / F.greatest(F.lit(1), F.size(lowered))
+    told = F.size(F.array_intersect(seen, description)) / F.greatest(F.lit(1), F.size(seen))
     return F.round(0.9 * name + 0.1 * told, 6)
 
 
-def score_lexical(leaf_rows: DataFrame, targets: Sequence[str] = K.TARGET_NAMES, threshold: float = 0.0) -> DataFrame:
-    """Eligible pairs with the best window of the built-in scorer, all in the row.
+def _named_targets(targets: Sequence[str], threshold: float) -> Column:
+    """Fitting targets with their name score; those that cannot reach the threshold are left out.
 
-    No windows are unfolded: the earliest best one is the maximum of an array.
-    A threshold above 0.1 needs a shared name word, so other pairs are not
-    even formed; the result is the same as filtering by score afterwards.
+    The value part adds at most 0.1, so the bound is exact. Only the name goes
+    on: elements of arrays are copied, and descriptions are looked up later.
     """
-    role = F.col("role") if "role" in leaf_rows.columns else None
-    prepared = (
-        with_reasons(leaf_rows)
-        .withColumn("label", label_tokens(F.col("key"), F.col("ancestry"), role))
+    named = F.transform(fitting_targets(targets), lambda t: F.struct(
+        t["target"].alias("target"),
+        name_score(F.size(F.array_intersect(F.col("label"), t["tokens"])), F.col("label"), t["tokens"]).alias("name")))
+    return F.filter(named, lambda t: 0.9 * t["name"] + 0.1 >= threshold - 1e-6) if threshold > 0.1 else named
+
+
+def description_of(target: Column, targets: Sequence[str]) -> Column:
+    """Words of a target's description."""
+    known = [(name, text) for name, _, text, _ in K.TARGETS if name in set(targets)]
+    table = F.map_from_arrays(_strings(n for n, _ in known), F.array(*(_strings(_words(text)) for _, text in known)))
+    return F.try_element_at(table, target)
+
+
+def _prepared(leaf_rows: DataFrame) -> DataFrame:
+    return (
+        leaf_rows.withColumn("label", label_tokens(F.col("key"), F.col("ancestry"), F.col("role")))
         .withColumn("words", value_tokens(F.coalesce("value_text", F.lit(""))))
+        .withColumn("wins", seen_windows(F.col("words")))
     )
 
-    def wanted(t: Column) -> Column:
-        fits = E.reason_of(F.col("reason"), t["value_type"]) == ""
-        return fits & F.arrays_overlap(t["tokens"], F.col("label")) if threshold > 0.1 else fits
-
-    pairs = prepared.withColumn("t", F.explode(F.filter(target_array(targets), wanted)))
 
-    def scored(window: Column) -> Column:
-        words = F.slice(F.col("words"), window["start_token"] + 1, F.greatest(F.lit(1), window["end_token"] - window["start_token"]))
-        return F.struct(
-            window_score(F.col("name"), words, F.col("t.description")).alias("score"),
-            (-window["start_token"]).alias("early"), window["end_token"].alias("end_token"),
-        )
+def score_lexical(leaf_rows: DataFrame, targets: Sequence[str] = K.TARGET_NAMES, threshold: float = 0.0) -> DataFrame:
+    """Eligible pairs with the best window of the built-in scorer, all in the row.
 
-    every = F.transform(windows_of(F.col("words")), scored)
+    No windows are unfolded: the earliest best one is the maximum of an array.
+    A threshold above 0.1 needs a shared name word, so other pairs are not
+    even formed; the result is the same as filtering by score afterwards.
+    """
+    pairs = _prepared(with_reasons(leaf_rows)).withColumn("t", F.explode(_named_targets(targets, threshold)))
+    pairs = pairs.withColumn("told", description_of(F.col("t.target"), targets))
+    every = F.transform("wins", lambda w: F.struct(
+        window_score(F.col("t.name"), w["seen"], F.col("told")).alias("score"),
+        (-w["start_token"]).alias("early"), w["end_token"].alias("end_token")))
     # the one-element array keeps the filter on the score from being worked out twice
-    best = pairs.withColumn("name", name_score(F.col("label"), F.col("t.tokens"))).withColumn(
-        "best", F.explode(F.filter(F.array(F.array_max(every)), lambda b: b["score"] >= threshold))
-    )
+    best = pairs.withColumn("best", F.explode(F.filter(F.array(F.array_max(every)), lambda b: b["score"] >= threshold)))
     return (
-        best.withColumn("target", F.col("t.target")).withColumn("windows", window_count(F.size("words")))
+        best.withColumn("target", F.col("t.target")).withColumn("windows", F.size("wins"))
         .select("*", F.col("best.score").alias("score"), (-F.col("best.early")).alias("start_token"), "best.end_token")
-        .drop("best", "t", "words", "label", "name", "reason")
+        .drop("best", "t", "told", "words", "wins", "label", "reason")
     )
 
 
 def strong_hits(targets: Sequence[str], threshold: float) -> Column:
-    """Array of this leaf's targets that reach the threshold, best first when sorted."""
-    def wanted(t: Column) -> Column:
-        fits = E.reason_of(F.col("reason"), t["value_type"]) == ""
-        return fits & F.arrays_overlap(t["tokens"], F.col("label")) if threshold > 0.1 else fits
-
-    def scored(t: Column) -> Column:
-        name = name_score(F.col("label"), t["tokens"])
-        pieces = F.transform(windows_of(F.col("words")), lambda w: window_score(name, F.slice(
-            F.col("words"), w["start_token"] + 1, F.greatest(F.lit(1), w["end_token"] - w["start_token"])), t["description"]))
-        return F.struct(
-            (-F.array_max(pieces)).alias("down"), F.col("pointer").alias("pointer"),
-            F.col("identity").alias("identity"), t["target"].alias("target"),
-        )
-
-    return F.filter(F.transform(F.filter(target_array(targets), wanted), scored), lambda h: h["down"] <= -threshold)
+    """Array of this leaf's targets that reach the threshold."""
+    scored = F.transform(_named_targets(targets, threshold), lambda t: F.struct(
+        (-F.array_max(F.transform("wins", lambda w: window_score(t["name"], w["seen"], description_of(t["target"], targets))))).alias("down"),
+        F.col("pointer").alias("pointer"), F.col("identity").alias("identity"), t["target"].alias("target"),
+    ))
+    return F.filter(scored, lambda h: h["down"] <= -threshold)
 
 
 def score_with(pairs: DataFrame, scorer: Callable, batch_rows: int | None = None) -> DataFrame:
@@ -206,7 +227,6 @@ def best_window(scored: DataFrame) -> DataFrame:
 
 
 # --- coverage --------------------------------------------------------------------
-VALUE_TYPES = ("ip", "url", "timestamp", "text", "identifier")
 
 
 def coverage(leaf_rows: DataFrame, targets: Sequence[str] = K.TARGET_NAMES) -> DataFrame:
@@ -221,8 +241,8 @@ def coverage(leaf_rows: DataFrame, targets: Sequence[str] = K.TARGET_NAMES) -> D
 
 
 def with_marks(tested: DataFrame) -> DataFrame:
-    words = F.size(value_tokens(F.coalesce("value_text", F.lit(""))))
-    return tested.withColumn("_windows", window_count(words)).withColumn("_mark", F.xxhash64("identity"))
+    counted = F.size("wins") if "wins" in tested.columns else window_count(F.size(value_tokens(F.coalesce("value_text", F.lit("")))))
+    return tested.withColumn("_windows", counted).withColumn("_mark", F.xxhash64("identity"))
 
 
 def coverage_sums() -> list[Column]:

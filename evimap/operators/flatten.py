@@ -38,31 +38,14 @@ def nodes(docs: DataFrame) -> DataFrame:
 
 
 def leaves(docs: DataFrame) -> DataFrame:
-    """One row per scalar, JSON null included."""
-    return _leaf_columns(_typed(nodes(docs).where("container is null")))
+    """One row per scalar, JSON null included.
 
-
-def leaves_with_role(docs: DataFrame) -> DataFrame:
-    """Leaves with ``role``: the text of the sibling ``key`` of a ``value`` leaf.
-
-    The sibling lies in the same document, so it is looked up inside the row.
+    ``role`` is the text of the sibling ``key`` of a ``value`` leaf.
     """
-    parsed = _parsed(docs)
-    walked = parsed.select("incident_id", "doc_index", J.walk("raw", "doc", "doc_index").alias("all"))
-    scalars = walked.select("incident_id", "doc_index", F.filter("all", lambda n: n["container"].isNull()).alias("all"))
-    named = F.transform(F.filter("all", lambda n: n["key"] == "key"), lambda n: F.struct(
-        n["pointer"].alias("pointer"), F.when(F.schema_of_variant(n["value"]) == "STRING", F.try_variant_get(n["value"], "$", "string")).alias("role")))
-    rows = scalars.select("incident_id", "doc_index", F.map_from_entries(named).alias("roles"), F.inline("all"))
-    beside = F.concat(F.expr("substring_index(pointer, '/', size(ancestry) + 1)"), F.lit("/key"))
-    role = F.when(F.col("key") == "value", F.try_element_at("roles", beside))
-    typed = _typed(rows.withColumn("role", role).drop("roles").withColumn("depth", F.size("ancestry") - 1))
-    return _leaf_columns(typed, "role")
-
-
-def _leaf_columns(typed: DataFrame, *extra: str) -> DataFrame:
+    typed = _typed(nodes(docs).where("container is null"))
     return typed.select(
         "incident_id", "doc_index", J.leaf_id(F.col("pointer")).alias("leaf_id"), "pointer", "ancestry", "key", "position",
-        "depth", "vtype", "value_text", "value_num", *extra,
+        "depth", "role", "vtype", "value_text", "value_num",
     )
 
 

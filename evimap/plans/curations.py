@@ -380,7 +380,7 @@ TRACED = SCORED + f""", gold AS ({_GOLD}), traced AS (SELECT r.* EXCLUDE (label,
 def _traced(t):
     gold = t.sql(_GOLD).withColumn("accepted", F.when(F.col("state") == "mapped", F.array("primary_pointer", F.lit("/documents/1/Source IP")))).withColumn(
         "hard_negatives", F.array(F.lit("/documents/0/client/ip")))
-    scored = C.score_lexical(flatten.leaves_with_role(t.alert_docs), ["sourceIp"])
+    scored = C.score_lexical(flatten.leaves(t.alert_docs), ["sourceIp"])
     return D.trace_labels(scored, gold)
 
 

@@ -257,7 +257,7 @@ def _(t):
         F.col("event_id").alias("incident_id"), F.lit("sourceIp").alias("target"),
         F.when(F.col("event_id") % 2 == 0, "/documents/0/source/ip").otherwise("/documents/0/client/ip").alias("preferred"),
     )
-    return V.rank_of(C.score_lexical(flatten.leaves_with_role(t.alert_docs), ["sourceIp"]), expected)
+    return V.rank_of(C.score_lexical(flatten.leaves(t.alert_docs), ["sourceIp"]), expected)
 
 
 _ITEMS = """SELECT l_orderkey AS sample_id, l_returnflag AS target, l_linenumber AS pointer, l_partkey AS start_token, l_suppkey AS part_no,

@@ -68,7 +68,7 @@ mapped AS (SELECT e.*, f.pointer, f.score, f.last_pointer, coalesce(f.disagreeme
 
 
 def _leaves(t):
-    return flatten.leaves_with_role(t.alert_docs)
+    return flatten.leaves(t.alert_docs)
 
 
 def _scored(t):

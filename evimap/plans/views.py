@@ -13,6 +13,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evimap.session import spread
+
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -197,7 +199,8 @@ class Tables:
         return "evimap_" + hashlib.sha256(self.folder.encode()).hexdigest()[:10] + "_"
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # one small file is one task: give it to all cores; a large table is left as it is
+        return spread(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
     def sql(self, text: str) -> DataFrame:
         """Run a statement in which ``[name]`` names tables and views."""
