@@ -129,12 +129,11 @@ def name_score(shared: Column, label: Column, tokens: Column) -> Column:
     return shared / (F.size(label) + F.size(tokens) - shared)
 
 
-def seen_windows(words: Column) -> Column:
+def seen_windows(words: Column, lowered: Column) -> Column:
     """Windows with their distinct lower-case words, worked out once per leaf."""
     return F.transform(windows_of(words), lambda w: F.struct(
         w["start_token"].alias("start_token"), w["end_token"].alias("end_token"),
-        F.array_distinct(F.transform(
-            F.slice(words, w["start_token"] + 1, F.greatest(F.lit(1), w["end_token"] - w["start_token"])), lambda x: F.lower(x))).alias("seen"),
+        F.array_distinct(F.slice(lowered, w["start_token"] + 1, F.greatest(F.lit(1), w["end_token"] - w["start_token"]))).alias("seen"),
     ))
 
 
@@ -164,10 +163,12 @@ def description_of(target: Column, targets: Sequence[str]) -> Column:
 
 
 def _prepared(leaf_rows: DataFrame) -> DataFrame:
+    # the words of a value are lowered in one go: a call per word would dominate
     return (
         leaf_rows.withColumn("label", label_tokens(F.col("key"), F.col("ancestry"), F.col("role")))
         .withColumn("words", value_tokens(F.coalesce("value_text", F.lit(""))))
-        .withColumn("wins", seen_windows(F.col("words")))
+        .withColumn("lowered", F.split(F.lower(F.array_join("words", "\n")), "\n"))
+        .withColumn("wins", seen_windows(F.col("words"), F.col("lowered"))).drop("lowered")
     )
 
 
