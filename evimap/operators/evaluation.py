@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evimap import constants as K
+from evimap.sources.records import folded_digest
 
 CASE = ("case_id", "target")
 
@@ -89,13 +90,11 @@ def warm_performance(cases: DataFrame, by: str = "experiment") -> DataFrame:
 
 
 def case_target_hash(cases: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Order-free digest of which targets each case has; two levels, see the manifest."""
+    """Order-free digest of which targets each case has."""
     by = by or []
     per_case = cases.groupBy(*by, "case_id").agg(F.array_sort(F.collect_set("target")).alias("targets"))
     entry = F.concat(F.lit('{"id":"'), F.col("case_id").cast("string"), F.lit('","targets":["'), F.array_join("targets", '","'), F.lit('"]}'))
-    from evimap.sources.records import _two_level
-
-    return _two_level(per_case.select(*by, F.sha2(entry, 256).alias("h")), by).withColumnRenamed("records", "cases")
+    return folded_digest(per_case.select(*by, F.sha2(entry, 256).alias("h")), by).withColumnRenamed("records", "cases")
 
 
 def nondeterministic(answers: DataFrame, key: list[str]) -> DataFrame:

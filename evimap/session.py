@@ -45,15 +45,21 @@ def checkpoint_root(spark: SparkSession) -> str:
     return context.getCheckpointDir() or folder
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+# An input below one file split is read by one task.
+ONE_SPLIT = 128 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Size by the optimizer's statistics; plans the query, runs nothing."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame) -> DataFrame:
     """Give a narrow, CPU-heavy stage enough partitions.
 
-    A large input already has more splits than cores and is returned as it
-    is; a few small files would otherwise leave most cores idle.
+    Only an input that would be a single task is redistributed; a large one
+    already has many splits and is returned as it is, as is a stream.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.isStreaming or estimated_bytes(df) > ONE_SPLIT:
         return df
-    return df.repartition(cores, *keys) if keys else df.repartition(cores)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

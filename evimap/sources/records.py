@@ -38,18 +38,27 @@ def canonical_lines(df: DataFrame) -> Column:
 def dataset_digest(lines: DataFrame, column: str = "line") -> DataFrame:
     """(records, digest) of a text column, whatever the order and number of files.
 
-    Row hashes are folded in two levels: 65,536 buckets by hash prefix, then
-    the bucket hashes. No task ever holds the hashes of the whole dataset.
+    The digest is a hash of sums over the row hashes, see :func:`folded_digest`.
     """
-    return _two_level(lines.select(F.sha2(F.col(column), 256).alias("h")), [])
+    return folded_digest(lines.select(F.sha2(F.col(column), 256).alias("h")), [])
 
 
-def _two_level(hashes: DataFrame, by: list[str]) -> DataFrame:
-    buckets = hashes.groupBy(*by, F.substring("h", 1, 4).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h")
-    )
-    folded = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda b: b["h"]), ""), 256)
-    return buckets.groupBy(*by).agg(F.sum("n").alias("records"), folded.alias("digest"))
+LANES, LANE_DIGITS = 4, 15
+
+
+def folded_digest(hashes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, records, digest) of a column ``h`` of row hashes, repeats included.
+
+    Each hash is cut into four 60-bit numbers that are summed: sums merge on
+    the map side, so neither a task nor a group ever holds a list of hashes.
+    """
+    lanes = [
+        F.sum(F.conv(F.substring("h", 1 + LANE_DIGITS * n, LANE_DIGITS), 16, 10).cast("decimal(20,0)")).cast("string").alias(f"lane{n}")
+        for n in range(LANES)
+    ]
+    sums = hashes.groupBy(*by).agg(F.count(F.lit(1)).alias("records"), *lanes)
+    folded = F.sha2(F.concat_ws(":", F.col("records").cast("string"), *(F.col(f"lane{n}") for n in range(LANES))), 256)
+    return sums.select(*by, "records", folded.alias("digest"))
 
 
 def write_canonical(df: DataFrame, path: str, key: str) -> DataFrame:
@@ -62,7 +71,7 @@ def write_canonical(df: DataFrame, path: str, key: str) -> DataFrame:
 def manifest(df: DataFrame, by: str, *columns: str) -> DataFrame:
     """(by, records, digest) per source."""
     row = F.to_json(F.struct(*(F.col(c) for c in columns)), {"ignoreNullFields": "false"})
-    return _two_level(df.select(by, F.sha2(row, 256).alias("h")), [by])
+    return folded_digest(df.select(by, F.sha2(row, 256).alias("h")), [by])
 
 
 def verify_manifest(actual: DataFrame, expected: DataFrame, by: str) -> DataFrame:
