@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evimap import constants as K
-from evimap.functions import urls as U
-from evimap.functions.text import clean_text
 from evimap.operators import extraction as X
 from evimap.operators import flatten
 from evimap.plans.registry import query
@@ -67,10 +65,10 @@ paths AS (SELECT incident_id, pointer, array_to_string(list_filter(string_split_
   lambda p: p <> '' AND NOT regexp_matches(p, '^[0-9]+$')), '.') AS path, {clean_sql("coalesce(value_text, 'null')")} AS value FROM named)
 SELECT incident_id, path, value FROM paths WHERE path <> '' AND {available_sql('value')}""")
 def _(t):
-    return X_pairs(t).select("incident_id", "path", "value")
+    return _json_pairs(t).select("incident_id", "path", "value")
 
 
-def X_pairs(t):
+def _json_pairs(t):
     return flatten.json_pairs(t.alert_docs)
 
 
@@ -90,7 +88,7 @@ resolved AS (SELECT incident_id, field, value FROM hits WHERE turn = 1)"""
 
 @query("resolve_aliases", RESOLVED + " SELECT * FROM resolved")
 def _(t):
-    return X.resolve_aliases(X_pairs(t))
+    return X.resolve_aliases(_json_pairs(t))
 
 
 _FIELDS = ("sourceIp", "clientIp", "sourceUsername", "clientUserName", "deviceHostname", "eventName", "tenantName")
@@ -105,7 +103,7 @@ SELECT s.incident_id, {first_sql('d_sourceIp', 'j_sourceIp', 'j_clientIp')} AS "
   {first_sql('j_deviceHostname')} AS "deviceHostname", {first_sql('j_eventName', 't_eventName')} AS "eventName", {first_sql('d_tenantName', 'j_tenantName')} AS "tenantName"
 FROM shown s LEFT JOIN wide w ON s.incident_id = w.incident_id""")
 def _(t):
-    found = X.resolve_aliases(X_pairs(t))
+    found = X.resolve_aliases(_json_pairs(t))
     wide = found.groupBy("incident_id").agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"j_{f}") for f in _FIELDS))
     key, user = F.col("event_id"), F.col("user_id").cast("string")
     shown = t.events.select(

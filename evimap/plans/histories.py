@@ -48,9 +48,6 @@ def _(t):
     return H.historic_lines(H.topk_resolutions(t.incidents, 3))
 
 
-_ENTITY = "coalesce(nullif({}, ''), 'n/a')"
-
-
 def _na(*cols: str) -> str:
     return f"coalesce(nullif({first_sql(*cols)}, ''), 'n/a')"
 

@@ -201,11 +201,6 @@ def _(t):
     return C.coverage(flatten.leaves(t.alert_docs))
 
 
-_SWEPT = CHOSEN + """
-SELECT incident_id, target, arg_max({pick}(pointer), score) AS pointer FROM (
-  SELECT incident_id, target, score, pointer FROM strong) GROUP BY ALL"""
-
-
 @query("sweep", CHOSEN + """
 SELECT incident_id, target, CASE WHEN count(*) FILTER (score = top) > 0 THEN min(pointer) FILTER (score = top) END AS forward,
   max(pointer) FILTER (score = top) AS reverse FROM tops GROUP BY ALL""")
