@@ -89,14 +89,20 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def grams(hashes: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
-    """Order-sensitive hash of every ``width`` consecutive hashes of one flat array."""
-    n = len(hashes) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    base, out = np.uint64(0x9E3779B97F4A7C15), np.full(n, np.uint64(seed) ^ np.uint64(0x2545F4914F6CDD1D))
-    for i in range(width):
-        out = mix(out * base + hashes[i : i + n])
-    return out
+    """Order-sensitive hash of every ``width`` consecutive hashes of one flat array, by doubling."""
+    base, size, part, out = np.uint64(0x9E3779B97F4A7C15), 1, mix(hashes + np.uint64(seed)), None
+    done, left = 0, width
+    while len(hashes) >= width:
+        if left & 1:
+            tail = part[done : done + len(hashes) - width + 1]
+            out = tail if out is None else mix(out * base + tail)
+            done += size
+        left >>= 1
+        if not left:
+            return out
+        part = mix(part[:-size] * base + part[size:])
+        size *= 2
+    return np.zeros(0, np.uint64)
 
 
 def window_starts(offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

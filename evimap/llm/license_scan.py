@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evimap.llm.common import ascii_lower
+from evimap.llm.common import ascii_lower, kept_table
 
 # fixed value: what stands between words
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -52,14 +52,20 @@ NOTICES = (
 )
 
 
+#: the gram that stands for a text itself, so that texts without a hit keep a row
+MARK = ""
+
+
 def words_of(text: Column) -> Column:
     """Lower-cased words; a null is an empty text."""
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), lambda w: w != "")
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
 def _grams(words: Column, k: int) -> Column:
-    """Each k consecutive words, joined by a space."""
-    return F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(k)]))
+    """Structs of k consecutive words, from place 0, and behind them one of nulls."""
+    n = F.greatest(F.size(words) - (k - 1), F.lit(0))
+    mark = F.array(F.struct(*[F.lit(None).cast("string").alias(f"w{i}") for i in range(k)]))
+    return F.concat(F.arrays_zip(*[F.slice(words, i + 1, n).alias(f"w{i}") for i in range(k)]), mark)
 
 
 def template_grams(spark: SparkSession, templates: tuple[Template, ...], k: int = GRAM) -> DataFrame:
@@ -70,8 +76,28 @@ def template_grams(spark: SparkSession, templates: tuple[Template, ...], k: int
         if len(words) < k:
             raise ValueError(f"a template needs {k} words: {t.text}")
         rows += [(number, t.label, t.exact, len(words) - k + 1, i, " ".join(words[i : i + k])) for i in range(len(words) - k + 1)]
+    rows.append((-1, "", False, 0, 0, MARK))
     structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows]
-    return spark.range(1).select(F.inline(F.array(*structs))).withColumn("hash", F.xxhash64("gram"))
+    return spark.range(1).select(F.inline(F.array(*structs))).withColumn("__w", F.split(F.nullif("gram", F.lit(MARK)), " ")).withColumn("hash", F.xxhash64(*[F.get("__w", i) for i in range(k)])).drop("__w")
+
+
+def hits(df: DataFrame, templates: tuple[Template, ...], id_col: str, text: str, k: int) -> DataFrame:
+    """Each text's k-grams that occur in a template, with both places, and one marking row (template -1) for each text."""
+    # as many rows as the templates have k-grams: bounded by a parameter
+    table = F.broadcast(template_grams(df.sparkSession, templates, k))
+    words = df.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__text"), words_of(F.col(text)).alias("__words"))
+    places = words.select("__id", "__text", F.size("__words").alias("n_words"), F.posexplode(_grams(F.col("__words"), k)).alias("__place", "__gram"))
+    parts = [F.col(f"__gram.w{i}") for i in range(k)]
+    return places.withColumn("hash", F.xxhash64(*parts)).join(table, "hash").where(F.concat_ws(" ", *parts) == F.col("gram"))
+
+
+KEYS = ("__id", "__text", "template", "label", "exact", "grams")
+
+
+def _votes(found: DataFrame) -> DataFrame:
+    """Hits added up for each diagonal; a mark keeps the number of its text's rows and words."""
+    return found.withColumn("diagonal", F.when(F.col("template") >= 0, F.col("__place") - F.col("at"))).groupBy(*KEYS, "diagonal").agg(
+        F.min("__place").alias("low"), F.max("__place").alias("high"), F.collect_set("at").alias("ats"), F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("rows"))
 
 
 def spans(df: DataFrame, templates: tuple[Template, ...] = PHRASES + NOTICES, id_col: str = "doc_id", text: str = "text", k: int = GRAM,
@@ -80,47 +106,44 @@ def spans(df: DataFrame, templates: tuple[Template, ...] = PHRASES + NOTICES, id
 
     An exact template must have all its k-grams on one diagonal, word for word; one
     span is given for each place. Other templates gather neighbouring diagonals and
-    need ``min_cover`` of their k-grams.
+    need ``min_cover`` of their k-grams. Repeated rows give their spans once.
     """
-    # as many rows as the templates have k-grams: bounded by a parameter
-    table = F.broadcast(template_grams(df.sparkSession, templates, k))
-    hashed = df.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__text"), words_of(F.col(text)).alias("__words"))
-    places = hashed.where(F.size("__words") >= k).select("__id", "__text", F.posexplode(_grams(F.col("__words"), k)).alias("__place", "__gram"))
-    hits = places.withColumn("hash", F.xxhash64("__gram")).join(table, "hash").where(F.col("__gram") == F.col("gram"))
-    keys = ["__id", "__text", "template", "label", "exact", "grams"]
-    votes = hits.withColumn("diagonal", F.col("__place") - F.col("at")).groupBy(*keys, "diagonal").agg(
-        F.countDistinct("at").alias("votes"), F.min("__place").alias("low"), F.max("__place").alias("high"), F.collect_set("at").alias("ats"))
-    return _merged(votes, keys, k, reach, min_cover).select(F.col("__id").alias(id_col), F.col("__text").alias("text_hash"), "template", "label", "exact",
-                                                            "first_word", "last_word", "cover")
-
-
-def _merged(votes: DataFrame, keys: list[str], k: int, reach: int, min_cover: float) -> DataFrame:
-    exact = votes.where(F.col("exact") & (F.col("votes") == F.col("grams"))).select(*keys, F.col("low").alias("first_word"), F.col("high").alias("last_gram"), F.lit(1.0).alias("cover"))
-    loose = votes.where(~F.col("exact"))
-    order = Window.partitionBy(*keys).orderBy("diagonal")
-    gap = F.col("diagonal") - F.lag("diagonal").over(order)
-    chained = loose.withColumn("start", (gap.isNull() | (gap > reach)).cast("int")).withColumn("group", F.sum("start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    # template places are numbered, so the union of the groups' places is as short as the template
-    merged = chained.groupBy(*keys, "group").agg(F.min("low").alias("first_word"), F.max("high").alias("last_gram"), F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"))
-    merged = merged.withColumn("cover", F.size("ats") / F.col("grams")).where(F.col("cover") >= min_cover)
-    return exact.unionByName(merged.select(*keys, "first_word", "last_gram", "cover")).withColumn("last_word", F.col("last_gram") + (k - 1))
+    votes = _votes(hits(df, templates, id_col, text, k)).where("template >= 0")
+    return _merged(votes, k, reach, min_cover).select(F.col("__id").alias(id_col), F.col("__text").alias("text_hash"), "template", "label", "exact", "first_word", "last_word", "cover")
 
 
-def scan(df: DataFrame, templates: tuple[Template, ...] = PHRASES + NOTICES, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def _merged(votes: DataFrame, k: int, reach: int, min_cover: float) -> DataFrame:
+    order = Window.partitionBy(*KEYS).orderBy("diagonal")
+    gap = F.col("diagonal") - F.lag("diagonal").over(order)
+    # each place of an exact template is a span of its own
+    begins = F.col("exact") | gap.isNull() | (gap > reach)
+    chained = votes.withColumn("begins", begins.cast("int")).withColumn("chain", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # template places are numbered, so a set of them is as short as the template
+    merged = chained.withColumn("at", F.explode("ats")).groupBy(*KEYS, "chain").agg(
+        F.min("low").alias("first_word"), (F.max("high") + (k - 1)).alias("last_word"), F.size(F.collect_set("at")).alias("covered"))
+    least = F.when(F.col("exact"), 1.0).otherwise(min_cover)
+    return merged.withColumn("cover", F.col("covered") / F.col("grams")).where(F.col("cover") >= least)
+
+
+def scan(df: DataFrame, templates: tuple[Template, ...] = PHRASES + NOTICES, id_col: str = "doc_id", text: str = "text", k: int = GRAM,
+         reach: int = REACH, min_cover: float = MIN_COVER) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) of each row.
 
     n_base: places of exact templates; first_word and last_word: their smallest and
     largest start; labels: of all verified spans, sorted and joined by commas; score:
     the best cover, 0 without a span. Null and empty texts have no words and no
     span. Repeated rows each give a row with equal values, null ids too; an empty
-    table gives none, other columns are not read.
+    table gives none, other columns are not read. Texts are read once.
     """
-    found = spans(df, templates, id_col, text, **options).groupBy(F.col(id_col).alias("__key"), F.col("text_hash").alias("__text")).agg(
-        F.count(F.when(F.col("exact"), 1)).alias("n_base"), F.min(F.when(F.col("exact"), F.col("first_word"))).cast("long").alias("first_word"),
-        F.max(F.when(F.col("exact"), F.col("first_word"))).cast("long").alias("last_word"),
-        F.array_join(F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"), F.max("cover").alias("score"))
-    rows = df.select(F.col(id_col), F.xxhash64(text).alias("__hash"), F.size(words_of(F.col(text))).cast("long").alias("n_words"))
-    joined = rows.join(found, rows[id_col].eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__text")), "left")
-    return joined.select(id_col, "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
-                         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    # kept: two readers with filters of their own would make Spark read all texts twice
+    votes = kept_table(_votes(hits(df, templates, id_col, text, k)), "license-votes")
+    marks = votes.where("template < 0").select("__id", "__text", F.col("n_words"), "rows")
+    found = _merged(votes.where("template >= 0"), k, reach, min_cover).select("__id", "__text", "label", "exact", "first_word", "cover")
+    exact = F.col("exact")
+    merged = marks.unionByName(found, allowMissingColumns=True).groupBy("__id", "__text").agg(
+        F.max("n_words").cast("long").alias("n_words"), F.max("rows").alias("rows"), F.count(F.when(exact, 1)).alias("n_base"),
+        F.min(F.when(exact, F.col("first_word"))).cast("long").alias("first_word"), F.max(F.when(exact, F.col("first_word"))).cast("long").alias("last_word"),
+        F.array_join(F.sort_array(F.collect_set(F.when(exact, F.col("label")))), ",").alias("base_labels"),
+        F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"), F.coalesce(F.max("cover"), F.lit(0.0)).alias("score"))
+    copies = merged.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    return copies.select(F.col("__id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")

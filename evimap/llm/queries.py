@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evimap.llm import bpe, license_scan, quality_crf, quality_rules, source_mixing, token_counts, url_reputation
+from evimap.llm import bpe, license_scan, near_dedup, quality_crf, quality_rules, source_mixing, substring_dedup, token_counts, topk_search, url_reputation
 from evimap.llm.common import documents, with_arrow
 
 QUERIES: dict = {}
@@ -84,3 +84,20 @@ def op6_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(documents(spark, folder))
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.removals(documents(spark, folder)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.classes(documents(spark, folder))
+
+
+@query
+def op9_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries: every document whose id is divisible by 100."""
+    rows = documents(spark, folder)
+    return topk_search.search(rows, rows.where(F.col("doc_id") % 100 == 0))
