@@ -32,6 +32,23 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: text bytes that numpy works on at once
+SLICE_BYTES = 4 << 20
+
+
+def sliced(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about ``most`` bytes of text, one row at least, so memory doesn't follow Spark's batch size."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(size) - size) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(int(a), int(b - a))
+
+
 def with_arrow(df: DataFrame, columns: list[str], added: list[T.StructField], fn: Callable[[pa.RecordBatch], list[pa.Array]],
                dropped: tuple[str, ...] = ()) -> DataFrame:
     """Columns of ``df`` and those that ``fn`` makes of each Arrow batch, in one pass without a shuffle."""
@@ -41,8 +58,8 @@ def with_arrow(df: DataFrame, columns: list[str], added: list[T.StructField], fn
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + fn(batch), names=names)
+            for piece in sliced(batch):
+                yield pa.RecordBatch.from_arrays([piece.column(c) for c in kept] + fn(piece), names=names)
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -148,7 +148,7 @@ def fit_on(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         return [lists(x.astype(np.float32).ravel(), WIDTH), lists(lengths.astype(np.float32), 1)]
 
     added = [T.StructField("__x", T.ArrayType(T.FloatType())), T.StructField("__n", T.ArrayType(T.FloatType()))]
-    table = with_arrow(rows, ["__id", "__text", "__label"], added, run, dropped=("__text",)).toPandas().sort_values("__id")
+    table = with_arrow(rows, ["__id", "__text", "__label"], added, run, dropped=("__text",)).toArrow().to_pandas().sort_values("__id")
     if not len(table):
         return fit(np.zeros((0, WIDTH)), np.zeros(0), np.zeros(0), np.zeros(1, np.int64))
     offsets = np.concatenate([[0], np.cumsum([len(n) for n in table["__n"]])])

@@ -119,7 +119,7 @@ def fit_on(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     # the sample is bounded by its parameter, so it may be sent to every task
     rows = df.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(named), "__id").withColumnRenamed("__y", "__label")
     vector = [T.StructField(f, T.DoubleType()) for f in FEATURES]
-    table = with_arrow(rows, ["__text", "__label", "__id"], vector, lambda b: [pa.array(c) for c in features(text_statistics(b.column("__text"))).T], dropped=("__text",)).toPandas()
+    table = with_arrow(rows, ["__text", "__label", "__id"], vector, lambda b: [pa.array(c) for c in features(text_statistics(b.column("__text"))).T], dropped=("__text",)).toArrow().to_pandas()
     table = table.sort_values(["__id", *FEATURES])
     return fit(table[list(FEATURES)].to_numpy(np.float64), table["__label"].to_numpy(np.float64))
 

@@ -3,8 +3,8 @@
 1. Every text gives fingerprints: of each 50-word window the least hash of its
    25-word phrases (winnowing), so two equal windows share a phrase that both select.
 2. Equal word sequences are one text; phrases that two texts select are recurring.
-3. A batch of texts is a shard: its recurring phrases are compiled to one Aho-Corasick
-   automaton over word numbers, and all the batch's texts are streamed through it.
+3. A slice of a task's texts is a shard: its recurring phrases are compiled to one Aho-Corasick
+   automaton over word numbers, and all the shard's texts are streamed through it.
 4. Windows around the places found are confirmed by 128-bit digests across all shards;
    a window that starts in a document with a smaller id is removed.
 """

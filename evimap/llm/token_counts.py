@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evimap.llm.common import per_row, split_words, with_arrow
+from evimap.llm.common import per_row, sliced, split_words, with_arrow
 
 TABLE_SIZE = 16384
 CACHE_SIZE = 200_000
@@ -70,7 +70,7 @@ def frequent_runs(df: DataFrame, text: str = "text", size: int = TABLE_SIZE) ->
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, int] = {}
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in sliced(whole)):
             found = pc.value_counts(split_words(batch.column(0))[0])
             counts = found.field("counts").to_numpy(zero_copy_only=False)
             if len(counts) > size:
