@@ -436,7 +436,7 @@ def _(t):
 
 # --- storage ------------------------------------------------------------------------------------
 MANIFEST = """WITH h AS (SELECT source, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || '}') AS h FROM [documents]),
-m AS (SELECT source, count(*) AS records, sha256(count(*) || ':' || CAST(sum(CAST('0x' || substring(h, 1, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 16, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 31, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 46, 15) AS BIGINT)) AS STRING)) AS digest FROM h GROUP BY source)"""
+m AS (SELECT source, count(*) AS records, sha256(count(*) || ':' || CAST(sum(CAST('0x' || substring(h, 1, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 16, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 31, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 46, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 61, 15) AS BIGINT)) AS STRING)) AS digest FROM h GROUP BY source)"""
 
 
 @query("dataset_manifest", MANIFEST + " SELECT * FROM m")
@@ -481,6 +481,6 @@ def _(t):
 
 @query("write_canonical_jsonl", """
 WITH h AS (SELECT sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}') AS h FROM [documents])
-SELECT count(*) AS records, sha256(count(*) || ':' || CAST(sum(CAST('0x' || substring(h, 1, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 16, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 31, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 46, 15) AS BIGINT)) AS STRING)) AS digest FROM h""")
+SELECT count(*) AS records, sha256(count(*) || ':' || CAST(sum(CAST('0x' || substring(h, 1, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 16, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 31, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 46, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 61, 15) AS BIGINT)) AS STRING)) AS digest FROM h""")
 def _(t):
     return S.write_canonical(t.documents.select("doc_id", "source", "lang"), _scratch(t, "canonical"), "doc_id")

@@ -65,7 +65,7 @@ def _(t):
 
 @query("case_target_hash", """
 WITH c AS (SELECT experiment, case_id, sha256('{"id":"' || case_id || '","targets":["' || string_agg(DISTINCT target, '","' ORDER BY target) || '"]}') AS h FROM [runs] GROUP BY experiment, case_id)
-SELECT experiment, count(*) AS cases, sha256(count(*) || ':' || CAST(sum(CAST('0x' || substring(h, 1, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 16, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 31, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 46, 15) AS BIGINT)) AS STRING)) AS digest FROM c GROUP BY experiment""")
+SELECT experiment, count(*) AS cases, sha256(count(*) || ':' || CAST(sum(CAST('0x' || substring(h, 1, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 16, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 31, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 46, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 61, 15) AS BIGINT)) AS STRING)) AS digest FROM c GROUP BY experiment""")
 def _(t):
     return V.case_target_hash(t.runs, ["experiment"])
 

@@ -43,13 +43,13 @@ def dataset_digest(lines: DataFrame, column: str = "line") -> DataFrame:
     return folded_digest(lines.select(F.sha2(F.col(column), 256).alias("h")), [])
 
 
-LANES, LANE_DIGITS = 4, 15
+LANES, LANE_DIGITS = 5, 15
 
 
 def folded_digest(hashes: DataFrame, by: list[str]) -> DataFrame:
     """(by, records, digest) of a column ``h`` of row hashes, repeats included.
 
-    Each hash is cut into four 60-bit numbers that are summed: sums merge on
+    Each hash is cut into four 60-bit numbers and its last 16 bits, all summed: sums merge on
     the map side, so neither a task nor a group ever holds a list of hashes.
     """
     lanes = [
