@@ -7,9 +7,11 @@ shingle's weight; it falls into one of the signature's places, which keeps the f
 Equal places then have the chance of the weighted Jaccard similarity.
 
 Texts that share a band are candidates. Of each bucket one member is compared with
-all others; members that stay in other classes are compared with a new one, until a
-round finds no link; what is then left unlinked in a bucket is compared one with the
-other. Every comparison is exact on both whole bags.
+all others. Where classes still differ, a bucket of few members is compared one with
+the other and is settled; the members of a larger one are compared with two new
+leaders, until a round finds no link, and what is then left one with the other.
+Links join classes; a round only reads the buckets that are not settled. Every
+comparison is exact on both whole bags.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +30,8 @@ from evimap.llm.common import grams, kept_table, mix, window_starts, with_arrow,
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
+#: members up to which a bucket is compared one with the other at once, so pairs stay below SMALL / 2 for each member
+SMALL = 32
 
 
 def bags(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -133,7 +137,10 @@ def _signed(df: DataFrame, id_col: str, text: str, bands: int, rows: int, shingl
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
-    """Those (a, b) whose bags have a similarity of ``least`` or more; a's bag is kept while it stays the same."""
+    """Links (a, b) of the classes of those ``pairs`` (a, b, class_a, class_b) whose bags have a similarity of ``least`` or more.
+
+    a's bag is kept while it stays the same.
+    """
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("body").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("body").alias("text_b")), "b")
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -144,7 +151,27 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) ->
             out.append(similarity(of_last, bag(b, shingle)) >= least - 1e-12)
         return [pa.array(out, pa.bool_())]
 
-    return with_arrow(both, ["a", "b", "text_a", "text_b"], [T.StructField("linked", T.BooleanType())], run, dropped=("text_a", "text_b")).where("linked").select("a", "b").distinct()
+    judged = with_arrow(both, ["class_a", "class_b", "text_a", "text_b"], [T.StructField("linked", T.BooleanType())], run, dropped=("text_a", "text_b"))
+    return judged.where("linked").select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+
+
+def _likely(weight: str, other: str, least: float) -> Column:
+    """Whether two bags of these sizes can be similar enough."""
+    return F.least(weight, other) >= F.greatest(weight, other) * (least - 1e-12)
+
+
+def _led(live: DataFrame, leaders: tuple[str, ...], least: float) -> DataFrame:
+    """Each bucket's leaders with its members of other classes."""
+    led = live.select("id", "class", "weight", F.explode(F.array(*leaders)).alias("rep"))
+    return led.where((F.col("class") != F.col("rep.class")) & _likely("weight", "rep.weight", least)).select(
+        F.col("rep.id").alias("a"), F.col("id").alias("b"), F.col("rep.class").alias("class_a"), F.col("class").alias("class_b"))
+
+
+def _crossed(live: DataFrame, least: float) -> DataFrame:
+    """Pairs of a bucket's members that are of different classes, if their sizes allow a link."""
+    one, other = (live.select("bucket", F.col("id").alias(x), F.col("class").alias(f"class_{x}"), F.col("weight").alias(f"weight_{x}")) for x in "ab")
+    return one.join(other, "bucket").where((F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class_b")) & _likely("weight_a", "weight_b", least)).select(
+        "a", "b", "class_a", "class_b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -161,6 +188,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _moved(rows: DataFrame, step: DataFrame) -> DataFrame:
+    """``rows`` with each class replaced by the one that ``step`` (class, to) names."""
+    return rows.join(step, "class", "left").withColumn("class", F.coalesce("to", "class")).drop("to").select(*rows.columns)
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
     """(id, class_id, n_shingles, representative) of each row: class_id is the smallest id that links of ``least`` or more reach.
 
@@ -172,35 +204,34 @@ def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: fl
     signed = kept_table(_signed(df, id_col, text, bands, rows, shingle), "signed")
     full = signed.where(F.col("id").isNotNull() & (F.col("weight") > 0))
     copies = kept_table(full.groupBy("sha").agg(F.min("id").alias("first"), F.min_by(F.struct("weight", "bands"), "id").alias("of")), "copies")
-    banded = copies.select(F.col("first").alias("id"), F.col("of.weight").alias("weight"), F.explode("of.bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = kept_table(banded.join(shared, "bucket"), "members")
-    ids = members.select("id").distinct()
-    texts = kept_table(df.select(F.col(id_col).alias("id"), F.col(text).alias("body")).join(ids, "id"), "texts")
-    links, labels = None, None
-    alike = F.least("weight", "rep.weight") >= F.greatest("weight", "rep.weight") * (least - 1e-12)
-    turn = 0
+    placed = copies.select(F.col("first").alias("id"), F.col("first").alias("class"), F.col("of.weight").alias("weight"), F.explode("of.bands").alias("bucket"))
+    texts, labels, turn = None, None, 0
     while True:
         turn += 1
-        placed = members.withColumn("class", F.col("id")) if labels is None else members.join(labels, "id", "left").withColumn("class", F.coalesce("class", "id"))
-        mixed = placed.groupBy("bucket").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "class", "weight")).alias("rep")).where("c0 <> c1").select("bucket", "rep")
-        pairs = placed.join(mixed, "bucket").where((F.col("class") != F.col("rep.class")) & alike).select(F.col("rep.id").alias("a"), F.col("id").alias("b")).distinct()
-        new = kept_table(verified(pairs, texts, least, shingle), "links")
+        one = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "class", "weight")
+        mixed = placed.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("n"), F.min("class").alias("c0"), F.max("class").alias("c1"), F.min(one).alias("r0"), F.max(one).alias("r1")).where("c0 <> c1").drop("c0", "c1")
+        live = kept_table(placed.join(mixed, "bucket"), "live")
+        if turn == 1:
+            labels = kept_table(live.select("id").distinct().withColumn("class", F.col("id")), "labels")
+            texts = kept_table(df.select(F.col(id_col).alias("id"), F.col(text).alias("body")).join(labels.select("id"), "id"), "texts")
+            pairs, placed = _led(live, ("r0",), least), live
+        else:
+            placed = live.where(F.col("n") > SMALL)
+            pairs = _led(placed, ("r0", "r1"), least).union(_crossed(live.where(F.col("n") <= SMALL), least))
+        placed = placed.select("bucket", "id", "class", "weight")
+        new = kept_table(verified(pairs.distinct(), texts, least, shingle), "links")
         if new.isEmpty():
             break
-        links = new if links is None else links.union(new)
-        labels = components(links)
-    # what no member has linked is compared one with the other, if their bags' sizes allow a link
-    left = placed.join(mixed.select("bucket"), "bucket")
-    other = left.select("bucket", F.col("id").alias("b"), F.col("class").alias("class_b"), F.col("weight").alias("weight_b"))
-    sizes = F.least("weight", "weight_b") >= F.greatest("weight", "weight_b") * (least - 1e-12)
-    rest = left.join(other, (left["bucket"] == other["bucket"]) & (F.col("id") < F.col("b")) & (F.col("class") != F.col("class_b")) & sizes).select(F.col("id").alias("a"), "b").distinct()
-    new = kept_table(verified(rest, texts, least, shingle), "links")
+        step = components(new).select(F.col("id").alias("class"), F.col("class").alias("to"))
+        labels = kept_table(_moved(labels, step), "labels")
+        placed = _moved(placed, step)
+    # what no leader has linked is compared one with the other
+    new = kept_table(verified(_crossed(placed, least).distinct(), texts, least, shingle), "links")
     if not new.isEmpty():
-        labels = components(new if links is None else links.union(new))
+        labels = _moved(labels, components(new).select(F.col("id").alias("class"), F.col("class").alias("to")))
     named = copies.select("sha", "first")
-    if labels is not None:
-        named = named.join(labels.select(F.col("id").alias("first"), "class"), "first", "left").withColumn("first", F.coalesce("class", "first")).drop("class")
+    named = named.join(labels.select(F.col("id").alias("first"), "class"), "first", "left").withColumn("first", F.coalesce("class", "first")).drop("class")
     named = named.withColumnRenamed("first", "__class")
     out = signed.select("id", "sha", "weight").join(named, "sha", "left")
     own = F.col("id").isNotNull() & (F.col("weight") > 0)
