@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evimap import constants as K
 
 
 def canonical_json(raw: Column) -> Column:
@@ -89,20 +88,21 @@ def walk(raw: str, value: str, index: str, **limits) -> Column:
 
 def walk_text(
     raw: str, value: str, index: str, paths: bool = False,
-    max_depth: int = K.MAX_DEPTH + 1, max_items: int | None = None, max_keys: int | None = None,
+    max_depth: int | None = None, max_items: int | None = None, max_keys: int | None = None,
 ) -> str:
     """All nodes of one document as an array of structs, level by level.
 
     One expression evaluated inside the row: each step replaces the open
     containers by their children. There is no shuffle, no driver loop and no
-    Python; the number of steps is bounded by the brackets in the text and by
-    the depth limit. ``paths`` also carries the dotted path without list steps
+    Python; the steps are as many as the brackets in the text, and those after
+    the last level leave the state as it is. The three limits are off unless
+    given. ``paths`` also carries the dotted path without list steps
     and an ordinal that sorts the nodes depth first.
     """
     escaped = r"replace(replace(c.key, '\\', '\\\\'), '.', '\\.')"
     shown_field = f"if(n.shown = '', {escaped}, concat(n.shown, '.', {escaped}))" if paths else "''"
     shown_item = "n.shown" if paths else "''"
-    ordinal = "concat(n.ordinal, lpad(cast(i as string), 6, '0'))" if paths else "''"
+    ordinal = "concat(n.ordinal, lpad(cast(i as string), 10, '0'))" if paths else "''"
     fields = "map_entries(n.fields)" if max_keys is None else f"slice(map_entries(n.fields), 1, {max_keys})"
     items = "n.items" if max_items is None else f"slice(n.items, 1, {max_items})"
     is_open = "n.fields is not null or n.items is not null"
@@ -126,12 +126,13 @@ def walk_text(
         "array<struct<pointer:string,ancestry:array<string>,key:string,position:int,role:string,shown:string,ordinal:string,"
         "children:int,container:string,value:variant>>"
     )
-    steps = f"sequence(0, least({max_depth}, length({raw}) - length(translate({raw}, '{{[', ''))))"
+    brackets = f"length({raw}) - length(translate({raw}, '{{[', ''))"
+    steps = f"sequence(0, {brackets if max_depth is None else f'least({max_depth}, {brackets})'})"
     return (
-        f"if({value} is null, null, aggregate({steps}, named_struct('open', array({root}), 'done', cast(array() as {kind})), "
-        f"(acc, step) -> named_struct("
+        f"if({value} is null, null, aggregate({steps}, named_struct('open', array({root}), 'done', cast(array() as array<{kind}>)), "
+        f"(acc, step) -> if(size(acc.open) = 0, acc, named_struct("
         f"'open', flatten(transform(filter(acc.open, n -> {is_open}), n -> coalesce("
         f"transform({fields}, (c, i) -> {field}), transform({items}, (x, i) -> {item})))), "
-        f"'done', concat(acc.done, transform(acc.open, n -> {slim}))), "
-        f"acc -> acc.done))"
+        f"'done', concat(acc.done, array(transform(acc.open, n -> {slim}))))), "
+        f"acc -> flatten(acc.done)))"
     )

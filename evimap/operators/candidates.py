@@ -119,7 +119,7 @@ def label_tokens(key: Column, ancestry: Column, role: Column | None = None) -> C
     The ``value`` of a key/value record is named by the sibling ``key``.
     """
     own = key if role is None else F.coalesce(role, key)
-    named = F.filter(F.slice(ancestry, 3, 100), lambda a: ~a.rlike("^[0-9]+$"))
+    named = F.filter(F.slice(ancestry, 3, F.size(ancestry)), lambda a: ~a.rlike("^[0-9]+$"))
     parent = F.coalesce(F.try_element_at(named, F.lit(-1)), F.lit(""))
     return name_tokens(F.concat_ws(" ", parent, own))
 

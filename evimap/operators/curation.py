@@ -341,7 +341,9 @@ def record_violations(records: DataFrame, decisions: str = "decisions") -> DataF
         return F.try_element_at("places", p)
 
     def differs(v: Column) -> Column:
-        return F.exists(v["accepted"], lambda p: place(p).isNull() | (place(p)["vtype"] != v["value_type"]) | ~place(p)["text"].eqNullSafe(v["value"]))
+        number = v["value"].try_cast("double")
+        return F.exists(v["accepted"], lambda p: place(p).isNull() | (place(p)["vtype"] != v["value_type"]) | F.when(
+            v["value_type"] == "number", ~place(p)["number"].eqNullSafe(number)).otherwise(~place(p)["text"].eqNullSafe(v["value"])))
 
     def unfit(t: Column, pointers: Column) -> Column:
         return F.exists(pointers, lambda p: ~F.coalesce(fits(place(p), F.try_element_at("_kinds", t)), F.lit(False)))

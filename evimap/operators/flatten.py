@@ -160,7 +160,7 @@ def sanitize_json(docs: DataFrame, replacement: str = K.REDACTED) -> DataFrame:
 
 
 def sensitive_ancestry(ancestry: Column, key: Column) -> Column:
-    return F.exists(F.concat(F.slice(ancestry, 3, 100), F.array(key)), is_sensitive_key)
+    return F.exists(F.concat(F.slice(ancestry, 3, F.size(ancestry)), F.array(key)), is_sensitive_key)
 
 
 def drop_sensitive_leaves(leaf_rows: DataFrame) -> DataFrame:
@@ -168,19 +168,19 @@ def drop_sensitive_leaves(leaf_rows: DataFrame) -> DataFrame:
     return leaf_rows.where(~sensitive_ancestry(F.col("ancestry"), F.col("key")))
 
 
-def json_pairs(docs: DataFrame, max_depth: int = 10, max_nodes: int = 5000, max_items: int = 100, max_keys: int = 200) -> DataFrame:
+def json_pairs(docs: DataFrame, max_depth: int | None = None, max_nodes: int | None = None, max_items: int | None = None, max_keys: int | None = None) -> DataFrame:
     """(incident_id, doc_index, ordinal, path, value, pointer) for label lookups.
 
-    The four limits belong to the rule: what lies beyond them is not evidence.
-    They are applied inside the row of one document.
+    Every pair of a document is given; the four limits are off unless a caller
+    sets them, and then apply inside the row of one document.
     """
     parsed = _parsed(docs)
     walked = J.walk("raw", "doc", "doc_index", paths=True, max_depth=max_depth, max_items=max_items, max_keys=max_keys)
     in_order = F.array_sort("all", lambda a, b: F.when(a["ordinal"] < b["ordinal"], -1).when(a["ordinal"] > b["ordinal"], 1).otherwise(0))
-    visited = F.when(F.size("all") > max_nodes, F.slice(in_order, 1, max_nodes)).otherwise(F.col("all"))
+    visited = F.col("all") if max_nodes is None else F.when(F.size("all") > max_nodes, F.slice(in_order, 1, max_nodes)).otherwise(F.col("all"))
     near = parsed.select("incident_id", "doc_index", walked.alias("all")).select("incident_id", "doc_index", F.inline(visited))
     typed = _typed(near.where("container is null"))
-    path = normalize_json_path(F.array_join(F.concat(F.slice("ancestry", 3, 100), F.array("key")), "."))
+    path = normalize_json_path(F.array_join(F.concat(F.slice("ancestry", 3, F.size("ancestry")), F.array("key")), "."))
     return (
         typed.withColumn("path", F.when(F.size("ancestry") > 1, path).otherwise(F.lit("")))
         .withColumn("value", clean_text(F.coalesce("value_text", F.lit("null"))))

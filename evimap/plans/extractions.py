@@ -38,15 +38,15 @@ def _(t):
 _ROWS = """SELECT l_orderkey AS page_id, CASE WHEN l_linenumber % 2 = 0 THEN 'Source Events' ELSE 'JSON Events' END AS heading,
     l_linenumber * 1000000 + l_partkey AS ord, 'k' || CAST(l_partkey % 3 AS STRING) AS k,
     CASE l_suppkey % 4 WHEN 0 THEN '{"q": ' || CAST(l_suppkey AS STRING) || '}' WHEN 1 THEN '["a", "' || l_returnflag || '"]'
-         WHEN 2 THEN ' {broken} ' ELSE 'text "' || l_linestatus || '"' END AS v, l_quantity = 7 AS wide, l_quantity = 9 AS blank FROM [lineitem]"""
+         WHEN 2 THEN ' {broken} ' ELSE 'text "' || l_linestatus || '"' END AS v, l_quantity = 7 AS wide, l_quantity = 9 AS blank, l_quantity = 11 AS header FROM [lineitem]"""
 
 
 @query("event_table_documents", f"""
 WITH r AS ({_ROWS}), placed AS (SELECT *, lower(heading) AS section, row_number() OVER (PARTITION BY page_id, heading ORDER BY ord, v) AS place,
-  NOT wide AND NOT blank AS good, {trim_sql('v')} AS cell FROM r),
+  NOT wide AND NOT blank AS good, {trim_sql('v')} AS cell FROM r WHERE NOT header),
 vals AS (SELECT *, CASE WHEN json_valid(cell) AND cell <> '{{broken}}' AND (cell LIKE '{{%' OR cell LIKE '[%') THEN CAST(json(cell) AS STRING) ELSE CAST(to_json(cell) AS STRING) END AS val FROM placed),
-keyed AS (SELECT page_id, section, k, min(place) FILTER (good) AS place, count(*) FILTER (good) AS n, string_agg(val, ',' ORDER BY place) FILTER (good) AS vals FROM vals GROUP BY ALL),
-docs AS (SELECT page_id, section, '{{' || string_agg('"' || k || '":' || CASE WHEN n = 1 THEN vals ELSE '[' || vals || ']' END, ',' ORDER BY place) || '}}' AS document
+keyed AS (SELECT page_id, section, k, min(place) FILTER (good) AS place, count(*) FILTER (good) AS n, string_agg(val, ',' ORDER BY place) FILTER (good) AS vals, arg_min(val, place) FILTER (good) AS one FROM vals GROUP BY ALL),
+docs AS (SELECT page_id, section, '{{' || string_agg('"' || k || '":' || CASE WHEN n = 1 THEN vals WHEN one = '[]' THEN '[' || substring(vals, 4) || ']' WHEN one LIKE '[%' THEN '[' || substring(one, 2, length(one) - 2) || substring(vals, length(one) + 1) || ']' ELSE '[' || vals || ']' END, ',' ORDER BY place) || '}}' AS document
   FROM keyed WHERE n > 0 GROUP BY page_id, section),
 flags AS (SELECT page_id, bool_and(good) AND count(DISTINCT section) = 2 AS complete FROM vals GROUP BY page_id),
 sections AS (SELECT DISTINCT page_id, section FROM vals)
@@ -55,7 +55,7 @@ JOIN flags f ON s.page_id = f.page_id""")
 def _(t):
     rows = t.sql(_ROWS).select(
         "page_id", F.lower("heading").alias("section"), F.struct("ord", "v").alias("ord"),
-        F.when(F.col("wide"), F.array("k", "v", F.lit("x"))).when(F.col("blank"), F.array(F.lit(" "), "v")).otherwise(F.array("k", "v")).alias("cells"),
+        F.when(F.col("header"), F.expr("cast(array() as array<string>)")).when(F.col("wide"), F.array("k", "v", F.lit("x"))).when(F.col("blank"), F.array(F.lit(" "), "v")).otherwise(F.array("k", "v")).alias("cells"),
     )
     return X.event_documents(rows)
 
