@@ -1,19 +1,20 @@
 """Byte-level BPE over whole texts: merges by a priority queue, decoding by vocabulary strings.
 
 A pre-token starts as a doubly linked list of byte symbols. The queue holds
-(rank, place) of each mergeable pair; an entry is stale if the pair at its place
-has changed since, and is then skipped. Equal pre-tokens are merged once in each
+rank and place of each mergeable pair as one number; an entry is stale if the pair at
+its place has another rank by now, and is then skipped. Equal pre-tokens are merged once in each
 worker while a bounded cache holds them.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 from array import array
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -22,8 +23,11 @@ from evimap.llm.common import with_arrow
 
 # fixed value: the split of byte-level BPE
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_SIZE = 150_000
+#: entries of each of a worker's two generations of runs, about 200 bytes each, and of its table of parts of runs
+CACHE_SIZE, PARTS_SIZE = 400_000, 100_000
 LONGEST_CACHED = 64
+#: bits of a queue entry that hold the place; the rank lies above them
+PLACE = (1 << 40) - 1
 
 _loaded: dict[str, Bpe] = {}
 
@@ -45,16 +49,20 @@ class Bpe:
         vocab = spec["model"]["vocab"]
         letters = byte_letters()
         self.of_byte = [vocab[x] for x in letters]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.width = max(vocab.values()) + 1
+        self.rank: dict[int, int] = {}  # of the pair a, b under a * width + b
+        self.made: list[int] = []  # the symbol that the merge of a rank makes
         for rank, (a, b) in enumerate(spec["model"]["merges"]):
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.rank[vocab[a] * self.width + vocab[b]] = rank
+            self.made.append(vocab[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         byte_of = {x: b for b, x in enumerate(letters)}
-        self.strings = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
+        strings = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for word, i in vocab.items():
-            self.strings[i] = bytes(byte_of[x] for x in word)
+            strings[i] = bytes(byte_of[x] for x in word)
         for word, i in self.special.items():
-            self.strings[i] = word.encode()
+            strings[i] = word.encode()
+        self.strings = pa.array(strings, pa.large_binary())
         self.pattern = regex.compile(PRE_TOKEN)
         self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.young: dict[str, bytes] = {}
@@ -64,36 +72,43 @@ class Bpe:
     def merge(self, pre_token: str) -> bytes:
         """Ids of one pre-token, as little-endian 32-bit integers."""
         symbols = [self.of_byte[b] for b in pre_token.encode("utf-8")]
-        n, merges = len(symbols), self.merges
+        n, rank_of, width, made = len(symbols), self.rank.get, self.width, self.made
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = []
-        for i in range(n - 1):
-            if (hit := merges.get((symbols[i], symbols[i + 1]))) is not None:
-                queue.append((hit[0], i, hit[1]))
-        heapq.heapify(queue)
+        ranks = [rank_of(a * width + b, -1) for a, b in zip(symbols, symbols[1:], strict=False)]  # of the pair at each place now
+        ranks.append(-1)
+        queue = [r << 40 | i for i, r in enumerate(ranks) if r >= 0]
+        heapify(queue)
         while queue:
-            rank, i, merged = heapq.heappop(queue)
-            j = after[i]
-            if symbols[i] < 0 or j >= n or merges.get((symbols[i], symbols[j]), (-1,))[0] != rank:
+            entry = heappop(queue)
+            i = entry & PLACE
+            if ranks[i] != entry >> 40:
                 continue  # stale
-            symbols[i], symbols[j] = merged, -1
+            symbols[i] = merged = made[entry >> 40]
+            j = after[i]
             after[i] = k = after[j]
+            symbols[j] = ranks[j] = ranks[i] = -1
             if k < n:
                 before[k] = i
-                if (hit := merges.get((merged, symbols[k]))) is not None:
-                    heapq.heappush(queue, (hit[0], i, hit[1]))
-            if (h := before[i]) >= 0 and (hit := merges.get((symbols[h], merged))) is not None:
-                heapq.heappush(queue, (hit[0], h, hit[1]))
+                ranks[i] = r = rank_of(merged * width + symbols[k], -1)
+                if r >= 0:
+                    heappush(queue, r << 40 | i)
+            if (h := before[i]) >= 0:
+                ranks[h] = r = rank_of(symbols[h] * width + merged, -1)
+                if r >= 0:
+                    heappush(queue, r << 40 | h)
         return array("I", [s for s in symbols if s >= 0]).tobytes()
 
     def _plain(self, text: str) -> bytes:
+        return self._joined(self.pattern.findall(text))
+
+    def _joined(self, pre_tokens: list[str]) -> bytes:
         parts, words = [], self.words
-        for word in self.pattern.findall(text):
+        for word in pre_tokens:
             ids = words.get(word)
             if ids is None:
                 ids = self.merge(word)
                 if len(word) <= LONGEST_CACHED:
-                    if len(words) >= CACHE_SIZE:
+                    if len(words) >= PARTS_SIZE:
                         words.clear()
                     words[word] = ids
             parts.append(ids)
@@ -103,7 +118,8 @@ class Bpe:
         """Ids of a space and the run behind it, which no other pre-token touches."""
         ids = self.old.get(run)
         if ids is None:
-            ids = self._plain(" " + run)
+            parts = self.pattern.findall(" " + run)
+            ids = self.merge(parts[0]) if len(parts) == 1 else self._joined(parts)
         if len(run) <= LONGEST_CACHED:
             if len(self.young) >= CACHE_SIZE:
                 self.old, self.young = self.young, {}
@@ -147,16 +163,30 @@ class Bpe:
             return self._piece(text)
         return b"".join(array("I", [self.special[p]]).tobytes() if p in self.special else self._piece(p) for p in self.split_special.split(text) if p)
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
-
-
 def loaded(path: str) -> Bpe:
     if path not in _loaded:
         _loaded[path] = Bpe(path)
     return _loaded[path]
 
 
+def encoded(column: pa.Array, path: str) -> pa.Array:
+    """Token ids of each text of an Arrow column."""
+    bpe = loaded(path)
+    parts = [bpe.encode(x) if x else b"" for x in column.to_pylist()]
+    offsets = np.cumsum([0, *(len(p) // 4 for p in parts)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+
+
+def decoded(ids: pa.Array, path: str) -> pa.Array:
+    """Text of each row of ids: the vocabulary strings of all rows at once, cut at the rows' ends."""
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    strings = loaded(path).strings.take(ids.flatten())
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(strings).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    cuts = ends[np.concatenate([[0], np.cumsum(sizes)])]
+    whole = memoryview(b"" if strings.buffers()[2] is None else strings.buffers()[2])
+    return pa.array([str(whole[a:b], "utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)], pa.string())
+
+
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """``df`` with the token ids of each whole text in column ``ids`` (array of int).
 
@@ -167,13 +197,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids")
     """
     columns = [c for c in df.columns if c.lower() != ids.lower()]
 
-    def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        bpe = loaded(path)
-        parts = [bpe.encode(x) if x else b"" for x in batch.column(text).to_pylist()]
-        offsets = np.cumsum([0, *(len(p) // 4 for p in parts)])
-        return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))]
-
-    return with_arrow(df.select(*columns), columns, [T.StructField(ids, T.ArrayType(T.IntegerType()))], run)
+    return with_arrow(df.select(*columns), columns, [T.StructField(ids, T.ArrayType(T.IntegerType()))], lambda batch: [encoded(batch.column(text), path)])
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
@@ -183,8 +207,4 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decode
     """
     columns = [c for c in df.columns if c.lower() != text.lower()]
 
-    def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        bpe = loaded(path)
-        return [pa.array([bpe.decode(x) if x else "" for x in batch.column(ids).to_pylist()], pa.string())]
-
-    return with_arrow(df.select(*columns), columns, [T.StructField(text, T.StringType())], run)
+    return with_arrow(df.select(*columns), columns, [T.StructField(text, T.StringType())], lambda batch: [decoded(batch.column(ids), path)])

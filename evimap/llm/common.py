@@ -37,11 +37,13 @@ SLICE_BYTES = 4 << 20
 
 
 def sliced(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """A batch in pieces of about ``most`` bytes of text, one row at least, so memory doesn't follow Spark's batch size."""
+    """A batch in pieces of about ``most`` bytes of text and of list items, one row at least, so memory doesn't follow Spark's batch size."""
     size = np.zeros(batch.num_rows, np.int64)
     for column in batch.columns:
         if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
             size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(column.type):
+            size += 4 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = (np.cumsum(size) - size) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):

@@ -42,20 +42,23 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(documents(spark, folder), trees)
 
 
-def _digests(batch: pa.RecordBatch) -> list[pa.Array]:
-    ids = batch.column("token_ids")
-    offsets, flat = ids.offsets.to_numpy(), ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-    offsets = offsets - offsets[0]
-    return [pa.array(np.diff(offsets).astype(np.int64)), pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offsets, offsets[1:], strict=False)]),
-            pa.array([hashlib.sha256(x.encode()).hexdigest() for x in batch.column("decoded").to_pylist()])]
+def _digests(ids: pa.Array, texts: pa.Array) -> list[pa.Array]:
+    offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+    return [pa.array(np.diff(offsets).astype(np.int64)), pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offsets, offsets[1:], strict=False)], pa.string()),
+            pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts.to_pylist()], pa.string())]
 
 
 @query
 def op8_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Encoded and decoded in one pass, so ids and texts don't travel between Spark and Python."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    ids = bpe.encode(documents(spark, folder).select("doc_id", "text"), path).drop("text")
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        ids = bpe.encoded(batch.column("text"), path)
+        return _digests(ids, bpe.decoded(ids, path))
+
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return with_arrow(bpe.decode(ids, path), ["doc_id", "token_ids", "decoded"], added, _digests, dropped=("token_ids", "decoded"))
+    return with_arrow(documents(spark, folder), ["doc_id", "text"], added, run, dropped=("text",))
 
 
 RULES = (
