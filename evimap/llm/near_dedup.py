@@ -7,11 +7,12 @@ shingle's weight; it falls into one of the signature's places, which keeps the f
 Equal places then have the chance of the weighted Jaccard similarity.
 
 Texts that share a band are candidates. Of each bucket one member is compared with
-all others. Where classes still differ, a bucket of few members is compared one with
-the other and is settled; the members of a larger one are compared with two new
-leaders, until a round finds no link, and what is then left one with the other.
-Links join classes; a round only reads the buckets that are not settled. Every
-comparison is exact on both whole bags.
+all others. Links join classes. Where classes still differ, a bucket with few pairs of
+different classes for its size (a small one, or one large class and few others) is
+compared across its classes and is settled; the members of another one are compared with
+two new leaders, until a round finds no link, and what is then left across classes.
+A round only reads the buckets that are not settled. Every comparison is exact on both
+whole bags.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from evimap.llm.common import grams, kept_table, mix, window_starts, with_arrow,
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
-#: members up to which a bucket is compared one with the other at once, so pairs stay below SMALL / 2 for each member
+#: a bucket is compared across its classes at once if that gives at most SMALL / 2 pairs for each member
 SMALL = 32
 
 
@@ -167,11 +168,27 @@ def _led(live: DataFrame, leaders: tuple[str, ...], least: float) -> DataFrame:
         F.col("rep.id").alias("a"), F.col("id").alias("b"), F.col("rep.class").alias("class_a"), F.col("class").alias("class_b"))
 
 
+def _mixed(placed: DataFrame, turn: int) -> DataFrame:
+    """Buckets of several classes: the largest class, two leaders at random, and whether pairs across classes are few for its size."""
+    one = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "class", "weight")
+    of_class = placed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("r0"), F.max(one).alias("r1"))
+    found = of_class.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("classes"), F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("squares"),
+        F.max_by("class", F.struct("n", "class")).alias("main"), F.min("r0").alias("r0"), F.max("r1").alias("r1")).where("classes > 1")
+    return found.select("bucket", "main", "r0", "r1", (F.col("size") * F.col("size") - F.col("squares") <= SMALL * F.col("size")).alias("few"))
+
+
 def _crossed(live: DataFrame, least: float) -> DataFrame:
-    """Pairs of a bucket's members that are of different classes, if their sizes allow a link."""
-    one, other = (live.select("bucket", F.col("id").alias(x), F.col("class").alias(f"class_{x}"), F.col("weight").alias(f"weight_{x}")) for x in "ab")
-    return one.join(other, "bucket").where((F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class_b")) & _likely("weight_a", "weight_b", least)).select(
-        "a", "b", "class_a", "class_b")
+    """Pairs of a bucket's members that are of different classes, if their sizes allow a link.
+
+    One of the two is outside the largest class, so no pair within that class is ever looked at:
+    the join reads at most twice as many pairs as there are across classes.
+    """
+    one = live.where("class <> main").select("bucket", F.col("id").alias("a"), F.col("class").alias("class_a"), F.col("weight").alias("weight_a"))
+    other = live.select("bucket", F.col("id").alias("b"), F.col("class").alias("class_b"), F.col("weight").alias("weight_b"), "main")
+    met = one.join(other, "bucket").where((F.col("class_a") != F.col("class_b")) & ((F.col("class_b") == F.col("main")) | (F.col("a") < F.col("b"))) & _likely("weight_a", "weight_b", least))
+    swap = F.col("a") > F.col("b")
+    return met.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("class_a", "class_b"), ("class_b", "class_a"))))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -208,28 +225,28 @@ def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: fl
     texts, labels, turn = None, None, 0
     while True:
         turn += 1
-        one = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "class", "weight")
-        mixed = placed.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("n"), F.min("class").alias("c0"), F.max("class").alias("c1"), F.min(one).alias("r0"), F.max(one).alias("r1")).where("c0 <> c1").drop("c0", "c1")
-        live = kept_table(placed.join(mixed, "bucket"), "live")
+        live = kept_table(placed.join(_mixed(placed, turn), "bucket"), "live")
         if turn == 1:
             labels = kept_table(live.select("id").distinct().withColumn("class", F.col("id")), "labels")
             texts = kept_table(df.select(F.col(id_col).alias("id"), F.col(text).alias("body")).join(labels.select("id"), "id"), "texts")
-            pairs, placed = _led(live, ("r0",), least), live
+            unsettled = live
+            pairs = _led(live, ("r0",), least)
         else:
-            placed = live.where(F.col("n") > SMALL)
-            pairs = _led(placed, ("r0", "r1"), least).union(_crossed(live.where(F.col("n") <= SMALL), least))
-        placed = placed.select("bucket", "id", "class", "weight")
+            unsettled = live.where("not few")
+            pairs = _led(unsettled, ("r0", "r1"), least).union(_crossed(live.where("few"), least))
         new = kept_table(verified(pairs.distinct(), texts, least, shingle), "links")
-        if new.isEmpty():
+        last = new.isEmpty()
+        settled = turn > 1 and unsettled.isEmpty()
+        if not last:
+            step = components(new).select(F.col("id").alias("class"), F.col("class").alias("to"))
+            labels = kept_table(_moved(labels, step), "labels")
+        if last or settled:
             break
-        step = components(new).select(F.col("id").alias("class"), F.col("class").alias("to"))
-        labels = kept_table(_moved(labels, step), "labels")
-        placed = _moved(placed, step)
-    # what no leader has linked is compared one with the other
-    new = kept_table(verified(_crossed(placed, least).distinct(), texts, least, shingle), "links")
-    if not new.isEmpty():
-        labels = _moved(labels, components(new).select(F.col("id").alias("class"), F.col("class").alias("to")))
+        placed = _moved(unsettled.select("bucket", "id", "class", "weight"), step)
+    if not settled:  # what no leader has linked is compared across classes
+        new = kept_table(verified(_crossed(unsettled, least).distinct(), texts, least, shingle), "links")
+        if not new.isEmpty():
+            labels = _moved(labels, components(new).select(F.col("id").alias("class"), F.col("class").alias("to")))
     named = copies.select("sha", "first")
     named = named.join(labels.select(F.col("id").alias("first"), "class"), "first", "left").withColumn("first", F.coalesce("class", "first")).drop("class")
     named = named.withColumnRenamed("first", "__class")
