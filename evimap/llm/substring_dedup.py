@@ -134,8 +134,9 @@ def removals(df: DataFrame, id_col: str = "doc_id", text: str = "text", window:
     one = texts.select("words_sha256", F.col("first").alias("__id"), F.col("of.__text").alias("__text"))
     prints = texts.select(F.col("first").alias("__id"), F.col("of.__text").alias("__text"), F.explode(F.arrays_zip("of.prints", "of.places")).alias("p")) \
         .select("__id", "__text", F.col("p.prints").alias("print"), F.col("p.places").alias("place"))
+    # a written table, so the join reads two plain shuffles and a hot phrase can be split
     recurring = prints.groupBy("print").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).where("least < most").select("print")
-    recurs = prints.join(recurring, "print").groupBy("__id", "__text").agg(F.collect_set("place").alias("recurring"))
+    recurs = prints.join(kept_table(recurring, "recurring"), "print").groupBy("__id", "__text").agg(F.collect_set("place").alias("recurring"))
     rows = df.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__text"), F.col(text).alias("__body")).where(F.col("__id").isNotNull())
     streamed = rows.join(one.join(recurs, ["__id", "__text"], "left"), ["__id", "__text"])
 
