@@ -69,9 +69,10 @@ RULES = (
 
 @query
 def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
-    """A page's outcome is the quality label of its number."""
-    outcomes = spark.read.parquet(f"{folder}/labels.parquet").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
-    return url_reputation.judge_urls(spark.read.parquet(f"{folder}/pages.parquet"), outcomes, RULES)
+    """A page's outcome is the quality label of the documents with its text."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    outcomes = url_reputation.content_outcomes(pages, documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+    return url_reputation.judge_urls(pages, outcomes, RULES)
 
 
 #: twice as much of the first sources as of the rest together

@@ -1,6 +1,7 @@
 """Each corpus operator against a brute-force version, on small hard cases and on whole small tables."""
 
 import hashlib
+import html
 import math
 import re
 from collections import Counter
@@ -144,6 +145,38 @@ def test_shrinking_goes_towards_the_domain(spark):
     assert got["new.bad.com"].mean < 0.4 < 0.8 < got["new.good.com"].mean and all(r.bound <= r["mean"] for r in got.values())
 
 
+def test_outcomes_follow_the_page_text(spark):
+    texts = ["A & B <i>\n\nc d", "other\ttext", "it's \"3\" &amp;", None]
+    docs = spark.createDataFrame([*enumerate(texts), (7, texts[1] + "\n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (3, 0), (7, 1)], "doc_id long, quality int")
+    article = "<nav>other text</nav><!-- <article>no</article --><article class='x'><h1>A &amp; B</h1><p>A &amp; B\n&lt;i&gt;<br>c <b>d<script>var t='</p>';</script></article><p>more"
+    pages = spark.createDataFrame([(1, article), (2, "<p>other</p> text<style>p{}</style>"), (5, "<article>it&#x27;s &quot;3&quot; &amp;amp;</article>"), (3, "<p>unknown</p>"), (0, None)], "page_id long, html string")
+    got = url_reputation.content_outcomes(pages, docs, labels)
+    assert rows(got, "page_id", "good") == [(1, 1.0), (2, 0.5), (5, 1.0)]
+    pages, docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("pages", "documents", "labels"))
+    own = {r.page_id: r.good for r in url_reputation.content_outcomes(pages, docs, labels).collect()}
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    clean = lambda t: "".join(t.split())
+    known = {clean(r.text): quality[r.doc_id] for r in docs.collect() if r.doc_id in quality}
+    want = {}
+    for r in pages.collect():
+        body = re.search(r"<article><h1>.*?</h1>(.*)</article>", r.html, re.S)[1]
+        key = clean(html.unescape(re.sub(r"<[^>]*>", "", body)))
+        if key in known:
+            want[r.page_id] = known[key]
+    assert own == want and len(want) > 90
+
+
+def test_hosts_are_blocked_only_below_the_overall_rate(spark):
+    urls = [(i, f"http://{h}/") for i, h in enumerate(["bad.a.com"] * 40 + ["good.b.com"] * 200 + ["few.b.com"] * 2 + ["new.c.com"])]
+    good = [(i, int(i % 8 == 0)) for i in range(40)] + [(i, int(i % 10 > 0)) for i in range(40, 240)] + [(240, 1), (241, 0)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    got = {r.host: r.verdict for r in url_reputation.judge_urls(pages, spark.createDataFrame(good, "page_id long, good int"), ()).collect()}
+    assert got == {"bad.a.com": "block", "good.b.com": "allow", "few.b.com": "allow", "new.c.com": "allow"}
+    none = url_reputation.judge_urls(pages, spark.createDataFrame([], "page_id long, good int"), ()).collect()
+    assert len(none) == len(urls) and {r.verdict for r in none} == {"allow"}
+
+
 def poisson(u, rate):
     k, p = 0, math.exp(-rate)
     total = p
