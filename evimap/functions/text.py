@@ -96,8 +96,9 @@ def user_query(expression: str, name: Column, tenant: Column) -> tuple[Column, C
     return checked_query(F.expr(expression), is_available(name) & is_available(tenant))
 
 
-def bounded_text(col: Column, limit: int = K.MAX_EVIDENCE_VALUE) -> Column:
-    return F.substring(trim_all(F.translate(F.coalesce(col, F.lit("")), "\x00", "")), 1, limit)
+def bounded_text(col: Column, limit: int | None = None) -> Column:
+    text = trim_all(F.translate(F.coalesce(col, F.lit("")), "\x00", ""))
+    return text if limit is None else F.substring(text, 1, limit)
 
 
 def alphanumeric_key(col: Column) -> Column:

@@ -115,11 +115,11 @@ def within_limits(docs: DataFrame) -> DataFrame:
     return docs.join(good, "incident_id", "left_semi")
 
 
-def sibling_context(leaf_rows: DataFrame) -> DataFrame:
+def sibling_context(leaf_rows: DataFrame, siblings: int | None = None, characters: int | None = None) -> DataFrame:
     """Adds the first eight scalars of the same parent and what was left out.
 
-    A ``value`` leaf sees the sibling named ``key`` first. Only the first nine
-    of a group (plus ``key``) can ever be shown, so no more are collected.
+    A ``value`` leaf sees the sibling named ``key`` first. With a number of ``siblings``
+    no more than one more of a group (plus ``key``) are collected.
     """
     parent = Window.partitionBy("incident_id", "parent")
     ordered = parent.orderBy("position", "key")
@@ -131,20 +131,22 @@ def sibling_context(leaf_rows: DataFrame) -> DataFrame:
         leaf_rows.withColumn("parent", F.expr("substring_index(pointer, '/', size(ancestry) + 1)"))
         .withColumn("rank", F.row_number().over(ordered))
         .withColumn("members", F.count(F.lit(1)).over(parent))
-        .withColumn("near", F.collect_list(F.when((F.col("rank") <= 9) | (F.col("key") == "key"), entry)).over(whole))
+        .withColumn("near", F.collect_list(entry if siblings is None else F.when((F.col("rank") <= siblings + 1) | (F.col("key") == "key"), entry)).over(whole))
     )
     others = F.filter("near", lambda s: s["id"] != F.col("leaf_id"))
     keyed = F.concat(F.filter(others, lambda s: s["key"] == "key"), F.filter(others, lambda s: s["key"] != "key"))
-    first = F.slice(F.when(F.col("key") == "value", keyed).otherwise(others), 1, 8)
-    long = F.filter("shown", lambda s: (s["vtype"] == "string") & (F.length(s["full"]) > 256))
+    first = F.when(F.col("key") == "value", keyed).otherwise(others)
+    first = first if siblings is None else F.slice(first, 1, siblings)
+    over = lambda s: F.lit(False) if characters is None else (s["vtype"] == "string") & (F.length(s["full"]) > characters)
+    long = F.filter("shown", over)
     shown = F.transform("shown", lambda s: F.struct(
         s["key"].alias("key"), s["vtype"].alias("vtype"),
-        F.when(s["vtype"] == "string", F.substring(s["full"], 1, 256)).otherwise(s["full"]).alias("value"),
+        F.when(over(s), F.substring(s["full"], 1, characters or 0)).otherwise(s["full"]).alias("value"),
     ))
     return (
         ranked.withColumn("shown", first)
         .withColumn("context", shown)
-        .withColumn("omitted_siblings", F.greatest(F.lit(0), F.col("members") - 9))
+        .withColumn("omitted_siblings", F.lit(0).cast("bigint") if siblings is None else F.greatest(F.lit(0), F.col("members") - (siblings + 1)))
         .withColumn("shortened_siblings", F.size(long))
         .drop("parent", "rank", "members", "near", "shown")
     )

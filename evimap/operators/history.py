@@ -40,9 +40,9 @@ def historic_resolution() -> Column:
     return first_available(*(F.col(c) for c in RESOLUTION))
 
 
-def latest_per_key(incidents: DataFrame, k: int, order: str = "created", tie: str = "order_key",
+def latest_per_key(incidents: DataFrame, k: int | None, order: str = "created", tie: str = "order_key",
                    search_cap: int | None = None, since: Column | None = None) -> DataFrame:
-    """At most k+1 resolved incidents per (tenant, name), newest first.
+    """At most k+1 resolved incidents per (tenant, name), newest first; all without k.
 
     One more than k, because an incident's own row is taken out later. The
     rank filter is applied on the map side too, so a key that holds a third of
@@ -57,31 +57,36 @@ def latest_per_key(incidents: DataFrame, k: int, order: str = "created", tie: st
     resolved = rows.where(has_resolution()).select(
         "tenant_key", "name_key", order, tie, F.col("ticket_id").alias("historic_id"), historic_resolution().alias("resolution")
     )
-    return resolved.withColumn("place", F.row_number().over(by_key)).where(F.col("place") <= k + 1)
+    placed = resolved.withColumn("place", F.row_number().over(by_key))
+    return placed if k is None else placed.where(F.col("place") <= k + 1)
 
 
-def topk_resolutions(incidents: DataFrame, k: int = 3, search_cap: int | None = None, since: Column | None = None) -> DataFrame:
-    """(ticket_id, rank, historic_id, resolution): the first k per incident, itself excluded.
+def topk_resolutions(incidents: DataFrame, k: int | None = 3, search_cap: int | None = None, since: Column | None = None) -> DataFrame:
+    """(ticket_id, rank, historic_id, resolution): the first k per incident, or all, itself excluded.
 
     Each key becomes one short list; incidents meet their list by an equi-join
     whose hot keys adaptive execution may split, since a list is tiny.
     """
-    if not 1 <= k <= 20:
-        raise ValueError("k must lie between 1 and 20")
+    if k is not None and k < 1:
+        raise ValueError("k must be at least 1, or None for all")
     latest = latest_per_key(incidents, k, search_cap=search_cap, since=since)
+    asking = with_identity(incidents).select("ticket_id", "tenant_key", "name_key").where("tenant_key <> '' and name_key <> ''")
+    if k is None:  # all matches: pairs of rows, never a list of a whole key
+        own = Window.partitionBy("ticket_id", "tenant_key", "name_key").orderBy("place")
+        pairs = asking.join(latest, ["tenant_key", "name_key"]).where(F.col("historic_id") != F.col("ticket_id"))
+        return pairs.select("ticket_id", F.dense_rank().over(own).alias("rank"), "historic_id", "resolution")
     lists = latest.groupBy("tenant_key", "name_key").agg(
         F.array_sort(F.collect_list(F.struct("place", "historic_id", "resolution"))).alias("latest")
     )
-    asking = with_identity(incidents).select("ticket_id", "tenant_key", "name_key").where("tenant_key <> '' and name_key <> ''")
     others = F.filter("latest", lambda h: h["historic_id"] != F.col("ticket_id"))
     return (
         asking.join(lists, ["tenant_key", "name_key"])
-        .select("ticket_id", F.posexplode(F.slice(others, 1, k)).alias("at", "h"))
+        .select("ticket_id", F.posexplode(others if k is None else F.slice(others, 1, k)).alias("at", "h"))
         .select("ticket_id", (F.col("at") + 1).alias("rank"), "h.historic_id", "h.resolution")
     )
 
 
-def historic_matches(incidents: DataFrame, k: int = 20, search_cap: int | None = None, since: Column | None = None) -> DataFrame:
+def historic_matches(incidents: DataFrame, k: int | None = None, search_cap: int | None = None, since: Column | None = None) -> DataFrame:
     """The self-join alone: (ticket_id, historic_id, rank)."""
     return topk_resolutions(incidents, k, search_cap, since).select("ticket_id", "historic_id", "rank")
 
@@ -108,9 +113,10 @@ def _or_na(*cols: Column) -> Column:
     return F.when(value == "", F.lit("n/a")).otherwise(value)
 
 
-def distinct_facts(facts: Column, limit: int = 10) -> Column:
+def distinct_facts(facts: Column, limit: int | None = None) -> Column:
     cleaned = F.transform(facts, clean_text)
-    return F.slice(F.array_distinct(F.filter(cleaned, available_clean)), 1, limit)
+    distinct = F.array_distinct(F.filter(cleaned, available_clean))
+    return distinct if limit is None else F.slice(distinct, 1, limit)
 
 
 # Fixed text of the response; {name} is filled from the incident.

@@ -135,7 +135,7 @@ fold AS (SELECT incident_id, n, ord, raw, length(raw) <= 98304 AS fits, CASE WHE
 whole AS (SELECT incident_id, bool_and(fits) AS complete FROM fold GROUP BY incident_id)
 SELECT f.incident_id, f.ord, sha256(f.raw) AS digest, w.complete FROM fold f JOIN whole w ON f.incident_id = w.incident_id WHERE f.fits""")
 def _(t):
-    return X.budget_documents(t.sql(_BUNDLES)).select("incident_id", "ord", F.sha2("raw", 256).alias("digest"), "complete")
+    return X.budget_documents(t.sql(_BUNDLES), K.PAGE_DOCUMENT_CHARACTERS).select("incident_id", "ord", F.sha2("raw", 256).alias("digest"), "complete")
 
 
 # a result grid per customer; some foreign links and a row of the wrong width
@@ -207,7 +207,7 @@ def _(t):
         F.col("event_id").alias("incident_id"), F.col("event_id").cast("string").alias("ticket"), "event_type", F.concat(F.lit(" "), "props").alias("props"),
         F.lit("  ").alias("blank"), (F.col("event_id") % 9 != 4).alias("documents_complete"),
     )
-    rows = X.evidence(incidents, t.alert_docs, _EVIDENCE)
+    rows = X.evidence(incidents, t.alert_docs, _EVIDENCE, K.PAGE_DOCUMENT_CHARACTERS)
     shown = F.array_join(F.transform(F.map_entries("current"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
     left = flatten.leaves(rows.select("incident_id", F.posexplode("documents").alias("doc_index", "raw"))).groupBy("incident_id").agg(
         F.count(F.lit(1)).alias("leaves_left"))

@@ -87,7 +87,7 @@ SELECT l.incident_id, l.pointer, coalesce(context, '') AS context, coalesce(omit
 FROM leaves l LEFT JOIN folded f ON l.incident_id = f.incident_id AND l.pointer = f.pointer""")
 def _(t):
     shown = F.transform("context", lambda s: F.concat(s["key"], F.lit("="), F.coalesce(s["value"], F.lit("null"))))
-    return flatten.sibling_context(flatten.leaves(t.alert_docs)).select(
+    return flatten.sibling_context(flatten.leaves(t.alert_docs), 8, 256).select(
         "incident_id", "pointer", F.array_join(shown, "|").alias("context"), "omitted_siblings", "shortened_siblings"
     )
 

@@ -2,7 +2,10 @@
 
 import json
 
-from evimap.operators import extraction, flatten, mapping
+from pyspark.sql import functions as F
+
+from evimap.functions.text import bounded_text
+from evimap.operators import extraction, flatten, history, mapping
 
 
 def docs_of(spark, *values):
@@ -53,3 +56,29 @@ def test_pages_may_nest_deep_and_leave_cells_open(spark):
     pages = spark.createDataFrame([(1, deep), (2, open_cells), (3, None)], "page_id int, html string")
     got = {(r.page_id, r.source, r.label, r.value) for r in extraction.label_pairs(pages).collect()}
     assert got == {(1, "h1", "", "far down"), (2, "row", "Name", "A"), (2, "row", "Host", "B")}
+
+
+def test_limits_are_off_unless_given(spark):
+    docs = spark.createDataFrame([(1, i, f"{i} " + "x" * 1000) for i in range(130)] + [(1, 130, "y" * 200000), (1, 131, "y" * 200000)], "incident_id int, ord int, raw string")
+    got = extraction.budget_documents(docs).collect()
+    assert sorted(r.ord for r in got) == list(range(131)) and all(r.complete for r in got)
+    assert extraction.budget_documents(docs, max_candidates=100).count() == 100
+    raw = json.dumps({f"k{i:02d}": "v" * 300 for i in range(12)})
+    leaf = flatten.sibling_context(flatten.leaves(spark.createDataFrame([(1, 0, raw)], "incident_id int, doc_index int, raw string"))).first()
+    assert len(leaf.context) == 11 and {len(s.value) for s in leaf.context} == {300} and (leaf.omitted_siblings, leaf.shortened_siblings) == (0, 0)
+    grid = spark.createDataFrame([(1, i, ["id"], [str(i)], ["https://p.example.com/1"]) for i in range(30)], "search_id int, ord int, headers array<string>, cells array<string>, links array<string>")
+    assert extraction.result_rows(grid, "https://p.example.com").where("not truncated").count() == 30
+    incidents = spark.createDataFrame([(1, "t" * 900, True)], "incident_id int, note string, documents_complete boolean")
+    many = docs.select("incident_id", F.col("ord").alias("doc_index"), F.to_json(F.struct("raw")).alias("raw"))
+    row = extraction.evidence(incidents, many, {"note": "note"}).first()
+    assert row.reason == "" and len(row.current["note"]) == 900 and len(row.documents) == 132
+    facts = spark.range(1).select(history.distinct_facts(F.array(*(F.lit(f"fact {i}") for i in range(15)))).alias("f")).first().f
+    assert len(facts) == 15
+    assert extraction.result_rows(grid, "https://p.example.com", 5).where("truncated").count() == 5
+    assert len(spark.range(1).select(bounded_text(F.lit("z" * 900)).alias("t")).first().t) == 900
+    rows = [(str(i), i, "t", "n", "r" if i % 2 else "", None, None, i) for i in range(60)]
+    past = spark.createDataFrame(rows, "ticket_id string, order_key long, tenant_name string, incident_name string, historical_recommendations string, close_notes string, incident_outcome string, created long")
+    matches = history.historic_matches(past).collect()
+    want = {(t, n + 1, h) for t in map(str, range(60)) for n, h in enumerate(str(i) for i in range(59, 0, -2) if str(i) != t)}
+    assert {(r.ticket_id, r.rank, r.historic_id) for r in matches} == want and len(matches) == len(want)
+    assert history.historic_matches(past, 25).where("rank > 25").isEmpty()
