@@ -257,8 +257,15 @@ def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: fl
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``df`` with one document of each class: that with the smallest id. Rows with a null id stay."""
-    found = classes(df, id_col, text, **options)
-    kept = found.where("representative").select(F.col(id_col).alias("__id")).where(F.col("__id").isNotNull()).distinct()
-    named = df.join(kept, df[id_col] == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    """``df`` with one document of each class: that with the smallest id. Rows with a null id stay.
+
+    A document is an id and a text: an id with several texts is as many documents, of
+    which the one with the smaller hash stands first; repeats of one document give a row.
+    """
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("text"))
+    full = F.col(id_col).isNotNull()
+    found = classes(df.where(full).select(key.alias("__key"), text), "__key", text, **options)
+    kept = found.where("representative").select(F.col("__key.id").alias("__id"), F.col("__key.text").alias("__text")).distinct()
+    rows = df.where(full).withColumn("__hash", F.xxhash64(F.col(text)))
+    named = rows.join(kept, (F.col(id_col) == F.col("__id")) & (F.col("__hash") == F.col("__text")), "left_semi").dropDuplicates([id_col, "__hash"]).drop("__hash")
     return named.unionByName(df.where(F.col(id_col).isNull()))

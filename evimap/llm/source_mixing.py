@@ -26,18 +26,18 @@ def bucket_of(source: Column, weights: dict[str, float]) -> Column:
 
 
 def rates(df: DataFrame, weights: dict[str, float], source: str = "source", text: str = "text", epochs: float = 1.0) -> DataFrame:
-    """(bucket, rate, cdf) for each weighted source that has bytes: at most len(weights) + 1 rows.
+    """(bucket, rate, cdf) for each source that has rows: at most len(weights) + 1.
 
     cdf holds the Poisson distribution function of the rate up to where no hash reaches.
-    Weights are relative to those present.
+    Weights are relative to those that have bytes. A weighted source without bytes changes
+    no share, so it gets the rate of ``epochs``.
     """
     goal = F.coalesce(*[F.when(F.col("bucket") == s, F.lit(float(w))) for s, w in weights.items()], F.lit(0.0))
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("double")
-    sums = df.select(bucket_of(F.col(source), weights).alias("bucket"), size.alias("size")).groupBy("bucket").agg(F.sum("size").alias("bytes")) \
-        .where(F.col("bytes") > 0).withColumn("goal", goal)
-    total = sums.agg(F.sum("bytes").alias("all_bytes"), F.sum("goal").alias("all_goals"))
+    sums = df.select(bucket_of(F.col(source), weights).alias("bucket"), size.alias("size")).groupBy("bucket").agg(F.sum("size").alias("bytes")).withColumn("goal", goal)
+    total = sums.where(F.col("bytes") > 0).agg(F.coalesce(F.sum("bytes"), F.lit(0.0)).alias("all_bytes"), F.coalesce(F.sum("goal"), F.lit(0.0)).alias("all_goals"))
     both = sums.join(F.broadcast(total), F.lit(True))  # one row of sums
-    rate = F.expr(f"case when all_goals > 0 then {epochs}D * goal / all_goals * all_bytes / bytes else 0D end")
+    rate = F.expr(f"case when goal = 0 then 0D when bytes = 0 then {epochs}D else {epochs}D * goal / nullif(all_goals, 0) * all_bytes / nullif(bytes, 0) end")
     steps = F.expr("transform(sequence(1, cast(ceil(rate + 12 * sqrt(rate) + 30) as int)), x -> ln(rate) - ln(x))")
     # partial sums of exp(-rate + sum of logs), k = 0, 1, ...
     fold = F.aggregate(steps, F.struct((-F.col("rate")).alias("log"), F.array(F.exp(-F.col("rate"))).alias("cdf")),
@@ -52,8 +52,8 @@ def mix(df: DataFrame, weights: dict[str, float], id_col: str = "doc_id", source
     A source without weight shares OTHER's; with no weight for OTHER it goes. Null
     sources belong to OTHER, a null id hashes like the text "null". Rows of one id
     and source get one number of copies; columns named like the added ones are
-    replaced. Empty texts count no bytes but are copied like others. If no weighted
-    source has bytes the result is empty.
+    replaced. Empty texts count no bytes but are copied like others, by the rate
+    ``epochs`` if their source has no bytes at all. Without a weighted source the result is empty.
     """
     kept = [c for c in df.columns if c.lower() not in {copy_col.lower(), (order_col or copy_col).lower()}]
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))

@@ -203,6 +203,18 @@ def test_source_mixing(spark, docs, empty):
     assert source_mixing.mix(empty, weights).count() == 0 and source_mixing.mix(docs, {"none": 1.0}).count() == 0
 
 
+def test_a_source_without_bytes_keeps_its_rows(spark):
+    source = {0: "full", 1: "blank", 2: None}
+    docs = spark.createDataFrame([(i, source[i % 3], ("x" * 10, "", None)[i % 3]) for i in range(300)], "doc_id long, source string, text string")
+    got = Counter(r.source for r in source_mixing.mix(docs, {"full": 1.0, "blank": 1.0, source_mixing.OTHER: 1.0}).collect())
+    def unit(i):
+        return int(hashlib.md5(f"7:{i}".encode()).hexdigest()[:13], 16) / 2**52
+    assert got == Counter(source[i % 3] for i in range(300) for _ in range(poisson(unit(i), 1.0)))
+    assert {r.source for r in source_mixing.mix(docs, {"full": 1.0, "blank": 1.0}).collect()} == {"full", "blank"}
+    blank = docs.where("source = 'blank'")
+    assert source_mixing.mix(blank, {"blank": 1.0}).count() == got["blank"] and source_mixing.mix(docs, {"none": 1.0}).count() == 0
+
+
 def test_license_scan(docs, empty):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     want = []
@@ -260,6 +272,12 @@ def test_near_dedup(docs, empty):
     assert near_dedup.classes(empty).count() == 0 and near_dedup.deduplicate(docs).columns == docs.columns
 
 
+def test_one_id_with_two_texts_is_two_documents(spark):
+    rows_ = [(1, LONG), (2, LONG), (2, "a text of its own"), (2, "a text of its own"), (3, "a text of its own"), (4, None), (4, "last"), (None, LONG)]
+    got = near_dedup.deduplicate(spark.createDataFrame(rows_, "doc_id long, text string"))
+    assert rows(got, "doc_id", "text") == sorted([(1, LONG), (2, "a text of its own"), (4, None), (4, "last"), (None, LONG)], key=str)
+
+
 def test_near_dedup_chain(spark):
     words = [f"t{i}" for i in range(400)]
     texts = []
