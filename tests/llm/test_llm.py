@@ -234,6 +234,21 @@ def test_license_spans_bridge_a_changed_word(spark):
     assert {r.doc_id: r.labels for r in got} == {1: "bsd", 2: ""} and {r.doc_id: r.score for r in got}[1] > 0.8
 
 
+def test_usual_license_notices_are_found(spark):
+    fsf = "under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or"
+    cases = [
+        (fsf.format("", 3), "gpl-3"), (fsf.format("", 2), "gpl-2"), (fsf.format("Affero ", 3), "agpl-3"), (fsf.format("", 3).replace("published", "issued"), "gpl-3"), (fsf.format("Lesser ", 3), "lgpl"),
+        ("under the terms of the GNU General Public License version 3", "gpl-3"), ("under the terms of the GNU General Public License version 2", "gpl-2"),
+        ("licensed under the Creative Commons Attribution 4.0 International License", "cc-by"), ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
+        ("licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ""), ("CC BY 4.0", "cc-by"), ("CC BY-SA 4.0", "cc-by-sa"), ("CC BY-NC 4.0", "cc-by-nc"),
+        ("// SPDX-License-Identifier: MIT", "mit"), ("SPDX-License-Identifier: GPL-2.0-only", "gpl-2"), ("SPDX-License-Identifier: LGPL-2.1", "lgpl"), ("SPDX-License-Identifier: AGPL-3.0", "agpl-3"), ("SPDX license", ""),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "isc"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense"), ("made available under the terms of the Eclipse Public License 2.0", "epl-2"), ("free software of the public", ""),
+    ]
+    got = license_scan.scan(spark.createDataFrame([(i, f"x y {t} z") for i, (t, _) in enumerate(cases)], "doc_id int, text string")).collect()
+    assert {cases[r.doc_id][0]: r.labels for r in got} == dict(cases)
+
+
 def cut(texts, window=50):
     first = {}
     for i, t in texts:
