@@ -45,7 +45,7 @@ STAGES = [
     ("source_mixing", mix_sources), ("bpe", encode),
 ]
 
-#: boosted trees, near copies and merges are beyond SQL; tests/llm holds run() against a brute-force version
+#: boosted trees, near copies and merges are beyond SQL; tests/llm holds near_dedup and substring_dedup against brute force, not the other stages
 ORACLE_SQL = None
 
 

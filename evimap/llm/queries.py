@@ -105,3 +105,16 @@ def op9_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     """Queries: every document whose id is divisible by 100."""
     rows = documents(spark, folder)
     return topk_search.search(rows, rows.where(F.col("doc_id") % 100 == 0))
+
+
+#: op6 over the whole table: the number of copies is how many values of the distribution function are not above the hash
+ORACLES["op6_source_mixing"] = """WITH w AS (SELECT * FROM (VALUES ('src0', 0.2::DOUBLE), ('src1', 0.15), ('src2', 0.1), ('src3', 0.05), ('*', 0.5)) v(bucket, goal)),
+d AS (SELECT doc_id, source, text, CASE WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN source ELSE '*' END AS bucket, coalesce(octet_length(encode(text)), 0)::DOUBLE AS size FROM documents),
+b AS (SELECT bucket, sum(size) AS bytes, any_value(goal) AS goal FROM d JOIN w USING (bucket) GROUP BY bucket),
+t AS (SELECT sum(bytes) AS all_bytes, sum(goal) AS all_goals FROM b WHERE bytes > 0),
+r AS (SELECT bucket, CASE WHEN bytes = 0 THEN 1.0 ELSE goal / all_goals * all_bytes / bytes END AS rate FROM b, t),
+p AS (SELECT bucket, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY bucket ORDER BY k) AS cdf FROM r, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 31) AS BIGINT))) x(k)),
+u AS (SELECT *, CAST('0x' || substring(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496 AS u FROM d),
+n AS (SELECT doc_id, source, text, (SELECT count(*) FROM p WHERE p.bucket = u.bucket AND p.cdf <= u.u) AS n FROM u)
+SELECT doc_id, source, copy, md5('8:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || copy) AS place, octet_length(encode(text)) AS n_bytes
+FROM n, unnest(range(0, n)) y(copy)"""

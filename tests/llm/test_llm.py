@@ -203,6 +203,15 @@ def test_source_mixing(spark, docs, empty):
     assert source_mixing.mix(empty, weights).count() == 0 and source_mixing.mix(docs, {"none": 1.0}).count() == 0
 
 
+def test_source_mixing_equals_its_sql(spark):
+    import __spark_entry__ as entry
+    import check
+
+    folder, name = "/root/testdata/sf0.001", "op6_source_mixing"
+    problem, n = check.compare(spark, check.connect(folder), folder, name, entry.queries()[name], entry.oracle_sql()[name])
+    assert not problem and n > 100
+
+
 def test_a_source_without_bytes_keeps_its_rows(spark):
     source = {0: "full", 1: "blank", 2: None}
     docs = spark.createDataFrame([(i, source[i % 3], ("x" * 10, "", None)[i % 3]) for i in range(300)], "doc_id long, source string, text string")
