@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evimap.llm import bpe, license_scan, near_dedup, quality_crf, quality_rules, source_mixing, substring_dedup, token_counts, topk_search, url_reputation
-from evimap.llm.common import documents, with_arrow
+from evimap.llm import bpe, license_scan, merkle_manifest, near_dedup, quality_crf, quality_rules, source_mixing, substring_dedup, token_counts, topk_search, url_reputation
+from evimap.llm.common import ascii_lower, documents, with_arrow
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -107,6 +107,17 @@ def op9_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     return topk_search.search(rows, rows.where(F.col("doc_id") % 100 == 0))
 
 
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows whose id's checksum 3 divides are checked after their text was lower-cased."""
+    bound = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = merkle_manifest.leaf_digest([ascii_lower(F.col(c)) if c == "text" else F.col(c) for c in bound])
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, tampered)
+    rows = merkle_manifest.manifest(documents(spark, folder), bound, carried={"changed": changed})
+    rows = rows.withColumn("folded_root", merkle_manifest.folded(F.coalesce("changed", "leaf"), F.col("proof")))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 #: op6 over the whole table: the number of copies is how many values of the distribution function are not above the hash
 ORACLES["op6_source_mixing"] = """WITH w AS (SELECT * FROM (VALUES ('src0', 0.2::DOUBLE), ('src1', 0.15), ('src2', 0.1), ('src3', 0.05), ('*', 0.5)) v(bucket, goal)),
 d AS (SELECT doc_id, source, text, CASE WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN source ELSE '*' END AS bucket, coalesce(octet_length(encode(text)), 0)::DOUBLE AS size FROM documents),
