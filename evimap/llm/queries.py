@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evimap.llm import bpe, license_scan, merkle_manifest, near_dedup, quality_crf, quality_rules, source_mixing, substring_dedup, token_counts, topk_search, url_reputation
+from evimap.llm import bpe, collocations, license_scan, merkle_manifest, near_dedup, quality_crf, quality_rules, source_mixing, substring_dedup, token_counts, topk_search, url_reputation
 from evimap.llm.common import ascii_lower, documents, with_arrow
 
 QUERIES: dict = {}
@@ -107,6 +107,11 @@ def op9_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     return topk_search.search(rows, rows.where(F.col("doc_id") % 100 == 0))
 
 
+@query
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(documents(spark, folder))
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Rows whose id's checksum 3 divides are checked after their text was lower-cased."""
@@ -129,3 +134,20 @@ u AS (SELECT *, CAST('0x' || substring(md5('7:' || coalesce(CAST(doc_id AS VARCH
 n AS (SELECT doc_id, source, text, (SELECT count(*) FROM p WHERE p.bucket = u.bucket AND p.cdf <= u.u) AS n FROM u)
 SELECT doc_id, source, copy, md5('8:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || copy) AS place, octet_length(encode(text)) AS n_bytes
 FROM n, unnest(range(0, n)) y(copy)"""
+
+#: op12 over whole texts: all contiguous phrases are listed and counted
+ORACLES["op12_phrase_collocations"] = """WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS words FROM p),
+g AS (SELECT lang, unnest(flatten(list_transform([1, 2, 3, 4], lambda k: list_transform(range(1, greatest(len(words) - k + 2, 1)), lambda i: words[i:i + k - 1])))) AS words FROM w),
+f AS (SELECT lang, words, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(words) = 1 GROUP BY lang),
+c AS (SELECT lang, words, f AS a FROM f WHERE len(words) > 1 AND f >= 30),
+k AS (SELECT c.lang, c.words, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score
+  FROM (SELECT *, unnest(range(1, len(words))) AS k FROM c) c JOIN f x ON x.lang = c.lang AND x.words = c.words[1:k] JOIN f y ON y.lang = c.lang AND y.words = c.words[k + 1:]),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+h AS (SELECT lang, unnest(flatten(list_transform(range(2, len(words)), lambda m: list_transform(range(1, len(words) - m + 2), lambda i: words[i:i + m - 1])))) AS words, a AS longer FROM c WHERE len(words) > 2),
+m AS (SELECT lang, words, max(longer) AS longer FROM h GROUP BY ALL),
+o AS (SELECT b.lang, array_to_string(b.words, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN m USING (lang, words) WHERE longer IS NULL OR 100 * longer < 80 * a),
+s AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM s JOIN n USING (lang) WHERE rank <= 2000"""
