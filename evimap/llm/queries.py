@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evimap.llm import bpe, collocations, license_scan, merkle_manifest, near_dedup, quality_crf, quality_rules, source_mixing, substring_dedup, token_counts, topk_search, url_reputation
+from evimap.llm import bpe, collocations, license_scan, merkle_manifest, near_dedup, quality_crf, quality_rules, source_mixing, substring_dedup, token_counts, topk_search, url_reputation, warc
 from evimap.llm.common import ascii_lower, documents, with_arrow
 
 QUERIES: dict = {}
@@ -107,6 +107,21 @@ def op9_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     return topk_search.search(rows, rows.where(F.col("doc_id") % 100 == 0))
 
 
+@query
+def op11_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Responses are read with their payloads and measured anew; revisits are read by their headers alone."""
+    pages, path = spark.read.parquet(f"{folder}/pages.parquet"), warc.archive_folder(spark)
+    warc.archive_pages(pages, path)
+    kind = pages.schema["page_id"].dataType
+    page = warc.page_of(F.col("record_id"), kind).alias("page_id")
+    full = warc.read(spark, path, [("record_type", "=", "response")]).select(
+        page, F.length("payload").cast("long").alias("payload_bytes"), warc.base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", F.lit(None).cast(kind).alias("refers_to"))
+    again = warc.read(spark, path, [("record_type", "=", "revisit")], payload=False).select(
+        page, F.col("http_headers")["content-length"].cast("long").alias("payload_bytes"), F.substring("payload_digest", 6, 32).alias("payload_digest"), "record_type",
+        warc.page_of(F.col("refers_to"), kind).alias("refers_to"))
+    return full.union(again)
+
+
 @query
 def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(documents(spark, folder))
@@ -151,3 +166,33 @@ m AS (SELECT lang, words, max(longer) AS longer FROM h GROUP BY ALL),
 o AS (SELECT b.lang, array_to_string(b.words, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN m USING (lang, words) WHERE longer IS NULL OR 100 * longer < 80 * a),
 s AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM s JOIN n USING (lang) WHERE rank <= 2000"""
+
+ORACLES["op11_warc"] = """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS digest FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY digest, payload_bytes) AS first FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  (((('0x' || substr(digest, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM q"""
+
+#: op13 over all columns of all rows: a tree for each language and one over their roots, level by level; crc32 bit by bit
+ORACLES["op13_merkle_manifest"] = """WITH RECURSIVE v AS (SELECT *, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+  || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+  list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(0, 8)::BIGINT[]),
+    lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS crc FROM documents),
+l AS (SELECT doc_id, lang, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+  CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN sha256(head || coalesce(octet_length(encode(low)) || ':' || low, '-')) END AS changed FROM v),
+t(level, lang, pos, h, n) AS (SELECT 0, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1, leaf, count(*) OVER (PARTITION BY lang) FROM l
+  UNION ALL SELECT level + 1, lang, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 7) // 8) FROM t WHERE n > 1 GROUP BY level, lang, pos // 8),
+s AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u(level, pos, h, n) AS (SELECT 0, pos, subroot, n FROM s UNION ALL SELECT level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 7) // 8) FROM u WHERE n > 1 GROUP BY level, pos // 8),
+p(level, doc_id, lang, leaf, changed, spot, n, siblings, folded) AS (
+  SELECT 0, doc_id, lang, leaf, changed, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1, count(*) OVER (PARTITION BY lang), '', coalesce(changed, leaf) FROM l
+  UNION ALL SELECT p.level + 1, doc_id, p.lang, leaf, changed, spot // 8, (p.n + 7) // 8, siblings || x.b || x.a, sha256(x.b || folded || x.a)
+  FROM p, LATERAL (SELECT coalesce(string_agg(h, '' ORDER BY pos) FILTER (pos < p.spot), '') AS b, coalesce(string_agg(h, '' ORDER BY pos) FILTER (pos > p.spot), '') AS a
+    FROM t WHERE t.level = p.level AND t.lang IS NOT DISTINCT FROM p.lang AND t.pos // 8 = p.spot // 8) x WHERE p.n > 1),
+q(level, doc_id, lang, leaf, subroot, spot, n, siblings, folded) AS (
+  SELECT 0, doc_id, p.lang, leaf, subroot, s.pos, s.n, siblings, folded FROM p JOIN s ON s.lang IS NOT DISTINCT FROM p.lang WHERE p.n = 1
+  UNION ALL SELECT q.level + 1, doc_id, lang, leaf, subroot, spot // 8, (q.n + 7) // 8, siblings || x.b || x.a, sha256(x.b || folded || x.a)
+  FROM q, LATERAL (SELECT coalesce(string_agg(h, '' ORDER BY pos) FILTER (pos < q.spot), '') AS b, coalesce(string_agg(h, '' ORDER BY pos) FILTER (pos > q.spot), '') AS a
+    FROM u WHERE u.level = q.level AND u.pos // 8 = q.spot // 8) x WHERE q.n > 1)
+SELECT doc_id, leaf, subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = (SELECT h FROM u WHERE n = 1) AS verified FROM q WHERE n = 1"""
