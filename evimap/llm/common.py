@@ -37,18 +37,24 @@ SLICE_BYTES = 4 << 20
 
 
 def sliced(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """A batch in pieces of about ``most`` bytes of text and of list items, one row at least, so memory doesn't follow Spark's batch size."""
+    """A batch in pieces of about ``most`` bytes of text and of list items, one row at least, so memory doesn't follow Spark's batch size.
+
+    A piece's arrays are copies that start at their buffers' beginning, so no caller meets a cut array.
+    """
     size = np.zeros(batch.num_rows, np.int64)
-    for column in batch.columns:
-        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+    todo = list(batch.columns)
+    for column in todo:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
             size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
         elif pa.types.is_list(column.type):
             size += 4 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        elif pa.types.is_struct(column.type):
+            todo.extend(column.flatten())
     part = (np.cumsum(size) - size) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
-            yield batch.slice(int(a), int(b - a))
+            yield batch if b - a == batch.num_rows else pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(a, b - a)]) for c in batch.columns], schema=batch.schema)
 
 
 def with_arrow(df: DataFrame, columns: list[str], added: list[T.StructField], fn: Callable[[pa.RecordBatch], list[pa.Array]],

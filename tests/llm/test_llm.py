@@ -8,11 +8,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from evimap.llm import bpe, license_scan, near_dedup, quality_crf, quality_rules, source_mixing, statistics, substring_dedup, token_counts, topk_search, url_reputation
 
+from evimap.llm.common import sliced
+
 LONG = " ".join(f"w{i}" for i in range(300))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, n_words string, class_id string"
 TEXTS = [
@@ -332,24 +335,58 @@ def test_signatures_estimate_weighted_similarity():
     assert abs((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.04
 
 
-def test_topk_search(docs, empty):
+def brute_search(texts, k):
+    """The k best of each text by BM25, equal scores by id."""
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    bags = [(i, Counter(x for x in (w.decode().strip(topk_search.MARKS) for w in (t or "").translate(lower).encode().split()) if x)) for i, t in TEXTS if i is not None]
+    bags = [(i, Counter(x for x in (w.decode().strip(topk_search.MARKS) for w in (t or "").translate(lower).encode().split()) if x)) for i, t in texts if i is not None]
     n, average = len(bags), sum(b.total() for _, b in bags) / len(bags)
     of = Counter(t for _, b in bags for t in b)
     want = {}
     for q, asked in bags:
         scores = [(sum(math.log(1 + (n - of[t] + 0.5) / (of[t] + 0.5)) * b[t] * 2.2 / (b[t] + 1.2 * (0.25 + 0.75 * b.total() / average)) for t in asked if t in b), i) for i, b in bags]
-        best = sorted((-round(s, 9), i) for s, i in scores if s > 0)[:3]
+        best = sorted((-round(s, 9), i) for s, i in scores if s > 0)[:k]
         if best:
             want[q] = [(i, -s) for s, i in best]
+    return want
+
+
+def found(df):
     got = {}
-    for r in sorted(topk_search.search(docs, docs, k=3, block_terms=200).collect(), key=lambda r: (r["query"], r["rank"])):
+    for r in sorted(df.collect(), key=lambda r: (r["query"], r["rank"])):
         got.setdefault(r["query"], []).append((r.doc_id, round(r.score, 9)))
-    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    return got
+
+
+def ids(of):
+    return {q: [i for i, _ in v] for q, v in of.items()}
+
+
+def test_topk_search(docs, empty):
+    assert ids(found(topk_search.search(docs, docs, k=3, block_terms=200))) == ids(brute_search(TEXTS, 3))
     assert topk_search.search(empty, empty).count() == 0
 
 
+@pytest.mark.parametrize(("shard_bytes", "block", "partitions"), [(300, 2, 1), (2000, 4, 2), (1 << 24, 8, 1)])
+def test_topk_search_over_many_shards(spark, monkeypatch, shard_bytes, block, partitions):
+    """One Arrow batch is cut into many shards and many pieces of queries; marks, upper case, nulls and bytes beyond ASCII between the cuts."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"Wörd{i}," if i % 3 else f"w{i}" for i in range(400)]
+    texts = [(i, None if i % 41 == 7 else " ".join(vocabulary[min(int(x), 399)] for x in rng.zipf(1.4, rng.integers(0, 60)))) for i in range(400)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartitionByRange(partitions, "doc_id")
+    monkeypatch.setattr(topk_search, "sliced", lambda batch, most=500, cut=topk_search.sliced: cut(batch, min(most, 1 << 24)))
+    got = found(topk_search.search(df, df, k=5, shard_bytes=shard_bytes, block=block))
+    want = brute_search(texts, 5)
+    assert all(np.allclose([s for _, s in got[q]], [s for _, s in v]) for q, v in want.items())
+    assert ids(got) == ids(want)
+
+
+def test_slices_start_at_their_own_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(["aB", None, "CD", "é", ""]), pa.array([[1], [2, 3], None, [], [4]])], names=["t", "l"])
+    pieces = list(sliced(batch, 2))
+    assert len(pieces) > 2 and pa.Table.from_batches(pieces).to_pydict() == batch.to_pydict()
+    assert all(c.offset == 0 for p in pieces for c in p.columns)
+
+
 def test_statistics_fall_back_on_equal_hashes(monkeypatch):
     codes, offsets = np.array([1, 2, 3, 4, 5, 1, 2, 3, 4, 5, 9]), np.array([0, 11])
     want = statistics.in_repeated_window(codes, offsets).tolist()
