@@ -6,13 +6,13 @@ interval's length. A point lies at a hashed height and counts if that is below t
 shingle's weight; it falls into one of the signature's places, which keeps the first.
 Equal places then have the chance of the weighted Jaccard similarity.
 
-Texts that share a band are candidates. Of each bucket one member is compared with
-all others. Links join classes. Where classes still differ, a bucket with few pairs of
-different classes for its size (a small one, or one large class and few others) is
-compared across its classes and is settled; the members of another one are compared with
-two new leaders, until a round finds no link, and what is then left across classes.
-A round only reads the buckets that are not settled. Every comparison is exact on both
-whole bags.
+Texts that share a band are candidates. Of each bucket one member, the leader, is compared
+with all others, and links join classes. A bucket that still holds several classes is settled
+across them: one with few such pairs pair by pair, another in blocks. A block is a chunk of
+the members outside the bucket's largest class and a chunk of all members; it holds each bag
+once, tests a pair in the first band that it shares, and only while its two are of different classes.
+Before a pair's texts or bags are compared, their signatures must agree in as many places as a
+link's almost surely do. Every comparison is exact on both whole bags.
 """
 
 from __future__ import annotations
@@ -25,14 +25,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from evimap.llm.common import grams, kept_table, mix, window_starts, with_arrow, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
-#: a bucket is compared across its classes at once if that gives at most SMALL / 2 pairs for each member
-SMALL = 32
+#: a bucket is settled pair by pair if that gives at most SMALL / 2 pairs for each member
+SMALL = 8
+#: members in a chunk of a block
+CHUNK = 256
+#: a link's signatures agree in fewer places than expected by over so many standard deviations with a chance below 1e-8
+DEVIATIONS = 6.0
 
 
 def bags(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -124,19 +129,38 @@ def bag(text: str, shingle: int = SHINGLE) -> Counter:
     return Counter(zip(*[words[i:] for i in range(shingle)], strict=False))
 
 
+def elements(rows: np.ndarray, values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of each occurrence: bags become sets whose Jaccard similarity is the bags' weighted one."""
+    nth = np.arange(weights.sum()) - np.repeat(np.cumsum(weights) - weights, weights)
+    return np.repeat(rows, weights), mix(np.repeat(values, weights) + mix(nth.astype(np.uint64)))
+
+
+def least_places(least: float, size: int) -> int:
+    """Places in which two signatures agree if their bags have a similarity of ``least``, less DEVIATIONS."""
+    return max(0, int(np.floor(size * least - DEVIATIONS * np.sqrt(size * least * (1 - least)))))
+
+
 def _signed(df: DataFrame, id_col: str, text: str, bands: int, rows: int, shingle: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         column = batch.column("__body")
         row, value, weight, n = bags(column, shingle)
         total = np.bincount(row, weight, n).astype(np.int64)
-        hashes = band_hashes(signatures(row, value, weight, n, bands * rows), bands).view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(hashes.ravel()))
-        return [pa.array([hashlib.sha256(b" ".join(x.encode().split())).hexdigest() if x else "" for x in column.to_pylist()]), pa.array(total), lists]
+        signature = signatures(row, value, weight, n, bands * rows)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(band_hashes(signature, bands).view(np.int64).ravel()))
+        short = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands * rows, pa.int32()), pa.array(signature.astype(np.uint16).view(np.int16).ravel()))
+        return [pa.array([hashlib.sha256(b" ".join(x.encode().split())).hexdigest() if x else "" for x in column.to_pylist()]), pa.array(total), lists, short]
 
-    added = [T.StructField("sha", T.StringType()), T.StructField("weight", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    added = [T.StructField("sha", T.StringType()), T.StructField("weight", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.ShortType()))]
     return with_arrow(df.select(F.col(id_col).alias("id"), F.col(text).alias("__body")), ["id", "__body"], added, run, dropped=("__body",))
 
 
+def likely(pairs: DataFrame, signed: DataFrame, least: float, size: int) -> DataFrame:
+    """Those ``pairs`` (a, b, ..) whose signatures agree in enough places."""
+    both = pairs.join(signed.select(F.col("id").alias("a"), F.col("places").alias("__a")), "a").join(signed.select(F.col("id").alias("b"), F.col("places").alias("__b")), "b")
+    equal = F.size(F.filter(F.zip_with("__a", "__b", lambda x, y: x == y), lambda x: x))
+    return both.where(equal >= least_places(least, size)).drop("__a", "__b")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
     """Links (a, b) of the classes of those ``pairs`` (a, b, class_a, class_b) whose bags have a similarity of ``least`` or more.
 
@@ -161,21 +185,21 @@ def _likely(weight: str, other: str, least: float) -> Column:
     return F.least(weight, other) >= F.greatest(weight, other) * (least - 1e-12)
 
 
-def _led(live: DataFrame, leaders: tuple[str, ...], least: float) -> DataFrame:
-    """Each bucket's leaders with its members of other classes."""
-    led = live.select("id", "class", "weight", F.explode(F.array(*leaders)).alias("rep"))
-    return led.where((F.col("class") != F.col("rep.class")) & _likely("weight", "rep.weight", least)).select(
-        F.col("rep.id").alias("a"), F.col("id").alias("b"), F.col("rep.class").alias("class_a"), F.col("class").alias("class_b"))
+def _led(live: DataFrame, least: float) -> DataFrame:
+    """Each bucket's leader with its members of other classes."""
+    return live.where((F.col("class") != F.col("leader.class")) & _likely("weight", "leader.weight", least)).select(
+        F.col("leader.id").alias("a"), F.col("id").alias("b"), F.col("leader.class").alias("class_a"), F.col("class").alias("class_b"))
 
 
-def _mixed(placed: DataFrame, turn: int) -> DataFrame:
-    """Buckets of several classes: the largest class, two leaders at random, and whether pairs across classes are few for its size."""
-    one = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "class", "weight")
-    of_class = placed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("r0"), F.max(one).alias("r1"))
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Buckets of several classes: their size, largest class, a leader by a hash, and whether pairs across classes are few for the size."""
+    one = F.struct(F.xxhash64("id").alias("h"), "id", "class", "weight")
+    of_class = placed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("leader"))
     found = of_class.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("classes"), F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("squares"),
-        F.max_by("class", F.struct("n", "class")).alias("main"), F.min("r0").alias("r0"), F.max("r1").alias("r1")).where("classes > 1")
-    return found.select("bucket", "main", "r0", "r1", (F.col("size") * F.col("size") - F.col("squares") <= SMALL * F.col("size")).alias("few"))
+        F.max(F.struct("n", "class")).alias("main"), F.min("leader").alias("leader")).where("classes > 1")
+    few = F.col("size") * F.col("size") - F.col("squares") <= SMALL * F.col("size")
+    return found.select("bucket", "size", F.col("main.class").alias("main"), (F.col("size") - F.col("main.n")).alias("others"), "leader", few.alias("few"))
 
 
 def _crossed(live: DataFrame, least: float) -> DataFrame:
@@ -191,6 +215,77 @@ def _crossed(live: DataFrame, least: float) -> DataFrame:
     return met.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("class_a", "class_b"), ("class_b", "class_a"))))
 
 
+def _settle(table: pa.Table, least: float, enough: int) -> list[tuple]:
+    """Links that join the classes of a block's two sides, each pair tested exactly in its first common band."""
+    side, ids, of = table["side"].to_numpy(), table["id"], table["class"].combine_chunks().dictionary_encode()
+    one, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(one) or not len(other):
+        return []
+    names = of.dictionary.to_pylist()
+    parent = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    group = of.indices.to_numpy()
+    weight = table["weight"].to_numpy().astype(np.float64)
+    flat = lambda c: (x := table[c].combine_chunks()).flatten().to_numpy().reshape(len(x), -1)
+    places, bands, bucket = flat("places"), flat("bands"), table["bucket"][0].as_py()
+    lists = table["elements"].combine_chunks()
+    at, numbers = lists.offsets.to_numpy(), lists.values.to_numpy()
+    out, identity = [], ids.to_pylist()
+    for a in one:
+        b = other[(group[other] != group[a]) & (np.minimum(weight[other], weight[a]) >= np.maximum(weight[other], weight[a]) * (least - 1e-12))]
+        b = b[(places[b] == places[a]).sum(1) >= enough]
+        same = bands[b] == bands[a]
+        b = b[bands[a][same.argmax(1)] == bucket] if len(b) else b
+        mine = numbers[at[a] : at[a + 1]]
+        for x in b:
+            if root(group[a]) != root(group[x]):
+                its = numbers[at[x] : at[x + 1]]
+                common = int((mine[np.minimum(np.searchsorted(mine, its), len(mine) - 1)] == its).sum())
+                if common / (len(mine) + len(its) - common) >= least - 1e-12:
+                    parent[root(group[x])] = root(group[a])
+                    out.append((names[group[a]], names[group[x]]))
+    return out
+
+
+def _in_blocks(live: DataFrame, copies: DataFrame, texts: DataFrame, least: float, enough: int, shingle: int) -> DataFrame:
+    """Links (a, b) of classes across the classes of open buckets; a block holds at most 2 CHUNK members.
+
+    Members outside the largest class go to all chunks of the bucket, each member to all chunks of those outside.
+    """
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        row, value, weight, n = bags(batch.column("body"), shingle)
+        rows, numbers = elements(row, value, weight)
+        numbers = numbers.view(np.int64)
+        order = np.lexsort((numbers, rows))
+        return [pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[order], np.arange(n + 1)), pa.int32()), pa.array(numbers[order]))]
+
+    members = live.select("id").distinct()
+    held = with_arrow(texts.join(members, "id", "left_semi"), ["id", "body"], [T.StructField("elements", T.ArrayType(T.LongType()))], run, dropped=("body",))
+    held = kept_table(held.join(copies.select(F.col("first").alias("id"), "of.bands", "of.places"), "id"), "bags")
+    chunks = lambda n: F.ceil(n / CHUNK).cast("int")
+    spot = F.xxhash64("id")
+    rows = live.select("bucket", "id", "class", "weight", F.col("class") == F.col("main"), chunks(F.col("size")).alias("wide"), chunks(F.col("others")).alias("high"), spot.alias("h"))
+    rows = rows.toDF("bucket", "id", "class", "weight", "in_main", "wide", "high", "h")
+    mine, its = F.pmod("h", F.col("high")), F.pmod("h", F.col("wide"))
+    ones = rows.where("not in_main").select("bucket", "id", "class", "weight", F.lit(0).alias("side"), mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"))
+    others = rows.select("bucket", "id", "class", "weight", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("i"), its.alias("j"))
+    blocks = ones.withColumn("i", F.col("i").cast("int")).unionByName(others.withColumn("j", F.col("j").cast("int"))).join(held, "id")
+    kind = live.schema["class"].dataType
+    arrow = to_arrow_type(kind)
+
+    def settle(table: pa.Table) -> pa.Table:
+        found = _settle(table, least, enough)
+        return pa.table({"a": pa.array([x for x, _ in found], arrow), "b": pa.array([x for _, x in found], arrow)})
+
+    return blocks.groupBy("bucket", "i", "j").applyInArrow(settle, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, class): the smallest id that links reach, by minima of neighbours and by jumping to a label's own label."""
     both = kept_table(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
@@ -220,33 +315,25 @@ def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: fl
     """
     signed = kept_table(_signed(df, id_col, text, bands, rows, shingle), "signed")
     full = signed.where(F.col("id").isNotNull() & (F.col("weight") > 0))
-    copies = kept_table(full.groupBy("sha").agg(F.min("id").alias("first"), F.min_by(F.struct("weight", "bands"), "id").alias("of")), "copies")
+    copies = kept_table(full.groupBy("sha").agg(F.min("id").alias("first"), F.min_by(F.struct("weight", "bands", "places"), "id").alias("of")), "copies")
     placed = copies.select(F.col("first").alias("id"), F.col("first").alias("class"), F.col("of.weight").alias("weight"), F.explode("of.bands").alias("bucket"))
-    texts, labels, turn = None, None, 0
-    while True:
-        turn += 1
-        live = kept_table(placed.join(_mixed(placed, turn), "bucket"), "live")
-        if turn == 1:
-            labels = kept_table(live.select("id").distinct().withColumn("class", F.col("id")), "labels")
-            texts = kept_table(df.select(F.col(id_col).alias("id"), F.col(text).alias("body")).join(labels.select("id"), "id"), "texts")
-            unsettled = live
-            pairs = _led(live, ("r0",), least)
-        else:
-            unsettled = live.where("not few")
-            pairs = _led(unsettled, ("r0", "r1"), least).union(_crossed(live.where("few"), least))
-        new = kept_table(verified(pairs.distinct(), texts, least, shingle), "links")
-        last = new.isEmpty()
-        settled = turn > 1 and unsettled.isEmpty()
-        if not last:
-            step = components(new).select(F.col("id").alias("class"), F.col("class").alias("to"))
-            labels = kept_table(_moved(labels, step), "labels")
-        if last or settled:
-            break
-        placed = _moved(unsettled.select("bucket", "id", "class", "weight"), step)
-    if not settled:  # what no leader has linked is compared across classes
-        new = kept_table(verified(_crossed(unsettled, least).distinct(), texts, least, shingle), "links")
-        if not new.isEmpty():
-            labels = _moved(labels, components(new).select(F.col("id").alias("class"), F.col("class").alias("to")))
+    size = bands * rows
+    live = kept_table(placed.join(_mixed(placed), "bucket"), "live")
+    members = live.select("id").distinct()
+    signs = kept_table(copies.select(F.col("first").alias("id"), F.col("of.places").alias("places")).join(members, "id", "left_semi"), "signs")
+    texts = kept_table(df.select(F.col(id_col).alias("id"), F.col(text).alias("body")).join(members, "id", "left_semi"), "texts")
+    new = kept_table(verified(likely(_led(live, least).distinct(), signs, least, size), texts, least, shingle), "links")
+    labels = members.withColumn("class", F.col("id"))
+    if not new.isEmpty():
+        step = components(new).select(F.col("id").alias("class"), F.col("class").alias("to"))
+        labels = kept_table(_moved(labels, step), "labels")
+        placed = _moved(live.select("bucket", "id", "class", "weight"), step)
+        live = kept_table(placed.join(_mixed(placed), "bucket"), "live")
+    crossed = verified(likely(_crossed(live.where("few"), least).distinct(), signs, least, size), texts, least, shingle)
+    blocks = _in_blocks(live.where("not few"), copies, texts, least, least_places(least, size), shingle)
+    new = kept_table(crossed.union(blocks).distinct(), "links")
+    if not new.isEmpty():
+        labels = _moved(labels, components(new).select(F.col("id").alias("class"), F.col("class").alias("to")))
     named = copies.select("sha", "first")
     named = named.join(labels.select(F.col("id").alias("first"), "class"), "first", "left").withColumn("first", F.coalesce("class", "first")).drop("class")
     named = named.withColumnRenamed("first", "__class")

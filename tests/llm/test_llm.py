@@ -315,17 +315,34 @@ def test_near_dedup_chain(spark):
 
 
 def test_cross_pairs_spare_the_largest_class(spark):
-    """One large class and few others: settled at once, every pair across classes given once, none within a class."""
-    of = {i: 1 if i <= 60 else 61 + (i - 61) // 2 for i in range(1, 67)}
+    """One large class and few others: settled pair by pair, every pair across classes given once, none within a class."""
+    of = {i: 1 if i <= 60 else 61 + (i - 61) // 2 for i in range(1, 63)}
     many = {i: i for i in range(101, 141)}
     placed = spark.createDataFrame([(7, i, c, 10) for i, c in of.items()] + [(8, i, c, 10) for i, c in many.items()] + [(9, 1, 1, 10), (9, 2, 1, 10)], "bucket long, id long, class long, weight long")
-    mixed = near_dedup._mixed(placed, 1)
-    assert {(r["bucket"], r["few"]) for r in mixed.collect()} == {(7, True), (8, False)}
+    mixed = near_dedup._mixed(placed)
+    assert {(r["bucket"], r["few"], r["size"], r["others"]) for r in mixed.collect()} == {(7, True, 62, 2), (8, False, 40, 39)}
     got = rows(near_dedup._crossed(placed.join(mixed, "bucket"), 0.8), "a", "b", "class_a", "class_b")
     want = [(a, b, x[a], x[b]) for x in (of, many) for a in x for b in x if a < b and x[a] != x[b]]
     assert got == sorted(want, key=str)
 
 
+def test_near_dedup_of_a_large_family(spark, monkeypatch):
+    """Hundreds of changed copies of one text, some linked and some not, in buckets that are settled in many blocks."""
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for i in range(400):
+        words = list(base)
+        for at in rng.integers(0, 150, rng.integers(0, 12)):
+            words[at] = f"n{rng.integers(0, 10**6)}"
+        texts.append((i, " ".join(words)))
+    monkeypatch.setattr(near_dedup, "CHUNK", 37)
+    monkeypatch.setattr(near_dedup, "SMALL", 0)
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()}
+    want = truth(texts)
+    assert len(set(want.values())) > 5 and got == want
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     values = rng.integers(1, 2**62, 60).astype(np.uint64)
