@@ -34,8 +34,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 #: a bucket is settled pair by pair if that gives at most SMALL / 2 pairs for each member
 SMALL = 8
-#: members in a chunk of a block
-CHUNK = 256
+#: shingles in a chunk of a block
+CHUNK = 200_000
 #: a link's signatures agree in fewer places than expected by over so many standard deviations with a chance below 1e-8
 DEVIATIONS = 6.0
 
@@ -194,12 +194,12 @@ def _led(live: DataFrame, least: float) -> DataFrame:
 def _mixed(placed: DataFrame) -> DataFrame:
     """Buckets of several classes: their size, largest class, a leader by a hash, and whether pairs across classes are few for the size."""
     one = F.struct(F.xxhash64("id").alias("h"), "id", "class", "weight")
-    of_class = placed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("leader"))
+    of_class = placed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("shingles"), F.min(one).alias("leader"))
     found = of_class.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("classes"), F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("squares"),
-        F.max(F.struct("n", "class")).alias("main"), F.min("leader").alias("leader")).where("classes > 1")
+        F.count(F.lit(1)).alias("classes"), F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.sum("shingles").alias("shingles"),
+        F.max(F.struct("n", "class", "shingles")).alias("main"), F.min("leader").alias("leader")).where("classes > 1")
     few = F.col("size") * F.col("size") - F.col("squares") <= SMALL * F.col("size")
-    return found.select("bucket", "size", F.col("main.class").alias("main"), (F.col("size") - F.col("main.n")).alias("others"), "leader", few.alias("few"))
+    return found.select("bucket", F.col("main.class").alias("main"), "shingles", (F.col("shingles") - F.col("main.shingles")).alias("outside"), "leader", few.alias("few"))
 
 
 def _crossed(live: DataFrame, least: float) -> DataFrame:
@@ -233,7 +233,7 @@ def _settle(table: pa.Table, least: float, enough: int) -> list[tuple]:
     group = of.indices.to_numpy()
     weight = table["weight"].to_numpy().astype(np.float64)
     flat = lambda c: (x := table[c].combine_chunks()).flatten().to_numpy().reshape(len(x), -1)
-    places, bands, bucket = flat("places"), flat("bands"), table["bucket"][0].as_py()
+    places, bands, band = flat("places"), flat("bands"), table["band"][0].as_py()
     lists = table["elements"].combine_chunks()
     at, numbers = lists.offsets.to_numpy(), lists.values.to_numpy()
     out, identity = [], ids.to_pylist()
@@ -241,7 +241,7 @@ def _settle(table: pa.Table, least: float, enough: int) -> list[tuple]:
         b = other[(group[other] != group[a]) & (np.minimum(weight[other], weight[a]) >= np.maximum(weight[other], weight[a]) * (least - 1e-12))]
         b = b[(places[b] == places[a]).sum(1) >= enough]
         same = bands[b] == bands[a]
-        b = b[bands[a][same.argmax(1)] == bucket] if len(b) else b
+        b = b[bands[a][same.argmax(1)] == band] if len(b) else b
         mine = numbers[at[a] : at[a + 1]]
         for x in b:
             if root(group[a]) != root(group[x]):
@@ -253,8 +253,13 @@ def _settle(table: pa.Table, least: float, enough: int) -> list[tuple]:
     return out
 
 
+def _half(hash64: Column) -> Column:
+    """The lower 32 bits: two of a pair's 32 bands that differ have equal ones with a chance of 1e-8."""
+    return F.shiftright(F.shiftleft(hash64, 32), 32).cast("int")
+
+
 def _in_blocks(live: DataFrame, copies: DataFrame, texts: DataFrame, least: float, enough: int, shingle: int) -> DataFrame:
-    """Links (a, b) of classes across the classes of open buckets; a block holds at most 2 CHUNK members.
+    """Links (a, b) of classes across the classes of open buckets; a block holds about 2 CHUNK shingles, two members at least.
 
     Members outside the largest class go to all chunks of the bucket, each member to all chunks of those outside.
     """
@@ -267,14 +272,12 @@ def _in_blocks(live: DataFrame, copies: DataFrame, texts: DataFrame, least: floa
 
     members = live.select("id").distinct()
     held = with_arrow(texts.join(members, "id", "left_semi"), ["id", "body"], [T.StructField("elements", T.ArrayType(T.LongType()))], run, dropped=("body",))
-    held = kept_table(held.join(copies.select(F.col("first").alias("id"), "of.bands", "of.places"), "id"), "bags")
+    held = kept_table(held.join(copies.select(F.col("first").alias("id"), F.transform("of.bands", _half).alias("bands"), "of.places"), "id"), "bags")
     chunks = lambda n: F.ceil(n / CHUNK).cast("int")
-    spot = F.xxhash64("id")
-    rows = live.select("bucket", "id", "class", "weight", F.col("class") == F.col("main"), chunks(F.col("size")).alias("wide"), chunks(F.col("others")).alias("high"), spot.alias("h"))
-    rows = rows.toDF("bucket", "id", "class", "weight", "in_main", "wide", "high", "h")
+    rows = live.select("bucket", _half(F.col("bucket")).alias("band"), "id", "class", "weight", (F.col("class") == F.col("main")).alias("in_main"), chunks(F.col("shingles")).alias("wide"), chunks(F.col("outside")).alias("high"), F.xxhash64("id").alias("h"))
     mine, its = F.pmod("h", F.col("high")), F.pmod("h", F.col("wide"))
-    ones = rows.where("not in_main").select("bucket", "id", "class", "weight", F.lit(0).alias("side"), mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"))
-    others = rows.select("bucket", "id", "class", "weight", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("i"), its.alias("j"))
+    ones = rows.where("not in_main").select("bucket", "band", "id", "class", "weight", F.lit(0).alias("side"), mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"))
+    others = rows.select("bucket", "band", "id", "class", "weight", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("i"), its.alias("j"))
     blocks = ones.withColumn("i", F.col("i").cast("int")).unionByName(others.withColumn("j", F.col("j").cast("int"))).join(held, "id")
     kind = live.schema["class"].dataType
     arrow = to_arrow_type(kind)

@@ -320,7 +320,7 @@ def test_cross_pairs_spare_the_largest_class(spark):
     many = {i: i for i in range(101, 141)}
     placed = spark.createDataFrame([(7, i, c, 10) for i, c in of.items()] + [(8, i, c, 10) for i, c in many.items()] + [(9, 1, 1, 10), (9, 2, 1, 10)], "bucket long, id long, class long, weight long")
     mixed = near_dedup._mixed(placed)
-    assert {(r["bucket"], r["few"], r["size"], r["others"]) for r in mixed.collect()} == {(7, True, 62, 2), (8, False, 40, 39)}
+    assert {(r["bucket"], r["few"], r["shingles"], r["outside"]) for r in mixed.collect()} == {(7, True, 620, 20), (8, False, 400, 390)}
     got = rows(near_dedup._crossed(placed.join(mixed, "bucket"), 0.8), "a", "b", "class_a", "class_b")
     want = [(a, b, x[a], x[b]) for x in (of, many) for a in x for b in x if a < b and x[a] != x[b]]
     assert got == sorted(want, key=str)
@@ -336,7 +336,7 @@ def test_near_dedup_of_a_large_family(spark, monkeypatch):
         for at in rng.integers(0, 150, rng.integers(0, 12)):
             words[at] = f"n{rng.integers(0, 10**6)}"
         texts.append((i, " ".join(words)))
-    monkeypatch.setattr(near_dedup, "CHUNK", 37)
+    monkeypatch.setattr(near_dedup, "CHUNK", 37 * 150)
     monkeypatch.setattr(near_dedup, "SMALL", 0)
     got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()}
     want = truth(texts)
