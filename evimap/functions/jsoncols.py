@@ -72,10 +72,10 @@ def pointer_part(key: str) -> str:
     return f"replace(replace({key}, '~', '~0'), '/', '~1')"
 
 
-def _node(pointer: str, ancestry: str, key: str, position: str, role: str, shown: str, order: str, value: str) -> str:
+def _node(pointer: str, ancestry: str, key: str, position: str, role: str, shown: str, order: str, value: str, text: str) -> str:
     return (
         f"named_struct('pointer', {pointer}, 'ancestry', {ancestry}, 'key', {key}, 'position', {position}, 'role', {role}, "
-        f"'shown', {shown}, 'ordinal', {order}, 'value', {value}, "
+        f"'shown', {shown}, 'ordinal', {order}, 'value', {value}, 'text', {text}, "
         f"'fields', try_variant_get({value}, '$', 'map<string,variant>'), "
         f"'items', try_variant_get({value}, '$', 'array<variant>'))"
     )
@@ -86,6 +86,17 @@ def walk(raw: str, value: str, index: str, **limits) -> Column:
     return F.expr(walk_text(raw, value, index, **limits))
 
 
+def depth_text(raw: str) -> str:
+    """The greatest number of open brackets of a JSON text, without those in strings."""
+    plain = rf"regexp_replace(replace(replace({raw}, r'\\', ''), r'\"', ''), '\"[^\"]*\"', '')"
+    brackets = rf"split(regexp_replace({plain}, r'[^\[\]{{}}]', ''), '')"
+    return (
+        f"aggregate({brackets}, named_struct('now', 0, 'most', 0), (a, c) -> named_struct("
+        "'now', a.now + case when c in ('{', '[') then 1 when c in ('}', ']') then -1 else 0 end, "
+        "'most', greatest(a.most, a.now + if(c in ('{', '['), 1, 0))), a -> a.most)"
+    )
+
+
 def walk_text(
     raw: str, value: str, index: str, paths: bool = False,
     max_depth: int | None = None, max_items: int | None = None, max_keys: int | None = None,
@@ -94,17 +105,24 @@ def walk_text(
 
     One expression evaluated inside the row: each step replaces the open
     containers by their children. There is no shuffle, no driver loop and no
-    Python; the steps are as many as the brackets in the text, and those after
-    the last level leave the state as it is. The three limits are off unless
-    given. ``paths`` also carries the dotted path without list steps
-    and an ordinal that sorts the nodes depth first.
+    Python; the steps are as many as the text has levels. The three limits are off
+    unless given. ``paths`` also carries the dotted path without list steps
+    and an ordinal that sorts the nodes depth first, the keys of an object in the order
+    of the text, those that are array indexes before others and by number.
     """
     escaped = r"replace(replace(c.key, '\\', '\\\\'), '.', '\\.')"
     shown_field = f"if(n.shown = '', {escaped}, concat(n.shown, '.', {escaped}))" if paths else "''"
     shown_item = "n.shown" if paths else "''"
-    ordinal = "concat(n.ordinal, lpad(cast(i as string), 10, '0'))" if paths else "''"
-    fields = "map_entries(n.fields)" if max_keys is None else f"slice(map_entries(n.fields), 1, {max_keys})"
-    items = "n.items" if max_items is None else f"slice(n.items, 1, {max_items})"
+    # a variant sorts its keys; the text of a container keeps their order
+    index_key = "c.key rlike '^(0|[1-9][0-9]{0,9})$' and cast(c.key as bigint) < 4294967295"
+    order_field = f"concat(n.ordinal, if({index_key}, concat('0', lpad(c.key, 10, '0')), concat('1', lpad(cast(i as string), 10, '0'))))" if paths else "''"
+    order_item = "concat(n.ordinal, lpad(cast(i as string), 11, '0'))" if paths else "''"
+    entries = "map_entries(from_json(n.text, 'map<string,string>'))" if paths else "map_entries(n.fields)"
+    fields = entries if max_keys is None else f"slice({entries}, 1, {max_keys})"
+    listed = "zip_with(n.items, from_json(n.text, 'array<string>'), (x, t) -> named_struct('x', x, 't', t))" if paths else "n.items"
+    items = listed if max_items is None else f"slice({listed}, 1, {max_items})"
+    field_value, field_text = ("try_element_at(n.fields, c.key)", "c.value") if paths else ("c.value", "''")
+    item_value, item_text = ("x.x", "x.t") if paths else ("x", "''")
     is_open = "n.fields is not null or n.items is not null"
     # the text of the sibling ``key`` names a ``value``
     no_role = "cast(null as string)"
@@ -112,10 +130,10 @@ def walk_text(
         "if(c.key = 'value' and schema_of_variant(try_element_at(n.fields, 'key')) = 'STRING', "
         f"try_variant_get(try_element_at(n.fields, 'key'), '$', 'string'), {no_role})"
     )
-    root = _node(f"concat('/documents/', {index})", "array('documents')", f"cast({index} as string)", "-1", no_role, "''", "''", value)
+    root = _node(f"concat('/documents/', {index})", "array('documents')", f"cast({index} as string)", "-1", no_role, "''", "''", value, raw if paths else "''")
     below = "concat(n.ancestry, array(n.key))"
-    field = _node(f"concat(n.pointer, '/', {pointer_part('c.key')})", below, "c.key", "-1", role, shown_field, ordinal, "c.value")
-    item = _node("concat(n.pointer, '/', i)", below, "cast(i as string)", "i", no_role, shown_item, ordinal, "x")
+    field = _node(f"concat(n.pointer, '/', {pointer_part('c.key')})", below, "c.key", "-1", role, shown_field, order_field, field_value, field_text)
+    item = _node("concat(n.pointer, '/', i)", below, "cast(i as string)", "i", no_role, shown_item, order_item, item_value, item_text)
     slim = (
         "named_struct('pointer', n.pointer, 'ancestry', n.ancestry, 'key', n.key, 'position', n.position, "
         "'role', n.role, 'shown', n.shown, 'ordinal', n.ordinal, 'children', coalesce(cardinality(n.fields), cardinality(n.items)), "
@@ -126,8 +144,8 @@ def walk_text(
         "array<struct<pointer:string,ancestry:array<string>,key:string,position:int,role:string,shown:string,ordinal:string,"
         "children:int,container:string,value:variant>>"
     )
-    brackets = f"length({raw}) - length(translate({raw}, '{{[', ''))"
-    steps = f"sequence(0, {brackets if max_depth is None else f'least({max_depth}, {brackets})'})"
+    levels = depth_text(raw)
+    steps = f"sequence(0, {levels if max_depth is None else f'least({max_depth}, {levels})'})"
     return (
         f"if({value} is null, null, aggregate({steps}, named_struct('open', array({root}), 'done', cast(array() as array<{kind}>)), "
         f"(acc, step) -> if(size(acc.open) = 0, acc, named_struct("

@@ -171,16 +171,17 @@ def drop_sensitive_leaves(leaf_rows: DataFrame) -> DataFrame:
 
 
 def json_pairs(docs: DataFrame, max_depth: int | None = None, max_nodes: int | None = None, max_items: int | None = None, max_keys: int | None = None) -> DataFrame:
-    """(incident_id, doc_index, ordinal, path, value, pointer) for label lookups.
+    """(incident_id, doc_index, ordinal, path, value, pointer) for label lookups; the ordinal follows the text.
 
     Every pair of a document is given; the four limits are off unless a caller
     sets them, and then apply inside the row of one document.
     """
     parsed = _parsed(docs)
     walked = J.walk("raw", "doc", "doc_index", paths=True, max_depth=max_depth, max_items=max_items, max_keys=max_keys)
-    in_order = F.array_sort("all", lambda a, b: F.when(a["ordinal"] < b["ordinal"], -1).when(a["ordinal"] > b["ordinal"], 1).otherwise(0))
-    visited = F.col("all") if max_nodes is None else F.when(F.size("all") > max_nodes, F.slice(in_order, 1, max_nodes)).otherwise(F.col("all"))
-    near = parsed.select("incident_id", "doc_index", walked.alias("all")).select("incident_id", "doc_index", F.inline(visited))
+    if max_nodes is not None:
+        in_order = F.array_sort(walked, lambda a, b: F.when(a["ordinal"] < b["ordinal"], -1).when(a["ordinal"] > b["ordinal"], 1).otherwise(0))
+        walked = F.slice(in_order, 1, max_nodes)
+    near = parsed.select("incident_id", "doc_index", F.inline(walked))  # unfolded at once: a named array would be walked again by each later step
     typed = _typed(near.where("container is null"))
     path = normalize_json_path(F.array_join(F.concat(F.slice("ancestry", 3, F.size("ancestry")), F.array("key")), "."))
     return (

@@ -78,10 +78,10 @@ _ALIASES = "(VALUES " + ", ".join(
 ) + ") AS aliases(field, alias_rank, alias)"
 
 RESOLVED = NODES + f""", named AS (SELECT *, string_split(pointer, '/')[4:] AS parts FROM leaves),
-paths AS (SELECT incident_id, doc_index, pointer, array_to_string(list_filter(string_split_regex(replace(lower(array_to_string(parts, '.')), '~1', '/'), '[^a-z0-9]+'),
+paths AS (SELECT incident_id, doc_index, ord, array_to_string(list_filter(string_split_regex(replace(lower(array_to_string(parts, '.')), '~1', '/'), '[^a-z0-9]+'),
   lambda p: p <> '' AND NOT regexp_matches(p, '^[0-9]+$')), '.') AS path, {clean_sql("coalesce(value_text, 'null')")} AS value FROM named),
 hits AS (SELECT incident_id, field, value, row_number() OVER (PARTITION BY incident_id, field
-    ORDER BY alias_rank, CASE WHEN path = alias THEN 0 ELSE 1 END, doc_index, pointer) AS turn
+    ORDER BY alias_rank, CASE WHEN path = alias THEN 0 ELSE 1 END, doc_index, ord) AS turn
   FROM paths JOIN {_ALIASES} ON path = alias OR ends_with(path, '.' || alias) WHERE path <> '' AND {available_sql('value')}),
 resolved AS (SELECT incident_id, field, value FROM hits WHERE turn = 1)"""
 
@@ -91,6 +91,17 @@ def _(t):
     return X.resolve_aliases(_json_pairs(t))
 
 
+# keys that stand against their sorted order, keys that are numbers, and repeats within lists
+_ORDERED = """SELECT event_id AS incident_id, 0 AS doc_index, '{"zeta": {"hostname": "z' || CAST(user_id % 7 AS STRING) || '"}, "alpha": {"hostname": "a"}, "b": [{"client ip": "192.0.2.'
+    || CAST(user_id % 200 AS STRING) || '", "Source IP": "' || CASE WHEN event_id % 3 = 0 THEN 'n/a' ELSE '198.51.100.9' END || '"}, {"Source IP": "203.0.113.7"}], "10": {"user name": "ten"}, "9": {"user name": "nine"}, "'
+    || event_type || '": {"event name": "last"}, "c": {"event name": "' || event_type || '"}}' AS raw FROM [events]"""
+
+
+@query("alias_text_order", RESOLVED.replace("[alert_docs]", f"({_ORDERED})") + " SELECT * FROM resolved")
+def _(t):
+    return X.resolve_aliases(flatten.json_pairs(t.sql(_ORDERED)))
+
+
 _FIELDS = ("sourceIp", "clientIp", "sourceUsername", "clientUserName", "deviceHostname", "eventName", "tenantName")
 
 

@@ -12,15 +12,17 @@ from evimap.plans.registry import query
 # Nodes and leaves as DuckDB sees them, for the statements below.
 NODES = """WITH RECURSIVE parsed AS (
     SELECT incident_id, doc_index, CASE WHEN json_valid(raw) THEN CAST(raw AS JSON) END AS doc FROM [alert_docs]),
-nodes(incident_id, doc_index, pointer, parent, key, position, depth, v) AS (
-    SELECT incident_id, doc_index, '/documents/' || doc_index, '/documents', CAST(doc_index AS STRING), -1, 0, doc
+nodes(incident_id, doc_index, pointer, parent, key, position, depth, v, ord) AS (
+    SELECT incident_id, doc_index, '/documents/' || doc_index, '/documents', CAST(doc_index AS STRING), -1, 0, doc, ''
     FROM parsed WHERE doc IS NOT NULL
     UNION ALL
     SELECT n.incident_id, n.doc_index, n.pointer || '/' || replace(replace(e.key, '~', '~0'), '/', '~1'), n.pointer, e.key,
-      CASE WHEN json_type(n.v) = 'ARRAY' THEN CAST(e.key AS INT) ELSE -1 END, n.depth + 1, e.value
+      CASE WHEN json_type(n.v) = 'ARRAY' THEN CAST(e.key AS INT) ELSE -1 END, n.depth + 1, e.value,
+      n.ord || CASE WHEN json_type(n.v) = 'ARRAY' OR (regexp_matches(e.key, '^(0|[1-9][0-9]{0,9})$') AND TRY_CAST(e.key AS BIGINT) < 4294967295)
+        THEN '0' || lpad(e.key, 10, '0') ELSE '1' || lpad(CAST(e.id AS STRING), 10, '0') END
     FROM nodes n, json_each(n.v) e WHERE json_type(n.v) IN ('OBJECT', 'ARRAY')),
 leaves AS (
-    SELECT incident_id, doc_index, pointer, parent, key, position, depth,
+    SELECT incident_id, doc_index, pointer, parent, key, position, depth, ord,
       CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS vtype,
       CASE WHEN json_type(v) IN ('DOUBLE') AND floor(CAST(v AS DOUBLE)) = CAST(v AS DOUBLE)
            THEN CAST(CAST(CAST(v AS DOUBLE) AS BIGINT) AS STRING) ELSE json_extract_string(v, '$') END AS value_text,

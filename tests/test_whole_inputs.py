@@ -1,5 +1,6 @@
 """Nothing of a document or page is lost because it is deep or wide."""
 
+import time
 import json
 
 from pyspark.sql import functions as F
@@ -82,3 +83,35 @@ def test_limits_are_off_unless_given(spark):
     want = {(t, n + 1, h) for t in map(str, range(60)) for n, h in enumerate(str(i) for i in range(59, 0, -2) if str(i) != t)}
     assert {(r.ticket_id, r.rank, r.historic_id) for r in matches} == want and len(matches) == len(want)
     assert history.historic_matches(past, 25).where("rank > 25").isEmpty()
+
+
+def test_walk_of_a_wide_document(spark):
+    """Steps follow the levels of a text, not its brackets."""
+    from evimap.operators import flatten
+
+    raw = json.dumps([{"a": i, "b": "x]["} for i in range(100_000)])
+    began = time.time()
+    found = flatten.leaves(spark.createDataFrame([(1, 0, raw)], "incident_id long, doc_index int, raw string"))
+    assert found.where("vtype = 'string'").count() == 100_000 and time.time() - began < 60
+
+
+def test_walk_depth_ignores_strings(spark):
+    from evimap.functions.jsoncols import depth_text
+
+    cases = {'{"a": "[[[", "b": [1, {"c": "\\\\"}]}': 3, '["\\\\", "]]]\\"[[["]': 1, "3": 0, '"{["': 0, "[" * 70 + "]" * 70: 70}
+    rows = spark.createDataFrame([(k,) for k in cases], "raw string").selectExpr("raw", f"{depth_text('raw')} as depth").collect()
+    assert {r.raw: r.depth for r in rows} == cases
+
+
+def test_pairs_follow_the_text(spark):
+    """Keys in the order of the text, array indexes first; one walk in the plan."""
+    from evimap.operators import extraction, flatten
+
+    raw = '{"zeta":{"hostname":"first"},"alpha":{"hostname":"second"},"10":{"k":"b"},"9":{"k":"a"},"l":[{"y":"1","x":["2",{"w":"3"}]}]}'
+    docs = spark.createDataFrame([(1, 0, raw)], "incident_id long, doc_index int, raw string")
+    pairs = flatten.json_pairs(docs)
+    assert [r.value for r in pairs.orderBy("ordinal").collect()] == ["a", "b", "first", "second", "1", "2", "3"]
+    assert {(r.field, r.value) for r in extraction.resolve_aliases(pairs).collect()} == {("deviceHostname", "first")}
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") <= 2 * plan.count("inline(") and plan.count("inline(") == 1
+    assert [r.value for r in flatten.json_pairs(docs, max_nodes=5).orderBy("ordinal").collect()] == ["a", "b"]
