@@ -2,18 +2,85 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 
-def canonical_json(raw: Column) -> Column:
-    """Sorted keys, no blanks; NULL when the text is not one JSON value."""
-    return F.to_json(F.try_parse_json(raw))
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once and stands once in the plan."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _digits(printed: Column, power: Column) -> Column:
+    """(digits, point) of a plain decimal times ten to ``power``: its value is 0.digits times ten to the power of ``point``."""
+    def placed(parts: Column) -> Column:
+        whole = F.get(parts, F.lit(0))
+        bare = lambda all_: F.struct(F.rtrim(F.ltrim(all_, F.lit("0")), F.lit("0")).alias("digits"), (F.length(whole) + power - F.length(all_) + F.length(F.ltrim(all_, F.lit("0")))).alias("point"))
+        return _let(F.concat(whole, F.get(parts, F.lit(1))), bare)
+
+    return _let(F.split(printed, "\\."), placed)
 
 
-def sha256_json(raw: Column) -> Column:
-    return F.sha2(canonical_json(raw), 256)
+def _shortest(number: Column) -> Column:
+    """(digits, point) of a positive double, the fewest digits that read back as it.
+
+    The JVM's own text can have two digits too many, the last of them wrong by a little;
+    they are rounded away, to either side, if the rest reads back.
+    """
+    start = _let(F.split(number.cast("string"), "E"), lambda p: _digits(F.get(p, F.lit(0)), F.coalesce(F.get(p, F.lit(1)).cast("int"), F.lit(0))))
+
+    def shorter(found: Column, _: Column) -> Column:
+        def candidate(tenth: Column) -> Column:
+            return F.struct(F.rtrim(tenth, F.lit("0")).alias("digits"), (found["point"] + F.length(tenth) - F.length(found["digits"]) + 1).alias("point"))
+
+        tenths = F.transform(F.array(F.lit(5), F.lit(0), F.lit(10)), lambda added: F.floor((found["digits"].cast("decimal(20,0)") + added) / 10).cast("decimal(20,0)").cast("string"))
+        reads = lambda c: (c["digits"] != "") & (F.concat(F.lit("0."), c["digits"], F.lit("E"), c["point"].cast("string")).cast("double") == number)
+        return F.coalesce(F.get(F.filter(F.transform(tenths, candidate), reads), F.lit(0)), found)
+
+    return F.aggregate(F.array(F.lit(1), F.lit(2)), start, shorter)
+
+
+def canonical_number(text: Column, python: bool = False) -> Column:
+    """A JSON number as the two writers of the contract print it.
+
+    Both print the fewest digits that read back. The first writes 1e21 and more, and
+    less than 1e-6, with an exponent; ``python``: less than 1e-4, the exponent with two digits, and
+    whole numbers below 1e21 with all their digits. What a double can't hold is null.
+    """
+    def printed(found: Column) -> Column:
+        digits, point, count = found["digits"], found["point"], F.length(found["digits"])
+        power = F.abs(point - 1).cast("string")
+        short = F.lpad(power, F.greatest(F.lit(2), F.length(power)), F.lit("0")) if python else power
+        fraction = F.when(count > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), count))).otherwise(F.lit(""))
+        return (
+            F.when((point > 0) & (point <= 21) & (count <= point), F.rpad(digits, point, F.lit("0")))
+            .when((point > 0) & (point <= 21), F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, count)))
+            .when((point <= 0) & (point > (-4 if python else -6)), F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+            .otherwise(F.concat(F.substring(digits, 1, 1), fraction, F.when(point > 0, F.concat(F.lit("e+"), power)).otherwise(F.concat(F.lit("e-"), short))))
+        )
+
+    number = text.cast("double")
+    whole = text.rlike("^-?[0-9]{1,21}$") if python else text.rlike("^-?[0-9]{1,15}$")
+    value = F.concat(F.when(number < 0, F.lit("-")).otherwise(F.lit("")), _let(_shortest(F.abs(number)), printed))
+    return F.when(number == 0, F.lit("0")).when(whole, text).when(F.abs(number) == float("inf"), F.lit("null")).otherwise(value)
+
+
+def canonical_json(raw: Column, python: bool = False) -> Column:
+    """Sorted keys, no blanks, numbers by :func:`canonical_number`; NULL when the text is not one JSON value."""
+    text = F.to_json(F.try_parse_json(raw))
+    parts = F.regexp_extract_all(text, F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[-0-9][-+.0-9eE]*|[^-0-9"]++'), F.lit(0))
+    # a number beyond a double comes as this text
+    beyond = lambda p: p.isin('"Infinity"', '"-Infinity"') & ~raw.contains('Infinity"')
+    numbers = F.transform(parts, lambda p: F.when(p.rlike("^-?[0-9]"), canonical_number(p, python)).when(beyond(p), F.lit("null")).otherwise(p))
+    # most texts hold no number but short whole ones, which print as they are
+    return F.when(text.rlike('[0-9]{16}|[0-9][.eE]|-0|Infinity"'), F.array_join(numbers, "")).otherwise(text)
+
+
+def sha256_json(raw: Column, python: bool = False) -> Column:
+    return F.sha2(canonical_json(raw, python), 256)
 
 
 def json_string(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evimap import constants as K
 from evimap.operators import candidates as C
-from evimap.operators import flatten, mapping
+from evimap.operators import contest, flatten, mapping
 from evimap.plans.registry import query
 from evimap.plans.scalars import TESTED
 
@@ -223,6 +223,37 @@ def _(t):
     )
 
 
+def _first_best(target: str, shown: list[dict]) -> contest.Choice:
+    """User code that looks at no more than five candidates and gives its probabilities."""
+    looked = shown[:5]
+    best = max(looked, key=lambda c: c["score"])
+    rest = [K.NONE, *(c["leaf_id"] for c in looked if c is not best)]
+    return contest.Choice(best["leaf_id"], len(looked), {best["leaf_id"]: 0.6} | {name: 0.4 / len(rest) for name in rest})
+
+
+@query("chooser_select", CHOSEN + """
+SELECT incident_id, target, pointer, round(score, 6) AS score, status, value_agreement, pointer_agreement FROM mapped WHERE pointer IS NOT NULL""")
+def _(t):
+    picked, _ = contest.select_with(C.score_lexical(_leaves(t), threshold=THRESHOLD), _first_best)
+    return picked.select("incident_id", "target", "pointer", F.round("score", 6).alias("score"), "status", "value_agreement", "pointer_agreement")
+
+
+# scores of some incidents are left out, out of range or asked for twice: their targets are incomplete
+@query("fail_closed_statuses", CHOSEN + """, refused AS (SELECT DISTINCT incident_id, target, CASE WHEN incident_id % 23 = 5 THEN 'duplicate_decision'
+    WHEN incident_id % 17 = 3 THEN 'omitted_decision' ELSE 'invalid_score' END AS failure FROM strong WHERE incident_id % 17 = 3 OR incident_id % 19 = 4 OR incident_id % 23 = 5)
+SELECT m.incident_id, m.target, CASE WHEN failure IS NULL THEN status ELSE 'incomplete' END AS status, CASE WHEN failure IS NULL THEN pointer END AS pointer,
+  CASE WHEN failure IS NULL THEN value_agreement ELSE 'none' END AS value_agreement, coalesce(failure, '') AS failure FROM mapped m LEFT JOIN refused r ON m.incident_id = r.incident_id AND m.target = r.target""")
+def _(t):
+    incident = F.col("incident_id")
+    asked = C.score_lexical(_leaves(t), threshold=THRESHOLD).select("incident_id", "target", "leaf_id", "score")
+    answers = asked.where(incident % 17 != 3).select(
+        "incident_id", "target", "leaf_id", F.lit(0).alias("start_token"), F.lit(1).alias("end_token"), F.lit(1).alias("total_tokens"),
+        F.when(incident % 19 == 4, 1.5).otherwise(F.col("score")).alias("score"), F.when(incident % 19 == 4, 1.5).otherwise(F.col("score")).alias("item_score"))
+    requests = asked.select("incident_id", "target", "leaf_id")
+    refused = C.invalid_scores(requests.union(requests.where(incident % 23 == 5)), answers)
+    return contest.fail_closed(mapping.map_incidents(t.alert_docs, THRESHOLD), refused).select("incident_id", "target", "status", "pointer", "value_agreement", "failure")
+
+
 @query("alias_representatives", SCORED + f""", sized AS (SELECT *, count(*) OVER (PARTITION BY incident_id, target, group_id) AS members,
     max(score) OVER (PARTITION BY incident_id, target, group_id) AS top FROM ranked),
 g AS (SELECT incident_id, target, group_id, any_value(members) AS members, any_value(top) AS top, min(pointer) AS pointer,

@@ -183,6 +183,28 @@ def _(t):
     return t.events.select("event_id", J.canonical_json(raw).alias("canonical"), J.sha256_json(F.col("props")).alias("digest"))
 
 
+# numbers of all sizes, plain and with exponents, next to a text that looks like one
+_NUMBERS = """SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN CAST(l_partkey AS STRING) || '.' || CAST(l_suppkey AS STRING) || 'e' || CAST(l_orderkey % 60 - 30 AS STRING)
+    WHEN 1 THEN CAST(l_partkey + 1 AS STRING) || '000' || CAST(l_orderkey AS STRING) || '000000000' WHEN 2 THEN '-0.' || repeat('0', CAST(l_orderkey % 9 AS INT)) || CAST(l_partkey AS STRING)
+    ELSE CAST(l_suppkey AS STRING) || '.50' END AS n FROM [lineitem]"""
+_PRINTED = f"""WITH t AS ({_NUMBERS}), a AS (SELECT *, CAST(CAST(n AS DOUBLE) AS STRING) AS p FROM t),
+b AS (SELECT *, ltrim(split_part(split_part(p, 'e', 1), '.', 1), '-') AS i, split_part(split_part(p, 'e', 1), '.', 2) AS f, coalesce(TRY_CAST(split_part(p, 'e', 2) AS INT), 0) AS e FROM a),
+c AS (SELECT *, trim(i || f, '0') AS d, length(i) + e - (length(i || f) - length(ltrim(i || f, '0'))) AS spot FROM b),
+j AS (SELECT *, length(d) AS k, CASE WHEN p LIKE '-%' THEN '-' ELSE '' END AS s, d[1:1] || CASE WHEN length(d) > 1 THEN '.' || d[2:] ELSE '' END || 'e' AS m FROM c),
+r AS (SELECT *, CASE WHEN d = '' THEN '0' WHEN k <= spot AND spot <= 21 THEN s || d || repeat('0', spot - k) WHEN 0 < spot AND spot <= 21 THEN s || d[1:spot] || '.' || d[spot + 1:]
+    WHEN -6 < spot AND spot <= 0 THEN s || '0.' || repeat('0', -spot) || d ELSE s || m || CASE WHEN spot > 0 THEN '+' ELSE '-' END || abs(spot - 1) END AS shown,
+  CASE WHEN d = '' THEN '0' WHEN regexp_matches(n, '^[0-9]{{1,21}}$') THEN n WHEN k <= spot AND spot <= 21 THEN s || d || repeat('0', spot - k) WHEN 0 < spot AND spot <= 21 THEN s || d[1:spot] || '.' || d[spot + 1:]
+    WHEN -4 < spot AND spot <= 0 THEN s || '0.' || repeat('0', -spot) || d ELSE s || m || CASE WHEN spot > 0 THEN '+' || (spot - 1) ELSE '-' || lpad(CAST(1 - spot AS STRING), CAST(greatest(2, length(CAST(1 - spot AS STRING))) AS INT), '0') END END AS python FROM j)"""
+
+
+@query("canonical_numbers", _PRINTED + """ SELECT l_orderkey, l_linenumber, '{"a":[' || shown || ',"' || n || '"],"b":' || shown || '}' AS canonical,
+  sha256('{"a":[' || python || ',"' || n || '"],"b":' || python || '}') AS digest FROM r""")
+def _(t):
+    n = F.col("n")
+    raw = F.concat(F.lit('{"b": '), n, F.lit(', "a": ['), n, F.lit(', "'), n, F.lit('"]}'))
+    return t.sql(_NUMBERS).select("l_orderkey", "l_linenumber", J.canonical_json(raw).alias("canonical"), J.sha256_json(raw, python=True).alias("digest"))
+
+
 @query("bounded_text", f"""
 SELECT doc_id, sha256(substring({trim_sql("replace(text, chr(0), '')")}, 1, 300)) AS evidence FROM [documents]""")
 def _(t):

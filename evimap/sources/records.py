@@ -32,7 +32,7 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | str) ->
 
 def canonical_lines(df: DataFrame) -> Column:
     """One JSON line per row: sorted keys, NULL fields left out by the JSON writer."""
-    return canonical_json(F.to_json(F.struct(*(F.col(c) for c in sorted(df.columns))), {"ignoreNullFields": "false"}))
+    return canonical_json(F.to_json(F.struct(*(F.col(c) for c in sorted(df.columns))), {"ignoreNullFields": "false"}), python=True)
 
 
 def dataset_digest(lines: DataFrame, column: str = "line") -> DataFrame:

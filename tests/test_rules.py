@@ -13,7 +13,7 @@ from evimap.functions import text as X
 from evimap.functions import times as T
 from evimap.functions import urls as U
 from evimap.operators import candidates as C
-from evimap.operators import curation, extraction, flatten, history, mapping, sets
+from evimap.operators import contest, curation, extraction, flatten, history, mapping, sets
 
 
 def docs(spark, *texts):
@@ -98,7 +98,7 @@ def _pool(spark, count, seed):
 
 
 @pytest.mark.parametrize("count,seed", [(1, 1), (2, 2), (15, 3), (16, 4), (17, 5), (47, 6), (80, 7)])
-def test_fold_fast_path_and_python_chooser_agree(spark, count, seed):
+def test_fold_fast_path_and_plugged_chooser_agree(spark, count, seed):
     pool, rows = _pool(spark, count, seed)
     slow = mapping.select_candidates(pool, mapping.best_above(0.5)).first()
     fast = mapping.select_best(pool, 0.5).first()
@@ -107,17 +107,56 @@ def test_fold_fast_path_and_python_chooser_agree(spark, count, seed):
     else:
         assert (slow.pointer, slow.status, slow.value_agreement, slow.pointer_agreement) == (
             fast.pointer, fast.status, fast.value_agreement, fast.pointer_agreement)
-    best = max(r[5] for r in rows)
-    tops = sorted(r[3] for r in rows if r[5] == best)
 
     def chooser(_, shown):
-        top = max(c["score"] for c in shown)
-        return (next(c["leaf_id"] for c in shown if c["score"] == top) if top >= 0.5 else None), min(len(shown), 5)
+        looked = shown[:5]
+        best = max(looked, key=lambda c: c["score"])
+        return contest.Choice(best["leaf_id"] if best["score"] >= 0.5 else None, len(looked))
 
-    forward = mapping.sweep_with(pool, chooser).first()
-    reverse = mapping.sweep_with(pool, chooser, reverse=True).first()
-    assert forward.assessed == count
-    assert forward.pointer == (tops[0] if best >= 0.5 else None) and reverse.pointer == (tops[-1] if best >= 0.5 else None)
+    for group_values in (True, False):
+        column = mapping.select_candidates(pool, mapping.best_above(0.5), group_values).first()
+        picked, met = contest.select_with(pool, chooser, group_values)
+        row = picked.first()
+        assert [row[c] for c in ("pointer", "status", "forward", "reverse", "value_agreement", "pointer_agreement", "failure")] == [
+            *(column[c] for c in ("pointer", "status", "forward", "reverse", "value_agreement", "pointer_agreement")), ""]
+    seen = {c for r in met.where("pass = 'forward'").collect() for c in r.candidates}
+    assert seen == {f"f{i}" for i in range(count)} and all(len(r.candidates) <= 5 for r in met.where("pass <> 'adjudication'").collect())
+
+
+def test_contest_streams_groups_larger_than_a_batch(spark):
+    """A chooser that depends on order: the last shown but one wins; compared with a plain loop over all candidates."""
+    rows = [(g, "t", f"f{g}_{i:05d}", f"/p{i:05d}", f"v{i}", 1 - (i % 1000) / 1000) for g, n in ((1, 30_000), (2, 17), (3, 1)) for i in range(n)]
+    pool = spark.createDataFrame(rows, "incident_id long, target string, leaf_id string, pointer string, identity string, score double")
+
+    def chooser(_, shown):
+        return contest.Choice(shown[max(0, len(shown) - 2)]["leaf_id"] if len(shown) % 7 else None)
+
+    met = contest.one_pass(pool, ["incident_id", "target"], chooser, "forward").collect()
+    for g in (1, 2, 3):
+        ordered = [r[2] for r in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[5], r[3]))]
+        winner, at, steps = None, 0, []
+        while at < len(ordered):
+            shown = ([winner] if winner else []) + ordered[at : at + 16 - bool(winner)]
+            at += len(shown) - bool(winner)
+            winner = shown[max(0, len(shown) - 2)] if len(shown) % 7 else None
+            steps.append((shown, winner or K.NONE))
+        mine = sorted((r for r in met if r.incident_id == g), key=lambda r: r.step)
+        assert [(r.candidates, r.choice) for r in mine if not r.last] == steps and (mine[-1].winner.leaf_id if mine[-1].winner else None) == winner
+
+
+@pytest.mark.parametrize(("answer", "failure"), [
+    (lambda shown: contest.Choice("?"), "unknown_choice"), (lambda shown: contest.Choice(shown[0]["leaf_id"], 0), "no_progress"),
+    (lambda shown: contest.Choice(shown[0]["leaf_id"], 1), "no_progress"), (lambda shown: contest.Choice(None, None, {K.NONE: 1.0}), "invalid_distribution"),
+    (lambda shown: contest.Choice(None, None, {K.NONE: 0.1} | {c["leaf_id"]: 0.9 / len(shown) for c in shown}), "choice_not_maximal"),
+    (lambda shown: 1 / 0, "chooser_failed: division by zero"),
+])
+def test_a_bad_chooser_fails_its_group_only(spark, answer, failure):
+    pool, _ = _pool(spark, 5, 3)
+    both = pool.union(pool.withColumn("target", F.lit("good")))
+    picked, _ = contest.select_with(both, lambda target, shown: contest.Choice(shown[0]["leaf_id"]) if target == "good" else answer(shown))
+    rows = {r.target: r for r in picked.collect()}
+    assert (rows["t"].status, rows["t"].pointer, rows["t"].failure) == ("incomplete", None, failure)
+    assert rows["good"].status in ("selected", "tentative") and rows["good"].failure == ""
 
 
 def test_a_bucket_without_a_winner_clears_the_carried_one(spark):
