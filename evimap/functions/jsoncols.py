@@ -139,10 +139,10 @@ def pointer_part(key: str) -> str:
     return f"replace(replace({key}, '~', '~0'), '/', '~1')"
 
 
-def _node(pointer: str, ancestry: str, key: str, position: str, role: str, shown: str, order: str, value: str, text: str) -> str:
+def _node(pointer: str, ancestry: str, key: str, position: str, role: str, shown: str, order: str, value: str, text: str, kinds: str) -> str:
     return (
         f"named_struct('pointer', {pointer}, 'ancestry', {ancestry}, 'key', {key}, 'position', {position}, 'role', {role}, "
-        f"'shown', {shown}, 'ordinal', {order}, 'value', {value}, 'text', {text}, "
+        f"'shown', {shown}, 'ordinal', {order}, 'value', {value}, 'text', {text}, 'kinds', {kinds}, "
         f"'fields', try_variant_get({value}, '$', 'map<string,variant>'), "
         f"'items', try_variant_get({value}, '$', 'array<variant>'))"
     )
@@ -173,7 +173,7 @@ def walk_text(
     One expression evaluated inside the row: each step replaces the open
     containers by their children. There is no shuffle, no driver loop and no
     Python; the steps are as many as the text has levels. The three limits are off
-    unless given. ``paths`` also carries the dotted path without list steps
+    unless given. ``paths`` also carries the brackets that are open around a node, the dotted path without list steps
     and an ordinal that sorts the nodes depth first, the keys of an object in the order
     of the text, those that are array indexes before others and by number.
     """
@@ -197,18 +197,18 @@ def walk_text(
         "if(c.key = 'value' and schema_of_variant(try_element_at(n.fields, 'key')) = 'STRING', "
         f"try_variant_get(try_element_at(n.fields, 'key'), '$', 'string'), {no_role})"
     )
-    root = _node(f"concat('/documents/', {index})", "array('documents')", f"cast({index} as string)", "-1", no_role, "''", "''", value, raw if paths else "''")
+    root = _node(f"concat('/documents/', {index})", "array('documents')", f"cast({index} as string)", "-1", no_role, "''", "''", value, raw if paths else "''", "''")
     below = "concat(n.ancestry, array(n.key))"
-    field = _node(f"concat(n.pointer, '/', {pointer_part('c.key')})", below, "c.key", "-1", role, shown_field, order_field, field_value, field_text)
-    item = _node("concat(n.pointer, '/', i)", below, "cast(i as string)", "i", no_role, shown_item, order_item, item_value, item_text)
+    field = _node(f"concat(n.pointer, '/', {pointer_part('c.key')})", below, "c.key", "-1", role, shown_field, order_field, field_value, field_text, "concat(n.kinds, '{')" if paths else "''")
+    item = _node("concat(n.pointer, '/', i)", below, "cast(i as string)", "i", no_role, shown_item, order_item, item_value, item_text, "concat(n.kinds, '[')" if paths else "''")
     slim = (
         "named_struct('pointer', n.pointer, 'ancestry', n.ancestry, 'key', n.key, 'position', n.position, "
-        "'role', n.role, 'shown', n.shown, 'ordinal', n.ordinal, 'children', coalesce(cardinality(n.fields), cardinality(n.items)), "
+        "'role', n.role, 'shown', n.shown, 'ordinal', n.ordinal, 'kinds', n.kinds, 'children', coalesce(cardinality(n.fields), cardinality(n.items)), "
         "'container', case when n.fields is not null then 'object' when n.items is not null then 'array' end, "
         "'value', if(n.fields is null and n.items is null, n.value, null))"
     )
     kind = (
-        "array<struct<pointer:string,ancestry:array<string>,key:string,position:int,role:string,shown:string,ordinal:string,"
+        "array<struct<pointer:string,ancestry:array<string>,key:string,position:int,role:string,shown:string,ordinal:string,kinds:string,"
         "children:int,container:string,value:variant>>"
     )
     levels = depth_text(raw)
@@ -221,3 +221,26 @@ def walk_text(
         f"'done', concat(acc.done, array(transform(acc.open, n -> {slim}))))), "
         f"acc -> flatten(acc.done)))"
     )
+
+
+def rebuilt(nodes: Column) -> Column:
+    """JSON text of a walk's nodes (with ``paths``, in order, any subtrees left out), in one pass over them.
+
+    A node that its parent stands before is a first child; what it leaves open and the
+    next node doesn't need is closed after it.
+    """
+    def text(all_: Column) -> Column:
+        def one(n: Column, i: Column) -> Column:
+            before, after = F.get(all_, i - 1), F.get(all_, i + 1)
+            first = (i == 0) | (F.size(before["ancestry"]) < F.size(n["ancestry"]))
+            name = F.when(F.endswith(n["kinds"], F.lit("{")), F.concat(json_string(n["key"]), F.lit(":"))).otherwise(F.lit(""))
+            scalar = F.to_json(n["value"])
+            number = variant_kind(n["value"]) == "number"
+            body = F.when(n["container"] == "object", F.lit("{")).when(n["container"] == "array", F.lit("[")).when(number, canonical_number(F.replace(scalar, F.lit('"'), F.lit("")))).otherwise(F.coalesce(scalar, F.lit("null")))
+            mine = F.concat(n["kinds"], F.when(n["container"] == "object", F.lit("{")).when(n["container"] == "array", F.lit("[")).otherwise(F.lit("")))
+            left = F.substring(mine, F.coalesce(F.length(after["kinds"]), F.lit(0)) + 1, F.length(mine))
+            return F.concat(F.when(first, F.lit("")).otherwise(F.lit(",")), name, body, F.translate(F.reverse(left), "{[", "}]"))
+
+        return F.array_join(F.transform(all_, one), "")
+
+    return _let(nodes, text)

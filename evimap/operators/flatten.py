@@ -170,6 +170,17 @@ def drop_sensitive_leaves(leaf_rows: DataFrame) -> DataFrame:
     return leaf_rows.where(~sensitive_ancestry(F.col("ancestry"), F.col("key")))
 
 
+def without_sensitive(docs: DataFrame) -> DataFrame:
+    """Documents rebuilt without keys that may name a credential, at any depth; key order and values stay, NULL if unparseable.
+
+    Numbers are written by ``canonical_number``; one beyond a double is null.
+    """
+    walked = J.walk("raw", "doc", "doc_index", paths=True)
+    kept = F.filter(walked, lambda n: ~sensitive_ancestry(n["ancestry"], n["key"]))
+    in_order = F.array_sort(kept, lambda a, b: F.when(a["ordinal"] < b["ordinal"], -1).when(a["ordinal"] > b["ordinal"], 1).otherwise(0))
+    return _parsed(docs).select("incident_id", "doc_index", F.when(F.col("doc").isNotNull(), J.rebuilt(in_order)).alias("raw"))
+
+
 def json_pairs(docs: DataFrame, max_depth: int | None = None, max_nodes: int | None = None, max_items: int | None = None, max_keys: int | None = None) -> DataFrame:
     """(incident_id, doc_index, ordinal, path, value, pointer) for label lookups; the ordinal follows the text.
 

@@ -435,19 +435,19 @@ def _(t):
 
 
 # --- storage ------------------------------------------------------------------------------------
-MANIFEST = """WITH h AS (SELECT source, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || '}') AS h FROM [documents]),
+MANIFEST = """WITH h AS (SELECT source, sha256('{"doc_id":' || doc_id || ',"lang":' || coalesce(CAST(to_json(lang) AS STRING), 'null') || ',"n_chars":' || n_chars || ',"source":' || coalesce(CAST(to_json(source) AS STRING), 'null') || ',"text":' || coalesce(CAST(to_json(text) AS STRING), 'null') || '}') AS h FROM [documents]),
 m AS (SELECT source, count(*) AS records, sha256(count(*) || ':' || CAST(sum(CAST('0x' || substring(h, 1, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 16, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 31, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 46, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 61, 15) AS BIGINT)) AS STRING)) AS digest FROM h GROUP BY source)"""
 
 
 @query("dataset_manifest", MANIFEST + " SELECT * FROM m")
 def _(t):
-    return S.manifest(t.documents, "source", "doc_id", "lang", "n_chars")
+    return S.manifest(t.documents, "source", "doc_id", "lang", "n_chars", "source", "text")
 
 
 @query("verify_manifest", MANIFEST + """
 SELECT 'src1' AS source, 'count_mismatch' AS violation UNION ALL SELECT 'src2', 'hash_mismatch' UNION ALL SELECT 'src3', 'unexpected_source' UNION ALL SELECT 'src99', 'missing_source'""")
 def _(t):
-    actual = S.manifest(t.documents, "source", "doc_id", "lang", "n_chars")
+    actual = S.manifest(t.documents, "source", "doc_id", "lang", "n_chars", "source", "text")
     expected = actual.where("source <> 'src3'").withColumn("records", F.when(F.col("source") == "src1", F.col("records") + 1).otherwise(F.col("records"))).withColumn(
         "digest", F.when(F.col("source") == "src2", "x").otherwise(F.col("digest")))
     extra = actual.where("source = 'src3'").withColumn("source", F.lit("src99"))
@@ -480,7 +480,7 @@ def _(t):
 
 
 @query("write_canonical_jsonl", """
-WITH h AS (SELECT sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}') AS h FROM [documents])
+WITH h AS (SELECT sha256('{"doc_id":' || doc_id || ',"lang":' || coalesce(CAST(to_json(lang) AS STRING), 'null') || ',"n_chars":' || n_chars || ',"source":' || coalesce(CAST(to_json(source) AS STRING), 'null') || ',"text":' || coalesce(CAST(to_json(text) AS STRING), 'null') || '}') AS h FROM [documents])
 SELECT count(*) AS records, sha256(count(*) || ':' || CAST(sum(CAST('0x' || substring(h, 1, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 16, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 31, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 46, 15) AS BIGINT)) AS STRING) || ':' || CAST(sum(CAST('0x' || substring(h, 61, 15) AS BIGINT)) AS STRING)) AS digest FROM h""")
 def _(t):
-    return S.write_canonical(t.documents.select("doc_id", "source", "lang"), _scratch(t, "canonical"), "doc_id")
+    return S.write_canonical(t.documents.select("doc_id", "source", "lang", "n_chars", "text"), _scratch(t, "canonical"), "doc_id")

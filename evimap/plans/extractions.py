@@ -138,15 +138,10 @@ _BUNDLES = """SELECT CAST(floor(doc_id / 40) AS BIGINT) AS incident_id, doc_id A
 
 
 @query("dedupe_documents", f"""
-WITH RECURSIVE b AS ({_BUNDLES}), firsts AS (SELECT *, row_number() OVER (PARTITION BY incident_id, raw ORDER BY ord) AS turn FROM b),
-queue AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY ord) AS n FROM firsts WHERE turn = 1),
-fold AS (SELECT incident_id, n, ord, raw, length(raw) <= 98304 AS fits, CASE WHEN length(raw) <= 98304 THEN length(raw) ELSE 0 END AS used FROM queue WHERE n = 1
-  UNION ALL SELECT q.incident_id, q.n, q.ord, q.raw, f.used + length(q.raw) <= 98304, CASE WHEN f.used + length(q.raw) <= 98304 THEN f.used + length(q.raw) ELSE f.used END
-  FROM fold f JOIN queue q ON f.incident_id = q.incident_id AND q.n = f.n + 1),
-whole AS (SELECT incident_id, bool_and(fits) AS complete FROM fold GROUP BY incident_id)
-SELECT f.incident_id, f.ord, sha256(f.raw) AS digest, w.complete FROM fold f JOIN whole w ON f.incident_id = w.incident_id WHERE f.fits""")
+WITH b AS ({_BUNDLES}), firsts AS (SELECT *, row_number() OVER (PARTITION BY incident_id, raw ORDER BY ord) AS turn FROM b)
+SELECT incident_id, ord, sha256(raw) AS digest, true AS complete FROM firsts WHERE turn = 1""")
 def _(t):
-    return X.budget_documents(t.sql(_BUNDLES), K.PAGE_DOCUMENT_CHARACTERS).select("incident_id", "ord", F.sha2("raw", 256).alias("digest"), "complete")
+    return X.budget_documents(t.sql(_BUNDLES)).select("incident_id", "ord", F.sha2("raw", 256).alias("digest"), "complete")
 
 
 # a result grid per customer; some foreign links and a row of the wrong width
@@ -159,14 +154,14 @@ _GRID = """SELECT o_custkey AS search_id, o_orderkey AS ord, CASE WHEN o_orderke
 WITH g AS ({_GRID}), ok AS (SELECT *, replace(id_text, '#', '') AS ticket_id FROM g WHERE NOT narrow AND href LIKE 'https://portal.%'),
 ids AS (SELECT search_id, ticket_id, min(ord) AS first_ord, arg_min(tenant, ord) FILTER (tenant <> '') AS tenant, arg_min(name, ord) FILTER (tenant <> '') AS name
   FROM ok GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY first_ord) AS rank, count(*) OVER (PARTITION BY search_id) > 5 AS truncated FROM ids)
-SELECT search_id, ticket_id, rank, tenant, name, truncated FROM ranked WHERE rank <= 5""")
+ranked AS (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY first_ord) AS rank, false AS truncated FROM ids)
+SELECT search_id, ticket_id, rank, tenant, name, truncated FROM ranked""")
 def _(t):
     rows = t.sql(_GRID).select(
         "search_id", "ord", F.array(F.lit("Name"), F.lit(" Ticket ID"), F.lit("Tenant  Name")).alias("headers"),
         F.when(F.col("narrow"), F.array("name", "id_text")).otherwise(F.array("name", "id_text", "tenant")).alias("cells"), F.array("href").alias("links"),
     )
-    return X.result_rows(rows, "https://portal.example.com", 5).select("search_id", "ticket_id", "rank", "tenant", "name", "truncated")
+    return X.result_rows(rows, "https://portal.example.com").select("search_id", "ticket_id", "rank", "tenant", "name", "truncated")
 
 
 _PAGING = """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '1 - ' || CAST(o_custkey AS STRING) || ' of 700'
@@ -203,28 +198,40 @@ def _(t):
     return X.trusted_links(pages, F.concat(X.hrefs(F.col("html")), extra), origin())
 
 
-_EVIDENCE = {"ticketId": "ticket", "eventName": "event_type", "eventInfo": "props", "closeNotes": "blank"}
+# all twenty fields; every fifth value of a field is blank, so it is left out
+_EVIDENCE = """SELECT event_id, event_id % 9 <> 4 AS documents_complete, """ + ", ".join(
+    f"CASE WHEN (event_id + {i}) % 5 = 0 THEN '  ' ELSE ' ' || " + {"ticketId": "CAST(event_id AS STRING)", "eventName": "event_type", "eventInfo": "props"}.get(name, f"'{name} ' || CAST(user_id + {i} AS STRING)")
+    + f" END AS {name}" for i, name in enumerate(K.EVIDENCE_FIELDS)) + " FROM [events]"
+_SHOWN = " || ".join(f"CASE WHEN trim({name}) = '' THEN '' ELSE '{name}=' || trim({name}) || '|' END" for name in K.EVIDENCE_FIELDS)
 
 
-@query("bounded_evidence", NODES + """, docs AS (SELECT incident_id, count(*) AS n, bool_or(doc IS NULL) AS broken,
-    bool_or(length(CAST(doc AS STRING)) > 98304) AS large FROM parsed GROUP BY incident_id),
+@query("bounded_evidence", NODES + f""", docs AS (SELECT incident_id, count(*) AS n, bool_or(doc IS NULL) AS broken FROM parsed GROUP BY incident_id),
 kept AS (SELECT incident_id, count(*) AS leaves_left FROM leaves WHERE pointer NOT LIKE '%/api_key' GROUP BY incident_id),
-judged AS (SELECT e.*, CASE WHEN event_id % 9 = 4 THEN 'incomplete' WHEN n IS NULL THEN 'no_documents' WHEN broken THEN 'unparseable_document' WHEN large THEN 'too_large' ELSE '' END AS reason
-  FROM [events] e LEFT JOIN docs d ON e.event_id = d.incident_id)
-SELECT event_id AS incident_id, reason, CASE WHEN reason = '' THEN 'ticketId=' || event_id || '|eventName=' || event_type || '|eventInfo=' || props END AS current,
-  CASE WHEN reason = '' THEN leaves_left END AS leaves_left FROM judged j LEFT JOIN kept k ON j.event_id = k.incident_id""")
+judged AS (SELECT e.*, CASE WHEN NOT documents_complete THEN 'incomplete' WHEN n IS NULL THEN 'no_documents' WHEN broken THEN 'unparseable_document' ELSE '' END AS reason
+  FROM ({_EVIDENCE}) e LEFT JOIN docs d ON e.event_id = d.incident_id)
+SELECT event_id AS incident_id, reason, CASE WHEN reason = '' THEN {_SHOWN} END AS current, CASE WHEN reason = '' THEN leaves_left END AS leaves_left
+FROM judged j LEFT JOIN kept k ON j.event_id = k.incident_id""")
 def _(t):
-    incidents = t.events.select(
-        F.col("event_id").alias("incident_id"), F.col("event_id").cast("string").alias("ticket"), "event_type", F.concat(F.lit(" "), "props").alias("props"),
-        F.lit("  ").alias("blank"), (F.col("event_id") % 9 != 4).alias("documents_complete"),
-    )
-    rows = X.evidence(incidents, t.alert_docs, _EVIDENCE, K.PAGE_DOCUMENT_CHARACTERS)
-    shown = F.array_join(F.transform(F.map_entries("current"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+    incidents = t.sql(_EVIDENCE).withColumnRenamed("event_id", "incident_id")
+    rows = X.evidence(incidents, t.alert_docs, {name: name for name in K.EVIDENCE_FIELDS})
+    shown = F.array_join(F.transform(F.map_entries("current"), lambda e: F.concat(e["key"], F.lit("="), e["value"], F.lit("|"))), "")
     left = flatten.leaves(rows.select("incident_id", F.posexplode("documents").alias("doc_index", "raw"))).groupBy("incident_id").agg(
         F.count(F.lit(1)).alias("leaves_left"))
     return rows.join(left, "incident_id", "left").select("incident_id", "reason", shown.alias("current"), "leaves_left")
 
 
+# whole documents after redaction: key order, numbers and nesting
+_SECRETS = """SELECT event_id AS incident_id, 0 AS doc_index, '{"z": {"Api-Key": "k' || CAST(user_id AS STRING) || '", "n": ' || CAST(event_id AS STRING) || '.50, "t": "a\\"b"}, "a": [1e3, null, {"password": {"deep": [1]}, "b": true}], "token": "x", "9": '
+    || CAST(user_id AS STRING) || 'e-9, "e": "' || event_type || '"}' AS raw FROM [events]"""
+
+
+@query("redacted_documents", f"""WITH d AS ({_SECRETS}) SELECT incident_id, '{{"9":' || CASE WHEN u = 0 THEN '0' WHEN length(rtrim(u::STRING, '0')) = 1 THEN rtrim(u::STRING, '0') ELSE (u::STRING)[1:1] || '.' || (rtrim(u::STRING, '0'))[2:] END
+    || CASE WHEN u = 0 THEN '' ELSE 'e-' || (10 - length(u::STRING)) END || ',"z":{{"n":' || incident_id || '.5,"t":"a\\"b"}},"a":[1000,null,{{"b":true}}],"e":"' || event_type || '"}}' AS raw
+FROM d JOIN (SELECT event_id AS incident_id, user_id AS u, event_type FROM [events]) USING (incident_id)""")
+def _(t):
+    return flatten.without_sensitive(t.sql(_SECRETS)).select("incident_id", "raw")
+
+
 _ANSWERS = """SELECT event_id, CASE event_id % 8 WHEN 0 THEN '{"eventSummary": " A ' || event_type || ' ", "observedFacts": ["one", " two "]}'
     WHEN 1 THEN '{"eventSummary": "x"}' WHEN 2 THEN 'no json' WHEN 3 THEN '{"eventSummary": 5, "observedFacts": []}'
     WHEN 4 THEN '{"eventSummary": "x", "observedFacts": ["' || repeat('y', 590 + CAST(user_id % 20 AS INT)) || '"]}'

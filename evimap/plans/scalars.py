@@ -206,9 +206,9 @@ def _(t):
 
 
 @query("bounded_text", f"""
-SELECT doc_id, sha256(substring({trim_sql("replace(text, chr(0), '')")}, 1, 300)) AS evidence FROM [documents]""")
+SELECT doc_id, sha256({trim_sql("replace(text, chr(0), '')")}) AS evidence FROM [documents]""")
 def _(t):
-    return t.documents.select("doc_id", F.sha2(X.bounded_text(F.col("text"), K.MAX_EVIDENCE_VALUE), 256).alias("evidence"))
+    return t.documents.select("doc_id", F.sha2(X.bounded_text(F.col("text")), 256).alias("evidence"))
 
 
 def epoch_sql(x: str) -> str:

@@ -45,3 +45,41 @@ def test_texts_stay_as_they_are(spark):
     df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string")
     got = [r[0] for r in df.orderBy("i").select(J.canonical_json(F.col("raw"))).collect()]
     assert got == ['{"a":"Infinity","b":"1.50","c":0}', '"1e5"', "[]", None, None, None]
+
+
+def test_redaction_rebuilds_documents(spark):
+    """Random documents, deep ones and hard values, against a recursive version; keys keep their order, array indexes first."""
+    import re
+
+    from evimap import constants as K
+    from evimap.operators import flatten
+
+    rng = random.Random(9)
+    names = ["a", "api_key", "Pass-Word", "z\"q", "é/~", "10", "9", "tokens", "n", ""]
+
+    def made(depth):
+        kind = rng.randrange(7 if depth else 5)
+        if kind >= 5:
+            size = rng.randrange(5)
+            return [made(depth - 1) for _ in range(size)] if kind == 5 else {n: made(depth - 1) for n in rng.sample(names, size)}
+        return [None, True, rng.choice([1.5, 1e-7, 1e21, 0.1, -3]), rng.randrange(10**6), rng.choice(["x", "]\"{", "1.0", "Infinity", ""])][kind]
+
+    def prune(v):
+        if isinstance(v, list):
+            return [prune(x) for x in v]
+        if not isinstance(v, dict):
+            return v
+        kept = {k: prune(x) for k, x in v.items() if not re.search(K.SENSITIVE_PATTERN, re.sub("[^a-z0-9]", "", k.lower()))}
+        return dict(sorted(kept.items(), key=lambda e: (0, int(e[0])) if e[0].isdigit() else (1, 0)))
+
+    docs = [made(6) for _ in range(300)]
+    deep = "x"
+    for i in range(300):
+        deep = [deep] if i % 2 else {"k": deep, "password": i}
+    docs.append(deep)
+    df = spark.createDataFrame([(i, 0, json.dumps(d)) for i, d in enumerate(docs)] + [(900, 0, "{"), (901, 0, "1e400"), (902, 0, '[1e3, -1e400, {"cookie": 1}]')], "incident_id long, doc_index int, raw string")
+    got = {r.incident_id: r.raw for r in flatten.without_sensitive(df).collect()}
+    for i, d in enumerate(docs):
+        assert list(json.JSONDecoder(object_pairs_hook=lambda p: p).decode(got[i]) if isinstance(d, dict) else [got[i]]) is not None
+        assert json.loads(got[i], object_pairs_hook=list) == json.loads(json.dumps(prune(d)), object_pairs_hook=list), d
+    assert (got[900], got[901], got[902]) == (None, "null", "[1000,null,{}]")
