@@ -217,11 +217,13 @@ def _crossed(live: DataFrame, least: float) -> DataFrame:
 
 def _settle(table: pa.Table, least: float, enough: int) -> list[tuple]:
     """Links that join the classes of a block's two sides, each pair tested exactly in its first common band."""
-    side, ids, of = table["side"].to_numpy(), table["id"], table["class"].combine_chunks().dictionary_encode()
+    side, classes = table["side"].to_numpy(), table["class"].to_pylist()
     one, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if not len(one) or not len(other):
         return []
-    names = of.dictionary.to_pylist()
+    numbers: dict[str, int] = {}  # a class may be a struct
+    group = np.array([numbers.setdefault(repr(c), len(numbers)) for c in classes])
+    names = list({repr(c): c for c in classes}.values())
     parent = list(range(len(names)))
 
     def root(x: int) -> int:
@@ -230,22 +232,21 @@ def _settle(table: pa.Table, least: float, enough: int) -> list[tuple]:
             x = parent[x]
         return x
 
-    group = of.indices.to_numpy()
     weight = table["weight"].to_numpy().astype(np.float64)
     flat = lambda c: (x := table[c].combine_chunks()).flatten().to_numpy().reshape(len(x), -1)
     places, bands, band = flat("places"), flat("bands"), table["band"][0].as_py()
     lists = table["elements"].combine_chunks()
-    at, numbers = lists.offsets.to_numpy(), lists.values.to_numpy()
-    out, identity = [], ids.to_pylist()
+    at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    out = []
     for a in one:
         b = other[(group[other] != group[a]) & (np.minimum(weight[other], weight[a]) >= np.maximum(weight[other], weight[a]) * (least - 1e-12))]
         b = b[(places[b] == places[a]).sum(1) >= enough]
         same = bands[b] == bands[a]
         b = b[bands[a][same.argmax(1)] == band] if len(b) else b
-        mine = numbers[at[a] : at[a + 1]]
+        mine = values[at[a] : at[a + 1]]
         for x in b:
             if root(group[a]) != root(group[x]):
-                its = numbers[at[x] : at[x + 1]]
+                its = values[at[x] : at[x + 1]]
                 common = int((mine[np.minimum(np.searchsorted(mine, its), len(mine) - 1)] == its).sum())
                 if common / (len(mine) + len(its) - common) >= least - 1e-12:
                     parent[root(group[x])] = root(group[a])

@@ -338,9 +338,12 @@ def test_near_dedup_of_a_large_family(spark, monkeypatch):
         texts.append((i, " ".join(words)))
     monkeypatch.setattr(near_dedup, "CHUNK", 37 * 150)
     monkeypatch.setattr(near_dedup, "SMALL", 0)
-    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()}
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
     want = truth(texts)
-    assert len(set(want.values())) > 5 and got == want
+    assert len(set(want.values())) > 5 and {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()} == want
+    kept = [r.doc_id for r in near_dedup.deduplicate(df).collect()]  # its ids are structs
+    of_class = sorted(want[i] for i in kept)
+    assert of_class == sorted(set(want.values()))
 
 
 def test_signatures_estimate_weighted_similarity():
