@@ -221,12 +221,12 @@ def _(t):
 
 
 # whole documents after redaction: key order, numbers and nesting
-_SECRETS = """SELECT event_id AS incident_id, 0 AS doc_index, '{"z": {"Api-Key": "k' || CAST(user_id AS STRING) || '", "n": ' || CAST(event_id AS STRING) || '.50, "t": "a\\"b"}, "a": [1e3, null, {"password": {"deep": [1]}, "b": true}], "token": "x", "9": '
+_SECRETS = """SELECT event_id AS incident_id, 0 AS doc_index, '{"z": {"Api-Key": "k' || CAST(user_id AS STRING) || '", "n": ' || CAST(event_id AS STRING) || '.50, "t": "a]{b"}, "a": [1e3, null, {"password": {"deep": [1]}, "b": true}], "token": "x", "9": '
     || CAST(user_id AS STRING) || 'e-9, "e": "' || event_type || '"}' AS raw FROM [events]"""
 
 
 @query("redacted_documents", f"""WITH d AS ({_SECRETS}) SELECT incident_id, '{{"9":' || CASE WHEN u = 0 THEN '0' WHEN length(rtrim(u::STRING, '0')) = 1 THEN rtrim(u::STRING, '0') ELSE (u::STRING)[1:1] || '.' || (rtrim(u::STRING, '0'))[2:] END
-    || CASE WHEN u = 0 THEN '' ELSE 'e-' || (10 - length(u::STRING)) END || ',"z":{{"n":' || incident_id || '.5,"t":"a\\"b"}},"a":[1000,null,{{"b":true}}],"e":"' || event_type || '"}}' AS raw
+    || CASE WHEN u = 0 THEN '' ELSE 'e-' || (10 - length(u::STRING)) END || ',"z":{{"n":' || incident_id || '.5,"t":"a]{{b"}},"a":[1000,null,{{"b":true}}],"e":"' || event_type || '"}}' AS raw
 FROM d JOIN (SELECT event_id AS incident_id, user_id AS u, event_type FROM [events]) USING (incident_id)""")
 def _(t):
     return flatten.without_sensitive(t.sql(_SECRETS)).select("incident_id", "raw")
