@@ -34,6 +34,8 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
 
 #: text bytes that numpy works on at once
 SLICE_BYTES = 4 << 20
+#: the same where many numbers are made of each byte
+SMALL_SLICE = 2 << 20
 
 
 def sliced(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -58,7 +60,7 @@ def sliced(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
 
 
 def with_arrow(df: DataFrame, columns: list[str], added: list[T.StructField], fn: Callable[[pa.RecordBatch], list[pa.Array]],
-               dropped: tuple[str, ...] = ()) -> DataFrame:
+               dropped: tuple[str, ...] = (), most: int = SLICE_BYTES) -> DataFrame:
     """Columns of ``df`` and those that ``fn`` makes of each Arrow batch, in one pass without a shuffle."""
     kept = [c for c in columns if c not in dropped]
     schema = T.StructType([df.schema[c] for c in kept] + added)
@@ -66,8 +68,9 @@ def with_arrow(df: DataFrame, columns: list[str], added: list[T.StructField], fn
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in sliced(batch):
+            for piece in sliced(batch, most):
                 yield pa.RecordBatch.from_arrays([piece.column(c) for c in kept] + fn(piece), names=names)
+            pa.default_memory_pool().release_unused()  # a worker lives on, its free memory shouldn't
 
     return df.select(*columns).mapInArrow(run, schema)
 

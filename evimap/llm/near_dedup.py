@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from evimap.llm.common import grams, kept_table, mix, window_starts, with_arrow, word_hashes
+from evimap.llm.common import SMALL_SLICE, grams, kept_table, mix, window_starts, with_arrow, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -151,7 +151,7 @@ def _signed(df: DataFrame, id_col: str, text: str, bands: int, rows: int, shingl
         return [pa.array([hashlib.sha256(b" ".join(x.encode().split())).hexdigest() if x else "" for x in column.to_pylist()]), pa.array(total), lists, short]
 
     added = [T.StructField("sha", T.StringType()), T.StructField("weight", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.ShortType()))]
-    return with_arrow(df.select(F.col(id_col).alias("id"), F.col(text).alias("__body")), ["id", "__body"], added, run, dropped=("__body",))
+    return with_arrow(df.select(F.col(id_col).alias("id"), F.col(text).alias("__body")), ["id", "__body"], added, run, dropped=("__body",), most=SMALL_SLICE)
 
 
 def likely(pairs: DataFrame, signed: DataFrame, least: float, size: int) -> DataFrame:
@@ -176,7 +176,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) ->
             out.append(similarity(of_last, bag(b, shingle)) >= least - 1e-12)
         return [pa.array(out, pa.bool_())]
 
-    judged = with_arrow(both, ["class_a", "class_b", "text_a", "text_b"], [T.StructField("linked", T.BooleanType())], run, dropped=("text_a", "text_b"))
+    judged = with_arrow(both, ["class_a", "class_b", "text_a", "text_b"], [T.StructField("linked", T.BooleanType())], run, dropped=("text_a", "text_b"), most=SMALL_SLICE)
     return judged.where("linked").select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
@@ -272,7 +272,7 @@ def _in_blocks(live: DataFrame, copies: DataFrame, texts: DataFrame, least: floa
         return [pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[order], np.arange(n + 1)), pa.int32()), pa.array(numbers[order]))]
 
     members = live.select("id").distinct()
-    held = with_arrow(texts.join(members, "id", "left_semi"), ["id", "body"], [T.StructField("elements", T.ArrayType(T.LongType()))], run, dropped=("body",))
+    held = with_arrow(texts.join(members, "id", "left_semi"), ["id", "body"], [T.StructField("elements", T.ArrayType(T.LongType()))], run, dropped=("body",), most=SMALL_SLICE)
     held = kept_table(held.join(copies.select(F.col("first").alias("id"), F.transform("of.bands", _half).alias("bands"), "of.places"), "id"), "bags")
     chunks = lambda n: F.ceil(n / CHUNK).cast("int")
     rows = live.select("bucket", _half(F.col("bucket")).alias("band"), "id", "class", "weight", (F.col("class") == F.col("main")).alias("in_main"), chunks(F.col("shingles")).alias("wide"), chunks(F.col("outside")).alias("high"), F.xxhash64("id").alias("h"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evimap.llm.common import with_arrow
+from evimap.llm.common import SMALL_SLICE, with_arrow
 from evimap.llm.statistics import text_statistics
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -140,6 +140,6 @@ def judge(df: DataFrame, trees: Trees, id_col: str = "doc_id", text: str = "text
 
     columns = [id_col, *(c for c in carried if c != id_col)]
     added = [T.StructField(c, T.LongType()) for c in BASE] + [T.StructField("score", T.DoubleType())]
-    out = with_arrow(df, [*dict.fromkeys([*columns, text])], added, run, dropped=() if text in columns else (text,))
+    out = with_arrow(df, [*dict.fromkeys([*columns, text])], added, run, dropped=() if text in columns else (text,), most=SMALL_SLICE)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= min_score))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evimap.llm.common import coded_words, grams, kept_table, split_words, window_starts, with_arrow, word_hashes
+from evimap.llm.common import SMALL_SLICE, coded_words, grams, kept_table, split_words, window_starts, with_arrow, word_hashes
 
 WINDOW = 50
 PHRASE = 25
@@ -68,7 +68,7 @@ def fingerprints(df: DataFrame, id_col: str, text: str, window: int, phrase: int
         return [pa.array(sizes.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in _joined(column)]), *_fingerprints(column, window, phrase)]
 
     added = [T.StructField("n_words", T.LongType()), T.StructField("words_sha256", T.StringType()), T.StructField("prints", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType()))]
-    return with_arrow(rows, ["__id", "__text", "__body"], added, run, dropped=("__body",))
+    return with_arrow(rows, ["__id", "__text", "__body"], added, run, dropped=("__body",), most=SMALL_SLICE)
 
 
 def _automaton(codes: np.ndarray, offsets: np.ndarray, places: list, phrase: int):
