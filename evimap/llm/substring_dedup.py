@@ -142,7 +142,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text: str = "text", window:
 
     added = [T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("high", T.ArrayType(T.LongType())), T.StructField("low", T.ArrayType(T.LongType()))]
     found = with_arrow(streamed, ["__id", "__text", "__body", "words_sha256", "recurring"], added,
-                       lambda b: _windows(b.column("__body"), b.column("recurring").to_pylist(), window, phrase), dropped=("recurring",))
+                       lambda b: _windows(b.column("__body"), b.column("recurring").to_pylist(), window, phrase), dropped=("recurring",), most=SMALL_SLICE)
     found = kept_table(found.where(F.size("starts") > 0), "windows")
     windows = found.select("__id", "__text", F.explode(F.arrays_zip("starts", "high", "low")).alias("w")).select("__id", "__text", "w.*")
     firsts = windows.groupBy("high", "low").agg(F.min("__id").alias("least"), F.max("__id").alias("most")).where("least < most").drop("most")
@@ -153,7 +153,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text: str = "text", window:
         return [pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))]
 
     made = [T.StructField("kept_text", T.StringType()), T.StructField("n_gone", T.LongType()), T.StructField("kept_sha", T.StringType())]
-    parts = with_arrow(found.select("__id", "__text", "__body", "words_sha256").join(later, ["__id", "__text"]), ["words_sha256", "__body", "gone"], made, cut, dropped=("__body", "gone")).dropDuplicates(["words_sha256"])
+    parts = with_arrow(found.select("__id", "__text", "__body", "words_sha256").join(later, ["__id", "__text"]), ["words_sha256", "__body", "gone"], made, cut, dropped=("__body", "gone"), most=SMALL_SLICE).dropDuplicates(["words_sha256"])
     known = texts.select("words_sha256", "first").join(parts, "words_sha256", "left")
     joined = table.select("__id", "__text", "n_words", "words_sha256").join(known, "words_sha256", "left")
     whole = F.coalesce(F.col("__id") > F.col("first"), F.lit(False)) | (F.col("n_gone") == F.col("n_words"))
