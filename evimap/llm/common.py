@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -59,6 +60,14 @@ def sliced(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
             yield batch if b - a == batch.num_rows else pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(a, b - a)]) for c in batch.columns], schema=batch.schema)
 
 
+def release_memory() -> None:
+    """Give free memory back to the system: a worker lives on from stage to stage, what it once needed shouldn't."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def with_arrow(df: DataFrame, columns: list[str], added: list[T.StructField], fn: Callable[[pa.RecordBatch], list[pa.Array]],
                dropped: tuple[str, ...] = (), most: int = SLICE_BYTES) -> DataFrame:
     """Columns of ``df`` and those that ``fn`` makes of each Arrow batch, in one pass without a shuffle."""
@@ -70,7 +79,7 @@ def with_arrow(df: DataFrame, columns: list[str], added: list[T.StructField], fn
         for batch in batches:
             for piece in sliced(batch, most):
                 yield pa.RecordBatch.from_arrays([piece.column(c) for c in kept] + fn(piece), names=names)
-            pa.default_memory_pool().release_unused()  # a worker lives on, its free memory shouldn't
+            release_memory()
 
     return df.select(*columns).mapInArrow(run, schema)
 
