@@ -202,21 +202,6 @@ def strong_hits(targets: Sequence[str], threshold: float) -> Column:
     return F.filter(scored, lambda h: h["down"] <= -threshold)
 
 
-def score_with(pairs: DataFrame, scorer: Callable, batch_rows: int | None = None) -> DataFrame:
-    """Score windows by a user function over pandas batches.
-
-    ``scorer(iterator_of_frames)`` yields frames with every input column plus
-    ``score``; it may load a model once per task. Filter before calling this:
-    nothing is pushed through Python code.
-    """
-    if batch_rows:
-        pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*pairs.schema.fields, T.StructField("score", T.DoubleType())])
-    return pairs.mapInPandas(scorer, schema)
-
-
 def best_window(scored: DataFrame) -> DataFrame:
     """Highest window per (incident, target, leaf), the earliest on a tie."""
     rank = F.struct(F.col("score"), -F.col("start_token"))
@@ -237,7 +222,15 @@ def coverage(leaf_rows: DataFrame, targets: Sequence[str] = K.TARGET_NAMES) -> D
     incident for the five types and only then unfolded to the targets.
     """
     tested = leaf_rows if "reason" in leaf_rows.columns else with_reasons(leaf_rows)
-    totals = with_marks(tested).groupBy("incident_id").agg(*coverage_sums())
+    fits = {kind: F.col(f"reason.{kind}") == "" for kind in VALUE_TYPES}
+    # equal values meet first, so no list of an incident's values is ever held
+    values = with_marks(tested).groupBy("incident_id", "_mark").agg(
+        F.count(F.lit(1)).alias("n"),
+        *(F.count_if(fit).alias(f"n_{kind}") for kind, fit in fits.items()),
+        *(F.sum(F.when(fit, F.col("_windows"))).alias(f"w_{kind}") for kind, fit in fits.items()))
+    totals = values.groupBy("incident_id").agg(F.sum("n").alias("total_fields"), *(c for kind in VALUE_TYPES for c in (
+        F.sum(f"n_{kind}").alias(f"eligible_{kind}"), F.count_if(F.col(f"n_{kind}") > 0).alias(f"distinct_{kind}"),
+        F.coalesce(F.sum(f"w_{kind}"), F.lit(0)).alias(f"windows_{kind}"))))
     return per_target(totals, targets)
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from evimap import constants as K
 from evimap.operators import extraction as X
-from evimap.operators import flatten
+from evimap.operators import flatten, models
 from evimap.plans.registry import query
 from evimap.plans.scalars import LINKS, TICKET_SQL, TRUSTED_SQL, available_sql, clean_sql, first_sql, origin, trim_sql
 from evimap.plans.structure import NODES
@@ -253,6 +255,27 @@ def _(t):
     return good.unionByName(bad)
 
 
+def _load_summarizer():
+    """A stand-in for a model: a summary of the event type, bad JSON for errors, no answer for signups."""
+    def model(texts: list[str]) -> list[str]:
+        if "signup" in texts:
+            raise TimeoutError("no answer")
+        return ["{" if x == "error" else json.dumps({"eventSummary": f" {x} ", "observedFacts": [x, x.upper()]}) for x in texts]
+
+    return model
+
+
+@query("enrich", """
+SELECT event_id AS ticket_id, CASE event_type WHEN 'signup' THEN 'TimeoutError: no answer' ELSE '' END AS failure, CASE WHEN event_type IN ('signup', 'error') THEN 'not_json' ELSE '' END AS violation,
+  CASE WHEN event_type NOT IN ('signup', 'error') THEN event_type END AS event_summary, CASE WHEN event_type NOT IN ('signup', 'error') THEN event_type || '|' || upper(event_type) END AS facts FROM [events]""")
+def _(t):
+    answers = models.enrich_with(t.events.select(F.col("event_id").alias("incident_id"), "event_type"), "event_type", "summarizer", _load_summarizer)
+    valid, quarantine = X.validate_enrichment(answers)
+    good = valid.select("ticket_id", F.lit("").alias("violation"), "event_summary", F.array_join("observed_facts", "|").alias("facts"))
+    bad = quarantine.select("ticket_id", "violation", F.lit(None).cast("string").alias("event_summary"), F.lit(None).cast("string").alias("facts"))
+    return answers.select("ticket_id", "failure").join(good.unionByName(bad), "ticket_id")
+
+
 @query("incident_identity", f"""
 SELECT page_id, CASE WHEN page_id % 3 = 0 THEN CAST(page_id * 10 AS STRING) ELSE {TICKET_SQL} END AS ticket_id,
   CASE WHEN page_id % 2 = 0 THEN {clean_sql("'Alert ' || page_id || ' - Incident info'")} ELSE 'Alert  - ' || page_id END AS name_raw,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evimap import constants as K
 from evimap.operators import candidates as C
-from evimap.operators import contest, flatten, mapping
+from evimap.operators import contest, flatten, mapping, models
 from evimap.plans.registry import query
 from evimap.plans.scalars import TESTED
 
@@ -162,6 +162,37 @@ def _(t):
     return C.invalid_scores(requests, damaged).select(F.col("incident_id").alias("doc_id"), "violation")
 
 
+def _load_length_scorer():
+    """A stand-in for a model: scores by length, refuses some texts and goes out of range on others."""
+    def model(texts: list[str]) -> list[float]:
+        sizes = [len(x.replace(" ", "")) for x in texts]
+        if any(n % 31 == 7 for n in sizes):
+            raise ValueError("refused")
+        return [1.5 if n % 29 == 5 else n % 97 / 97 for n in sizes]
+
+    return model
+
+
+@query("model_scores", """
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS words FROM [documents]),
+s AS (SELECT doc_id, words, unnest(range(0, CAST(greatest(1, ceil((len(words) - 16) / 48.0)) AS BIGINT))) * 48 AS start_token FROM w),
+r AS (SELECT doc_id, start_token, least(len(words), start_token + 64) AS end_token, length(array_to_string(words[start_token + 1 : start_token + 64], '')) AS n FROM s),
+b AS (SELECT *, bool_or(n % 31 = 7 OR n % 29 = 5) OVER (PARTITION BY doc_id) AS bad, count(*) FILTER (n % 31 = 7) OVER (PARTITION BY doc_id) AS failures, count(*) OVER (PARTITION BY doc_id) AS windows,
+  row_number() OVER (PARTITION BY doc_id ORDER BY n % 97 DESC, start_token) AS turn FROM r)
+SELECT doc_id, CASE WHEN NOT bad THEN round((n % 97) / 97.0, 9) END AS score, CASE WHEN NOT bad THEN start_token END AS start_token, CASE WHEN NOT bad THEN end_token END AS end_token,
+  windows, failures, CASE WHEN bad THEN 'invalid_score' ELSE '' END AS violation FROM b WHERE turn = 1""")
+def _(t):
+    rows = C.value_windows(t.documents.select("doc_id", "text"), "text").select(
+        F.col("doc_id").alias("incident_id"), F.lit("descriptionLong").alias("target"), F.lit("f").alias("leaf_id"),
+        "start_token", "end_token", "total_tokens", F.array_join("window_tokens", " ").alias("evidence"))
+    scored, violations = models.score_with(rows, "length-scorer", _load_length_scorer, batch_rows=32)
+    failures = scored.groupBy("incident_id").agg(F.count_if(F.col("failure") != "").alias("failures"))
+    best = C.best_window(scored).join(violations.select("incident_id", "violation"), "incident_id", "left").join(failures, "incident_id")
+    sound = F.col("violation").isNull()
+    return best.select(F.col("incident_id").alias("doc_id"), *(F.when(sound, F.round("score", 9) if c == "score" else F.col(c)).alias(c) for c in ("score", "start_token", "end_token")),
+                       "windows", "failures", F.coalesce("violation", F.lit("")).alias("violation"))
+
+
 @query("validate_choices", """
 WITH p AS (SELECT event_id, (user_id % 5) / 10.0 AS a, 0.3 AS b, CASE WHEN event_id % 9 = 0 THEN 0.1 ELSE 0.7 - (user_id % 5) / 10.0 END AS c,
   CASE event_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN '__none__' ELSE 'x' END AS choice FROM [events])
@@ -270,33 +301,54 @@ def _(t):
 SELECT incident_id, target, status, pointer, round(score, 6) AS score, value_agreement, pointer_agreement, disagreements,
   total_fields, eligible, distinct_values, rejected FROM mapped""")
 def _(t):
-    return mapping.map_incidents(t.alert_docs, THRESHOLD).drop("windows_evaluated").withColumn("score", F.round("score", 6))
+    return mapping.map_incidents(t.alert_docs, THRESHOLD).drop("windows_evaluated", "value").withColumn("score", F.round("score", 6))
+
+
+def _wide(complete: str) -> str:
+    """One row per mapped incident: the selected text of each target, and which are tentative."""
+    chosen = ", ".join(f"""max(CASE WHEN target = '{n}' AND status = 'selected' THEN value_text END) AS "_{n}\"""" for n in K.TARGET_NAMES)
+    return f"""values_of AS (SELECT m.incident_id, m.target, m.place, m.status, l.value_text FROM mapped m
+    LEFT JOIN leaves l ON m.incident_id = l.incident_id AND m.pointer = l.pointer),
+wide AS (SELECT incident_id, {complete} AS complete, {chosen}, coalesce(string_agg(target, ', ' ORDER BY place) FILTER (status = 'tentative'), '') AS tentative
+  FROM values_of GROUP BY incident_id)"""
 
 
-_APPLIED = ("sourceIp", "clientIp", "sourceHostname", "occurred")
+def _applied_sql(kept: dict[str, str]) -> str:
+    return ", ".join(f"""CASE WHEN complete AND "_{n}" IS NOT NULL THEN "_{n}" ELSE {kept.get(n, 'NULL')} END AS "{n}\"""" for n in K.TARGET_NAMES)
 
 
-@query("apply_mapping", CHOSEN + """, values_of AS (SELECT m.incident_id, m.target, m.status, l.value_text FROM mapped m
-    LEFT JOIN leaves l ON m.incident_id = l.incident_id AND m.pointer = l.pointer WHERE target IN ('sourceIp', 'clientIp', 'sourceHostname', 'occurred')),
-wide AS (SELECT incident_id, incident_id % 10 <> 3 AS complete,
-    max(CASE WHEN target = 'sourceIp' AND status = 'selected' THEN value_text END) AS a,
-    max(CASE WHEN target = 'clientIp' AND status = 'selected' THEN value_text END) AS b,
-    max(CASE WHEN target = 'sourceHostname' AND status = 'selected' THEN value_text END) AS c,
-    max(CASE WHEN target = 'occurred' AND status = 'selected' THEN value_text END) AS d,
-    coalesce(string_agg(target, ', ' ORDER BY CASE target WHEN 'sourceIp' THEN 1 WHEN 'clientIp' THEN 2 WHEN 'sourceHostname' THEN 3 ELSE 4 END)
-      FILTER (status = 'tentative'), '') AS tentative FROM values_of GROUP BY incident_id)
-SELECT e.event_id AS incident_id, CASE WHEN complete AND a IS NOT NULL THEN a ELSE 'kept' END AS "sourceIp",
-  CASE WHEN complete THEN b END AS "clientIp", CASE WHEN complete THEN c END AS "sourceHostname",
-  CASE WHEN complete AND d IS NOT NULL THEN d ELSE CAST(ts AS STRING) END AS occurred,
-  coalesce(complete AND (a IS NOT NULL OR b IS NOT NULL OR c IS NOT NULL OR d IS NOT NULL), false) AS mapped, coalesce(tentative, '') AS tentative
+_ANY = "(" + " OR ".join(f'"_{n}" IS NOT NULL' for n in K.TARGET_NAMES) + ")"
+_KEPT = {"sourceIp": "'kept'", "occurred": "CAST(ts AS STRING)"}
+
+
+def _kept(t):
+    return t.events.select(F.col("event_id").alias("incident_id"), F.lit("kept").alias("sourceIp"), F.col("ts").cast("string").alias("occurred"))
+
+
+@query("apply_mapping", CHOSEN + f""", {_wide("incident_id % 10 <> 3")}
+SELECT e.event_id AS incident_id, {_applied_sql(_KEPT)}, coalesce(complete AND {_ANY}, false) AS mapped, coalesce(tentative, '') AS tentative
 FROM [events] e LEFT JOIN wide w ON e.event_id = w.incident_id""")
 def _(t):
-    docs = t.alert_docs
-    rows = flatten.leaves(docs).select("incident_id", "pointer", F.col("value_text").alias("value"))
-    mapped = mapping.map_incidents(docs, THRESHOLD, _APPLIED).select("incident_id", "target", "status", "pointer")
-    mappings = mapped.join(rows, ["incident_id", "pointer"], "left").withColumn("complete", F.col("incident_id") % 10 != 3)
-    incidents = t.events.select(F.col("event_id").alias("incident_id"), F.lit("kept").alias("sourceIp"), F.col("ts").cast("string").alias("occurred"))
-    return mapping.apply_mapping(incidents, mappings, _APPLIED)
+    mappings = mapping.map_incidents(t.alert_docs, THRESHOLD).select("incident_id", "target", "status", "value")
+    return mapping.apply_mapping(_kept(t), mappings.withColumn("complete", F.col("incident_id") % 10 != 3), K.TARGET_NAMES)
+
+
+# a mapper that fails for some incidents, leaves a target out or gives one twice: those stay as they were
+@query("mapper_hook", CHOSEN + f""", {_wide("NOT (incident_id % 23 = 5 OR incident_id % 19 = 4 OR incident_id % 17 = 3)")}
+SELECT e.event_id AS incident_id, {_applied_sql(_KEPT)}, coalesce(complete AND {_ANY}, false) AS mapped, CASE WHEN complete THEN tentative ELSE '' END AS tentative,
+  CASE WHEN w.incident_id IS NULL THEN 'Model processing incomplete: omitted_target'
+    WHEN NOT complete THEN 'Model processing incomplete: ' || CASE WHEN event_id % 23 = 5 THEN 'timeout' WHEN event_id % 19 = 4 THEN 'duplicate_target' ELSE 'omitted_target' END
+    WHEN tentative <> '' THEN 'Tentative best guesses; review order disagreement and alias ambiguity: ' || tentative || '.' ELSE '' END AS warning
+FROM [events] e LEFT JOIN wide w ON e.event_id = w.incident_id""")
+def _(t):
+    incident = F.col("incident_id")
+
+    def mapper(docs):
+        copies = F.when((incident % 17 == 3) & (F.col("target") == "occurred"), 0).when((incident % 19 == 4) & (F.col("target") == "sourceIp"), 2).otherwise(1)
+        rows = mapping.map_incidents(docs, THRESHOLD).withColumn("failure", F.when((incident % 23 == 5) & (F.col("target") == "sourceIp"), "timeout").otherwise(""))
+        return rows.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies)))
+
+    return models.map_with(_kept(t), t.alert_docs, mapper)
 
 
 @query("mapping_warnings", CHOSEN + """, folded AS (SELECT incident_id, string_agg(target, ', ' ORDER BY place) FILTER (status = 'tentative') AS unsure FROM mapped GROUP BY incident_id)
