@@ -13,6 +13,7 @@ NAMES = (
     "topk_resolutions", "historic_lines", "readiness", "resolve_aliases", "event_table_documents", "dedupe_documents", "extract_result_rows",
     "merge_views", "mapping_metrics", "promotion_gate", "negative_sampling", "length_buckets", "derive_decisions", "validate_records",
     "verify_hashes", "scan_ip", "scan_email_tenant", "compile_items", "dataset_manifest", "stream_distinct_tickets", "settled_snapshot",
+    "settled_pages", "model_scores", "mapper_hook", "enrich", "apply_mapping",
 )
 
 
