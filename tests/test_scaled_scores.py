@@ -1,4 +1,4 @@
-"""Scores of all pairs, documents dealt by incident, shapes of documents and gathering without state."""
+"""Scores of all pairs, leaves dealt by incident, shapes of documents and gathering without state."""
 
 from __future__ import annotations
 
@@ -43,7 +43,7 @@ def test_one_type_of_targets(spark):
     assert few == {tuple(r) for r in C.score_lexical(leaves).where("target = 'sourceIp'").select("incident_id", "pointer", "score").collect()} and few
 
 
-def test_pairs_of_dealt_documents_are_not_shuffled(spark):
+def test_pairs_of_dealt_leaves_are_not_shuffled(spark):
     ranked = mapping.rank_candidates(C.score_lexical(flatten.leaves(_docs(spark), together=True)))
     plan = ranked._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall("Exchange hashpartitioning", plan)) == 1 and "hashpartitioning(incident_id" in plan
