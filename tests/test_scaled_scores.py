@@ -95,3 +95,39 @@ def test_whole_incidents_pass_without_state():
 def test_streams_are_spread(spark):
     stream = spark.readStream.format("rate").load()
     assert "Repartition" in spread(stream)._jdf.queryExecution().logical().toString()
+
+
+def test_targets_that_can_reach_a_bound(spark):
+    labels = [["source", "ip"], ["event", "name"], ["x"], [], ["client", "user", "name", "host"], ["rule"], ["device", "hostname", "b", "c"]]
+    every, none = dict.fromkeys(C.VALUE_TYPES, ""), dict.fromkeys(C.VALUE_TYPES, "no")
+    rows = [Row(at=i, label=label, reason=Row(**(every | {"text": "no"} if i == 4 else every))) for i, label in enumerate(labels)]
+    rows.append(Row(at=len(labels), label=["source", "ip"], reason=Row(**none)))
+    frame = spark.createDataFrame(rows, "at int, label array<string>, reason struct<" + ",".join(f"{k}:string" for k in C.VALUE_TYPES) + ">")
+    for targets, threshold in ((C.K.TARGET_NAMES, 0.4), (C.K.TARGET_NAMES, 0.05), (("sourceIp", "eventName"), 0.4)):
+        got = {(r.at, r.t.place): r.t.name for r in frame.select("at", F.explode(C._named_places(F.col("label"), targets, threshold)).alias("t")).collect()}
+        wanted = {}
+        for row in rows:
+            for place, (name, kind, _) in enumerate(C._catalogue(targets)):
+                both, all_ = set(row.label) & set(C._words(name)), set(row.label) | set(C._words(name))
+                score = len(both) / len(all_)
+                if getattr(row.reason, kind) == "" and (threshold <= 0.1 or both and 0.9 * score + 0.1 >= threshold - 1e-6):
+                    wanted[row.at, place] = score
+        assert got == wanted and got
+
+
+def test_words_are_looked_at_only_where_a_target_is_left(spark):
+    leaves = flatten.leaves(_docs(spark))
+    for scored in (C.score_lexical(leaves, threshold=0.4), C.score_lexical(leaves, ["sourceIp"])):
+        lines = scored._jdf.queryExecution().optimizedPlan().toString().split("\n")  # the last step stands first
+        unfolded = next(i for i, line in enumerate(lines) if "Generate" in line and "_places#" in line and line.rstrip().endswith("]") and "[_places#" in line)
+        assert not any("p{L}" in line for line in lines[unfolded:]) and any("p{L}" in line for line in lines[:unfolded])
+
+
+def test_hits_equal_scores_over_the_threshold(spark):
+    docs = _docs(spark)
+    for threshold in (0.05, 0.4, 0.5):
+        mapped = {(r.incident_id, r.target): round(r.score, 6) for r in mapping.map_incidents(docs, threshold).where("score is not null").collect()}
+        best = C.score_lexical(flatten.leaves(docs)).where(F.col("score") >= threshold).groupBy("incident_id", "target").agg(F.max("score").alias("score"))
+        bounded = C.score_lexical(flatten.leaves(docs), threshold=threshold).groupBy("incident_id", "target").agg(F.max("score").alias("score"))
+        wanted = {(r.incident_id, r.target): r.score for r in best.collect()}
+        assert mapped == wanted == {(r.incident_id, r.target): r.score for r in bounded.collect()} and wanted
