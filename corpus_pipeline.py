@@ -41,9 +41,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, and whether they decode to the text; a null text is an empty one."""
+    """Token ids, and whether they decode to the text; a null text is an empty one.
+
+    The ids are kept before they are decoded: one task would otherwise feed two Python workers at once, and hold the batches of both.
+    """
     path = public_tokenizers.path("byte_bpe_50k.json")
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    both = bpe.decode(kept_table(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), "bpe-ids"), path)
     return both.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"), "token_ids")
 
 

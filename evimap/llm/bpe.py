@@ -24,12 +24,13 @@ from evimap.llm.common import with_arrow
 # fixed value: the split of byte-level BPE
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: entries of each of a worker's two generations of runs, about 200 bytes each, and of its table of parts of runs
-CACHE_SIZE, PARTS_SIZE = 400_000, 100_000
+CACHE_SIZE, PARTS_SIZE = 100_000, 50_000
 LONGEST_CACHED = 64
 #: bits of a queue entry that hold the place; the rank lies above them
 PLACE = (1 << 40) - 1
 
 _loaded: dict[str, Bpe] = {}
+_strings: dict[str, pa.Array] = {}
 
 
 def byte_letters() -> list[str]:
@@ -56,13 +57,6 @@ class Bpe:
             self.rank[vocab[a] * self.width + vocab[b]] = rank
             self.made.append(vocab[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        byte_of = {x: b for b, x in enumerate(letters)}
-        strings = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
-        for word, i in vocab.items():
-            strings[i] = bytes(byte_of[x] for x in word)
-        for word, i in self.special.items():
-            strings[i] = word.encode()
-        self.strings = pa.array(strings, pa.large_binary())
         self.pattern = regex.compile(PRE_TOKEN)
         self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.young: dict[str, bytes] = {}
@@ -163,12 +157,29 @@ class Bpe:
             return self._piece(text)
         return b"".join(array("I", [self.special[p]]).tobytes() if p in self.special else self._piece(p) for p in self.split_special.split(text) if p)
 
+
 def loaded(path: str) -> Bpe:
     if path not in _loaded:
         _loaded[path] = Bpe(path)
     return _loaded[path]
 
 
+def vocabulary(path: str) -> pa.Array:
+    """The bytes of each id, all that decoding needs."""
+    if path not in _strings:
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        vocab, special = spec["model"]["vocab"], {t["content"]: t["id"] for t in spec["added_tokens"]}
+        byte_of = {x: b for b, x in enumerate(byte_letters())}
+        strings = [b""] * (max([*vocab.values(), *special.values()]) + 1)
+        for word, i in vocab.items():
+            strings[i] = bytes(byte_of[x] for x in word)
+        for word, i in special.items():
+            strings[i] = word.encode()
+        _strings[path] = pa.array(strings, pa.large_binary())
+    return _strings[path]
+
+
 def encoded(column: pa.Array, path: str) -> pa.Array:
     """Token ids of each text of an Arrow column."""
     bpe = loaded(path)
@@ -180,7 +191,7 @@ def encoded(column: pa.Array, path: str) -> pa.Array:
 def decoded(ids: pa.Array, path: str) -> pa.Array:
     """Text of each row of ids: the vocabulary strings of all rows at once, cut at the rows' ends."""
     sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    strings = loaded(path).strings.take(ids.flatten())
+    strings = vocabulary(path).take(ids.flatten())
     ends = np.concatenate([[0], np.cumsum(pc.binary_length(strings).to_numpy(zero_copy_only=False))]).astype(np.int64)
     cuts = ends[np.concatenate([[0], np.cumsum(sizes)])]
     whole = memoryview(b"" if strings.buffers()[2] is None else strings.buffers()[2])

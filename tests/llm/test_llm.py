@@ -61,6 +61,19 @@ def test_bpe_round_trip(docs, empty):
     assert bpe.encode(empty, path).count() == 0
 
 
+def test_bpe_workers_hold_little(spark, monkeypatch):
+    import corpus_pipeline
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = bpe.encoded(pa.array(["some words", None]), path)
+    monkeypatch.setattr(bpe, "_loaded", {})
+    assert bpe.decoded(ids, path).to_pylist() == ["some words", ""] and not bpe._loaded  # decoding needs no merges
+    docs = spark.createDataFrame([(1, "some words", "en", "a"), (2, None, None, None)], "doc_id long, text string, lang string, source string")
+    both = corpus_pipeline.encode(spark, docs, "")
+    assert both._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # a task feeds one worker
+    assert sorted((r.doc_id, r.round_trip, len(r.token_ids) == r.n_tokens) for r in both.collect()) == [(1, True, True), (2, True, True)]
+
+
 @pytest.mark.parametrize("text", [" a  b", "a \n b", "\n\n a", "a\t b ", "  ", " <|endoftext|> <|endoftext|>x", "don't  'RE we've", "x" * 200 + " y", "\u00a0 a \u2003b", "1 23  4.5 !?"])
 def test_bpe_white_space(text):
     path = public_tokenizers.path("byte_bpe_50k.json")
