@@ -49,3 +49,20 @@ def test_documents_are_walked_and_printed_outside_interpreted_lambdas(spark):
         assert "aggregate(" not in plan and plan.count("ArrowEvalPython") == 1
     printed = docs.select(J.canonical_json(F.col("raw")))._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in printed and printed.count("parseJson") == 1
+
+
+def test_redacted_documents_equal_the_expression(spark):
+    texts = [
+        *HARD, '{"10": 1, "b": {"9": [], "01": 2, "4294967295": 3, "٣": 4, "2": {"pass-word": 1}}, "API_KEY": [1, {"x": 2}], "\\u212aey": 0, "toKen": null, "a\\"\\u001f\\n": "\\u007f\\u2028\\b\\u0000"}',
+        '[[], [[1, [2.50, []], "a"], {}], {"secret": [[1]], "s": [[], [{"cookie": 1, "n": 1E-7}]]}, false]', "1e400", "[-0.0, 1e3, 123456789012345678, 0.00001]",
+    ]
+    docs = _docs(spark, texts)
+    walked = F.filter(J.walk("raw", "doc", "doc_index", paths=True), lambda n: ~flatten.sensitive_ancestry(n["ancestry"], n["key"]))
+    in_order = F.array_sort(walked, lambda a, b: F.when(a["ordinal"] < b["ordinal"], -1).when(a["ordinal"] > b["ordinal"], 1).otherwise(0))
+    parsed = docs.withColumn("doc", F.try_parse_json("raw"))
+    want = {r.incident_id: r.raw for r in parsed.select("incident_id", F.when(F.col("doc").isNotNull(), J.rebuilt(in_order)).alias("raw")).collect()}
+    frame = flatten.without_sensitive(docs)
+    got = {r.incident_id: r.raw for r in frame.collect()}
+    assert [(got[k], want[k]) for k in want if got[k] != want[k]] == [] and len(got) == len(texts)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and plan.count("ArrowEvalPython") == 1
