@@ -13,22 +13,30 @@ from evimap.functions.text import available_clean, clean_text, first_available,
 RESOLUTION = ("historical_recommendations", "close_notes", "incident_outcome")
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns by unfolding an array of one, so that a filter on them stays above and does not work them out again."""
+    made = rows.withColumn("_once", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+    return made.withColumns({name: F.col(f"_once.{name}") for name in columns}).drop("_once")
+
+
 def with_identity(incidents: DataFrame) -> DataFrame:
     """Adds the compared tenant and name; '' where there is none.
 
     A search row's identity (``row_tenant_name``, ``row_name``) wins over the
     page's; a page that shows another identity is not a match at all.
     """
+    names = [n for n in ("tenant_name", "row_tenant_name", "incident_name", "row_name") if n in incidents.columns]
+    read = incidents.withColumns({f"_read_{n}": F.lower(clean_text(F.col(n))) for n in names})
+
     def key(page: str, row: str) -> Column:
-        own = F.lower(clean_text(F.col(page)))
-        if row not in incidents.columns:
+        own = F.col(f"_read_{page}")
+        if row not in names:
             return own
-        shown = F.lower(clean_text(F.col(row)))
+        shown = F.col(f"_read_{row}")
         return F.when(shown == "", own).when((own == "") | (own == shown), shown).otherwise(F.lit(""))
 
-    return incidents.withColumn("tenant_key", key("tenant_name", "row_tenant_name")).withColumn(
-        "name_key", key("incident_name", "row_name")
-    )
+    keyed = _once(read, tenant_key=key("tenant_name", "row_tenant_name"), name_key=key("incident_name", "row_name"))
+    return keyed.drop(*(f"_read_{n}" for n in names))
 
 
 def has_resolution() -> Column:
@@ -54,8 +62,11 @@ def latest_per_key(incidents: DataFrame, k: int | None, order: str = "created",
     by_key = Window.partitionBy("tenant_key", "name_key").orderBy(F.desc(order), F.desc(tie))
     if search_cap is not None:
         rows = rows.withColumn("found", F.row_number().over(by_key)).where(F.col("found") <= search_cap)
-    resolved = rows.where(has_resolution()).select(
-        "tenant_key", "name_key", order, tie, F.col("ticket_id").alias("historic_id"), historic_resolution().alias("resolution")
+    said = rows.withColumns({f"_clean_{c}": clean_text(F.col(c)) for c in RESOLUTION})
+    cleaned = [F.col(f"_clean_{c}") for c in RESOLUTION]
+    told = F.coalesce(*(F.when(available_clean(c), c) for c in cleaned), F.lit(""))
+    resolved = _once(said, _resolved=F.greatest(*(c != "" for c in cleaned)), resolution=told).where("_resolved").select(
+        "tenant_key", "name_key", order, tie, F.col("ticket_id").alias("historic_id"), "resolution"
     )
     placed = resolved.withColumn("place", F.row_number().over(by_key))
     return placed if k is None else placed.where(F.col("place") <= k + 1)
@@ -108,11 +119,6 @@ def affected_entity(names: Mapping[str, str] | None = None) -> Column:
     return F.when(value == "", "n/a").otherwise(value)
 
 
-def _or_na(*cols: Column) -> Column:
-    value = first_available(*cols)
-    return F.when(value == "", F.lit("n/a")).otherwise(value)
-
-
 def distinct_facts(facts: Column, limit: int | None = None) -> Column:
     cleaned = F.transform(facts, clean_text)
     distinct = F.array_distinct(F.filter(cleaned, available_clean))
@@ -138,6 +144,10 @@ RESPONSE_LAYOUT = (
     ("\n-----\n\n", "contact"),
     ("\n\nHistoric\n", "historic"),
 )
+RESPONSE_TEXTS = (
+    "ticket_id", "incident_name", "device_hostname", "source_hostname", "client_hostname", "source_username", "client_user_name", "classification", "occurred",
+    "source_ip", "destination_ip", "event_name", "detection_url", "service_message", "event_info", "error_message", "event_summary", "customer_name",
+)
 NO_FACTS = "No additional source facts were extracted."
 NO_HISTORY = "No matching historic resolutions were found."
 
@@ -154,31 +164,39 @@ def render_response(incidents: DataFrame, lines: DataFrame, enrichment: DataFram
     if enrichment is not None:
         joined = joined.join(enrichment, "ticket_id", "left")
 
-    def col(name: str) -> Column:
-        return F.col(name) if name in joined.columns else F.lit(None).cast("string")
+    # each text is cleaned once, and small steps keep their methods such as the JVM compiles
+    texts = [n for n in RESPONSE_TEXTS if n in joined.columns]
+    joined = joined.withColumns({f"_clean_{n}": clean_text(F.col(n)) for n in texts})
+    joined = joined.withColumns({f"_said_{n}": F.when(available_clean(F.col(f"_clean_{n}")), F.col(f"_clean_{n}")) for n in texts})
+
+    def said(*names: str) -> Column:
+        return F.coalesce(*(F.col(f"_said_{n}") for n in names if n in texts), F.lit(""))
+
+    def or_na(*names: str) -> Column:
+        return F.coalesce(*(F.col(f"_said_{n}") for n in names if n in texts), F.lit("n/a"))
 
     facts = distinct_facts(F.coalesce(F.col("observed_facts"), F.array().cast("array<string>"))) if enrichment is not None else F.array().cast("array<string>")
-    summary = first_available(col("event_summary"))
+    summary = said("event_summary")
     signature = "\n".join(w for w in (words["signOff"], words["analystName"], words["analystTitle"] if words["analystName"] else "") if w)
     fields = {
-        "ticket": _or_na(col("ticket_id")),
-        "name": _or_na(col("incident_name")),
-        "entity": _or_na(*(col(c) for c in ("device_hostname", "source_hostname", "client_hostname", "source_username", "client_user_name"))),
-        "classification": _or_na(col("classification")),
-        "occurred": _or_na(col("occurred")),
-        "user": _or_na(col("source_username"), col("client_user_name")),
-        "source": _or_na(col("source_ip"), col("source_username"), col("client_user_name")),
-        "destination": _or_na(col("destination_ip")),
-        "client_host": _or_na(col("client_hostname"), col("device_hostname")),
-        "event": _or_na(col("event_name")),
-        "url": _or_na(col("detection_url")),
-        "message": _or_na(col("service_message"), col("event_info"), col("error_message")),
+        "ticket": or_na("ticket_id"),
+        "name": or_na("incident_name"),
+        "entity": or_na("device_hostname", "source_hostname", "client_hostname", "source_username", "client_user_name"),
+        "classification": or_na("classification"),
+        "occurred": or_na("occurred"),
+        "user": or_na("source_username", "client_user_name"),
+        "source": or_na("source_ip", "source_username", "client_user_name"),
+        "destination": or_na("destination_ip"),
+        "client_host": or_na("client_hostname", "device_hostname"),
+        "event": or_na("event_name"),
+        "url": or_na("detection_url"),
+        "message": or_na("service_message", "event_info", "error_message"),
         "summary": F.when(summary == "", F.lit(NO_FACTS)).otherwise(summary),
         "facts": F.when(F.size(facts) > 0, F.array_join(F.transform(facts, lambda f: F.concat(F.lit("- "), f)), "\n")).otherwise(F.lit(NO_FACTS)),
         "contact": F.lit(words["contactText"] + ("\n\n" + signature if signature else "")),
         "historic": F.coalesce("historic", F.lit(NO_HISTORY)),
     }
-    customer = first_available(col("customer_name"))
+    customer = said("customer_name")
     greeting = F.when(customer == "", F.lit("")).otherwise(F.concat(F.lit(words["greeting"] + " "), customer, F.lit(",\n")))
     pieces = [part for text, name in RESPONSE_LAYOUT for part in (F.lit(text), fields[name])]
     return joined.select("ticket_id", F.concat(greeting, *pieces).alias("draft"))
