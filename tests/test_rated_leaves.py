@@ -45,3 +45,19 @@ def test_scores_are_rounded_as_in_the_jvm(spark):
     raw = [0.9 * (a / b) + 0.1 * (c / d) for b in range(1, 30) for a in range(b + 1) for d in (1, 2, 3, 7, 16, 31, 64) for c in range(min(d, 8) + 1)]
     found = spark.createDataFrame([(x,) for x in raw], "x double").select("x", F.round("x", 6).alias("y")).collect()
     assert all(_rounded(r.x) == r.y for r in found)
+
+
+def test_incidents_decided_where_they_pass(spark):
+    docs = _docs(spark)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for threshold, rows in ((0.11, "3"), (0.4, "10000"), (0.5, "1")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            mapped = mapping.map_incidents(docs, threshold)
+            got = _rows(mapped, *mapped.columns)
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        wanted = mapping._map_by_rows(docs, threshold, C.K.TARGET_NAMES)
+        assert mapped.columns == wanted.columns and got == _rows(wanted, *wanted.columns)
+        assert {r.status for r in wanted.collect()} == {"selected", "tentative", "no_supported_match"} or threshold == 0.5
+    assert "ObjectHashAggregate" not in mapped._jdf.queryExecution().executedPlan().toString()
