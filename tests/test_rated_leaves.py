@@ -61,3 +61,38 @@ def test_incidents_decided_where_they_pass(spark):
         assert mapped.columns == wanted.columns and got == _rows(wanted, *wanted.columns)
         assert {r.status for r in wanted.collect()} == {"selected", "tentative", "no_supported_match"} or threshold == 0.5
     assert "ObjectHashAggregate" not in mapped._jdf.queryExecution().executedPlan().toString()
+
+
+def test_leaves_grouped_before_they_are_unfolded(spark):
+    docs, chooser = _docs(spark), mapping.best_above(0.4)
+    pairs, rated = C.score_lexical(flatten.leaves(docs)), C.score_leaves(flatten.leaves(docs, True, extra=C.Rating()))
+    for of in (mapping.value_groups, lambda x: mapping.representatives(x, chooser)):
+        wanted, got = of(pairs), of(rated)
+        assert wanted.columns == got.columns and _rows(got, *wanted.columns) == _rows(wanted, *wanted.columns)
+    found = {(r.members > 1, r.endorsed, r.contested) for r in mapping.representatives(rated, chooser).collect()}
+    assert found >= {(False, True, False), (True, False, False), (True, True, True)}
+
+
+def test_only_contenders_are_folded(spark):
+    docs, chooser = _docs(spark), mapping.best_above(0.4)
+    rows = [(1, "sourceIp", f"f{i:02}", f"/p{i:02}", f"v{i % 5}", (i * 7 % 20) / 20 if i % 9 else 0.95) for i in range(40)]
+    many = spark.createDataFrame(rows, "incident_id long, target string, leaf_id string, pointer string, identity string, score double")
+    for scored in (C.score_lexical(flatten.leaves(docs)), many, many.where("score < 0.4")):
+        for group_values in (True, False):
+            wanted = mapping.select_candidates(scored, lambda shown: chooser(shown), group_values).where("pointer is not null")
+            got = mapping.select_candidates(scored, chooser, group_values, supported=True)
+            assert wanted.columns == got.columns and _rows(got, *wanted.columns) == _rows(wanted, *wanted.columns)
+    lists = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 15, 16, 17, 31, 40)], "ids array<int>")
+    ordered = F.transform("ids", lambda i: F.struct(i.cast("string").alias("leaf_id"), i.cast("string").alias("pointer"), F.lit("v").alias("identity"), (i % 7 / F.lit(10.0)).alias("score"),
+                                                    F.lit(None).cast("string").alias("group_id"), F.lit(True).alias("endorsed"), F.lit(False).alias("contested")).cast(mapping.CANDIDATE))
+    both = lists.select(mapping.sweep(ordered, chooser).alias("a"), mapping._fold(ordered, chooser, C.K.BUCKET).alias("b")).collect()
+    assert all(r.a == r.b for r in both) and sum(r.a is not None for r in both) == 5
+
+
+def test_least_group(spark):
+    ids = ["g" + hex_ for hex_ in ("0" * 20, "f" * 20, "00000000ff0000000001", "00000000ff0000000000", "a" * 10 + "0" * 10, "a" * 10 + "0" * 9 + "1", "9" * 20)]
+    rows = spark.createDataFrame([(i % n, x) for n in (1, 2, 3, 7) for i, x in enumerate(ids)] + [(90 + i, x) for i, x in enumerate(ids)], "k int, group_id string")
+    found = rows.groupBy("k").agg(mapping.least_group().alias("a"), F.min("group_id").alias("b"))
+    assert all(r.a == r.b for r in found.collect())
+    plan = rows.groupBy("k").agg(mapping.least_group().alias("a"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
