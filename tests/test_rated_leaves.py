@@ -96,3 +96,31 @@ def test_least_group(spark):
     assert all(r.a == r.b for r in found.collect())
     plan = rows.groupBy("k").agg(mapping.least_group().alias("a"))._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_paths_of_the_walk_and_longest_aliases(spark):
+    from evimap.functions.text import normalize_json_path
+    from evimap.operators import extraction
+
+    text = {"Source IP": "a", "x": {"Client~Host": {"Host/name": "b", "hostname": "c"}, "[12]": {"Device [3] DNS Name": "d", "4": "e"}}, "İd Kind": "f", "a\n.b": [["g", {"Type": "h"}]], "Case Type": "i",
+            "Description": {"Description": "j", "Description Long": "k"}, " ": "l", "É": {"7": "m"}}
+    docs = spark.createDataFrame([(1, 0, json.dumps(text)), (1, 2, json.dumps(text)), (2, 0, '"Type"')], "incident_id long, doc_index int, raw string")
+    pairs = flatten.json_pairs(docs)
+    leaves = flatten.leaves(docs)
+    names = normalize_json_path(F.array_join(F.concat(F.slice("ancestry", 3, F.size("ancestry")), F.array("key")), "."))
+    wanted = leaves.where(F.size("ancestry") > 1).select("pointer", names.alias("path")).where("path <> ''").distinct()
+    assert _rows(pairs.select("pointer", "path").distinct(), "pointer", "path") == _rows(wanted, "pointer", "path") and pairs.count() > 20
+    assert "ancestry" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    labels = (("one", ("Type", "Hostname")), ("two", ("Case Type", "Host Hostname", "Client Host Hostname")), ("three", ("Type",)))
+    best: dict = {}
+    for row in pairs.collect():
+        parts = row.path.split(".")
+        for field, aliases in labels:
+            for rank, alias in enumerate(aliases):
+                path = ".".join(alias.lower().split())
+                if path in (".".join(parts[i:]) for i in range(len(parts))):
+                    key = (rank, row.path != path, row.doc_index, row.ordinal, row.value)
+                    best[row.incident_id, field] = min(best.get((row.incident_id, field), key), key)
+    found = extraction.resolve_aliases(pairs, labels)
+    assert {(r.incident_id, r.field): r.value for r in found.collect()} == {k: v[-1] for k, v in best.items()} and len(best) == 3
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
